@@ -1,4 +1,4 @@
-"""Chat formatting from reply trees.
+r"""Chat formatting from reply trees.
 
 A message has a tree, a node, a parent and a score. Root-to-leaf paths are enumerated by self-joins
 over ancestor tables that double their reach each round; a leaf's branch is ranked by the sum of scores
