@@ -1,11 +1,12 @@
 """The queries of this package and their DuckDB twins."""
 from __future__ import annotations
 
-from . import chat, mixing, sharding, urlfilter
+from . import bpe, chat, mixing, sharding, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op2_recursive_bpe": bpe.op2_recursive_bpe,
         "op5_redirect_equivalence": urlfilter.op5_redirect_equivalence,
         "op8_extendible_hashing": sharding.op8_extendible_hashing,
         "op9_sainte_lague": mixing.op9_sainte_lague,
