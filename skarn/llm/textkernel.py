@@ -11,13 +11,13 @@ import pyarrow as pa
 CHUNK_BYTES = 2 << 20
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch whose texts hold about ``most`` bytes; at least one row each."""
+def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES, rows: int = 1 << 40) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch whose texts hold about ``most`` bytes, of ``rows`` rows at most; at least one row each."""
     size = np.diff(texts(batch.column(column))[1])
     at = np.concatenate(([0], np.cumsum(size)))
     start = 0
     while start < len(size):
-        end = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
+        end = min(start + rows, max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1))
         yield start, end
         start = end
 
