@@ -1,7 +1,7 @@
 """The queries of this package and their DuckDB twins."""
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, mixing, quality, quality_rules, sharding, tokencounts, urlfilter
+from . import bpe, chat, jaccard, media, mixing, quality, quality_rules, sharding, tokencounts, urlfilter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_rule_ensemble": quality.op3_rule_ensemble,
         "op6_chosen_path": jaccard.op6_chosen_path,
         "op7_boosted_rules": quality_rules.op7_boosted_rules,
+        "op4_archive_source": media.op4_archive_source,
         "op5_redirect_equivalence": urlfilter.op5_redirect_equivalence,
         "op8_extendible_hashing": sharding.op8_extendible_hashing,
         "op9_sainte_lague": mixing.op9_sainte_lague,
