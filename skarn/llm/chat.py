@@ -54,9 +54,12 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         if 2 ** len(levels) > largest or jump.where("up IS NOT NULL").isEmpty():
             break
         levels.append(jump.select("tree", "node", "up"))
+        settled, open_ = jump.where("up IS NULL"), jump.where("up IS NOT NULL")
         above = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("dist").alias("dist2"))
         on = F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))
-        jump = checkpointed(jump.join(above, on, "left").select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist")))
+        # nodes that have reached their root join no more
+        further = open_.join(above, on, "left").select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"))
+        jump = checkpointed(settled.unionByName(further))
     rooted = jump.where("up IS NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("sum").alias("branch_score"), F.col("dist").alias("depth"))
     leaf = leaf.join(rooted, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", F.col("node").alias("leaf"), "branch_score", "depth")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
