@@ -59,7 +59,11 @@ def facets(df: DataFrame, attributes: Sequence[str], most: int = MAX_FACET_VALUE
     """
     if not attributes:
         return df.select(F.lit("").alias("attribute"), F.lit("").alias("value"), F.lit(0).cast("long").alias("docs")).limit(0)
-    pairs = [F.transform(F.array_distinct(F.transform(filters.values_of(df, a), lambda x: x.cast("string"))), lambda v, a=a: F.struct(F.lit(a).alias("attribute"), v.alias("value"))) for a in attributes]
+    def of(attribute: str) -> Column:
+        values = F.array_distinct(F.transform(filters.values_of(df, attribute), lambda x: x.cast("string")))
+        return F.transform(values, lambda v: F.struct(F.lit(attribute).alias("attribute"), v.alias("value")))
+
+    pairs = [of(a) for a in attributes]
     counts = df.select(F.explode(F.concat(*pairs)).alias("p")).groupBy("p.attribute", "p.value").agg(F.count(F.lit(1)).alias("docs"))
     order = Window.partitionBy("attribute").orderBy("value")
     return counts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
