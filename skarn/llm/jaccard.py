@@ -350,14 +350,16 @@ def _verified(docs: DataFrame, text: str, nodes: DataFrame, member: DataFrame) -
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents of which one stays for each class: the one with the class's smallest doc_id.
 
-    Documents without a doc_id stay if no document of their class has one (all of them), and are
-    removed otherwise; rows that repeat the doc_id that stays are reduced to one.
+    Documents without a doc_id can't be named and all stay; rows that repeat the doc_id that stays are
+    reduced to one.
     """
     found = similar(docs.select("doc_id", text), text)
-    gone = found.where(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone_")).distinct()
+    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone_")).distinct()
     repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_")), "left_anti")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    out = docs.join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
+    if repeated.isEmpty():
+        return out
+    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
 
 
 def op6_chosen_path(spark, sf_dir):
