@@ -7,7 +7,10 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from skarn.functions.text import cut_bytes
 
 KEPT = frozenset("a abbr b blockquote br code dd del details div dl dt em h1 h2 h3 h4 h5 h6 hr i img kbd li ol p picture pre q s samp source span strong sub summary sup table tbody td th thead tr u ul".split())
 DROPPED = frozenset("script style iframe object embed noscript template title".split())
@@ -72,9 +75,17 @@ def clean(html: str | None, base: str | None) -> str:
     return "".join(c.out) + "".join(f"</{t}>" for t in reversed(c.open))
 
 
-def rendered(pages: DataFrame, key: str = "page_id", html: str = "html", base: str = "url") -> DataFrame:
-    """(key, html) of pages, cleaned."""
+def without_badges(html: Column) -> Column:
+    """Drops paragraphs that are rows of linked badge images: BADGES images or more and no text."""
+    image = r"(?:\s|&nbsp;|<a\b[^>]*>|</a>|<br\s*/?>)*<img\b[^>]*>(?:\s|&nbsp;|<a\b[^>]*>|</a>|<br\s*/?>)*"
+    return F.regexp_replace(html, rf"(?i)<p\b[^>]*>(?:{image}){{{BADGES},}}</p>", "")
+
+
+def rendered(pages: DataFrame, key: str = "page_id", html: str = "html", base: str = "url", most_bytes: int | None = None) -> DataFrame:
+    """(key, html) of pages, without badge rows, cleaned; with ``most_bytes``, sources are cut there first."""
     kind = pages.schema[key].dataType.simpleString()
+    source = F.col(html) if most_bytes is None else cut_bytes(F.col(html), most_bytes)
+    pages = pages.withColumn(html, without_badges(source))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -173,3 +173,38 @@ def nearest(queries: DataFrame, vectors: DataFrame, n: int = 10) -> DataFrame:
     best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("cosine"), "vec_id"))
     local = met.withColumn("r", best("query_id", "block")).where(F.col("r") <= n)
     return local.withColumn("place", best("query_id")).where(F.col("place") <= n).select("query_id", "vec_id", "cosine", "place")
+
+
+def sidebar(labels: DataFrame, selected: dict[str, Sequence[str]], n: int | None = None) -> DataFrame:
+    """Facet groups in display order: selected values first, then by count; values without documents only if selected."""
+    chosen = F.lit(False)
+    for family, values in selected.items():
+        chosen = chosen | ((F.col("family") == family) & F.col("value").isin(list(values)))
+    shown = labels.withColumn("selected", chosen).where((F.col("docs") > 0) | F.col("selected"))
+    place = F.row_number().over(Window.partitionBy("family").orderBy(F.desc("selected"), F.desc("docs"), "value"))
+    shown = shown.withColumn("place", place)
+    return shown.where(F.col("selected") | (F.col("place") <= n)) if n else shown
+
+
+def visible_links(df: DataFrame, vocabulary: DataFrame, families: Sequence[str]) -> DataFrame:
+    """(id, family, value, label) of a document's values that the vocabulary shows."""
+    pairs = F.concat(*[_tagged(filters.values_of(df, f), f) for f in families])
+    flat = df.select("id", F.explode(pairs).alias("p")).select("id", "p.family", "p.value").distinct()
+    shown = vocabulary.where(~F.col("hidden")).select("family", "value", "label").distinct()
+    return flat.join(F.broadcast(shown), ["family", "value"])  # the closed vocabulary
+
+
+def _tagged(values: Column, family: str) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(family).alias("family"), v.alias("value")))
+
+
+def first_words(text: Column, n: int = 40) -> Column:
+    """The first n words of a text, as result lists show them."""
+    return F.array_join(F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""), 1, n), " ")
+
+
+def hybrid(hits: DataFrame, near: DataFrame, weight: float = 0.5, n: int = 10) -> DataFrame:
+    """Joins keyword hits (id, rank) and vector hits (id, cosine): reciprocal rank and cosine, weighed, best n."""
+    both = hits.select("id", (1 / (1 + F.col("rank"))).alias("k")).join(near.select("id", F.col("cosine").alias("c")), "id", "full")
+    score = F.coalesce("k", F.lit(0.0)) * weight + F.coalesce("c", F.lit(0.0)) * (1 - weight)
+    return both.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(n)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from skarn import vocabulary
 from skarn.functions import text
-from skarn.operators import classify, ingest, journal, search
+from skarn.operators import artifacts as files_of
+from skarn.operators import classify, ingest, journal, search, signals
 from skarn.plans.tools import TOOLS_SQL, now, repos, table
 from skarn.queries import query
 from skarn.streaming import consumer
@@ -335,3 +336,51 @@ def x19_shell_quote(spark, d):
 def c23_monogram(spark, d):
     m = repos(spark, d).select("id", text.monogram(F.col("name")).alias("m"))
     return m.select("id", "m.letter", "m.hue")
+
+
+# --- enrichment ---
+@query("WITH c AS (SELECT p_partkey, l_suppkey, l_quantity, l_returnflag = 'R' AS official, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 4 <> 0) SELECT p_partkey AS id, arg_min('chart-' || l_suppkey, {'o': NOT official, 's': -l_quantity, 'n': ordinal, 'k': l_suppkey}) AS chart FROM c GROUP BY 1")
+def c13_w4_best_chart(spark, d):
+    line = table(spark, d, "lineitem")
+    url = F.when(F.col("l_suppkey") % 4 == 0, "http://plain.example.org").otherwise("https://charts.example.org")
+    packages = line.select(
+        F.col("l_partkey").alias("repo"), F.concat(F.lit("chart-"), "l_suppkey").alias("name"), (F.col("l_returnflag") == "R").alias("official"), F.col("l_quantity").alias("stars"),
+        F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"), F.col("l_suppkey").alias("k")).alias("ordinal"), F.struct(F.lit("main").alias("name"), url.alias("url")).alias("repository"),
+    )
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("repo"))
+    return signals.charts(parts, packages).where("chart IS NOT NULL").select(F.col("repo").alias("id"), F.col("chart.name").alias("chart"))
+
+
+@query("WITH s AS (SELECT l_partkey AS repo, avg(l_discount) AS score, list({'n': l_returnflag, 's': l_tax * 100 - 3, 'k': l_orderkey * 10 + l_linenumber, 'x': l_suppkey} ORDER BY l_orderkey * 10 + l_linenumber, l_suppkey) AS c FROM lineitem GROUP BY 1), k AS (SELECT repo, unnest(list_filter(c, lambda x: x.s >= 0)) AS c FROM s) SELECT repo AS id, c.n AS name, round(arg_max(c.s, {'k': c.k, 'x': c.x}), 4) AS score FROM k GROUP BY 1, 2")
+def c15_j6_scorecard_checks(spark, d):
+    line = table(spark, d, "lineitem")
+    check = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_suppkey").alias("x"), F.struct(F.col("l_returnflag").alias("name"), (F.col("l_tax") * 100 - 3).alias("score")).alias("c"))
+    cards = line.groupBy(F.col("l_partkey").alias("repo")).agg(F.avg("l_discount").alias("score"), F.transform(F.array_sort(F.collect_list(check)), lambda x: x["c"]).alias("checks"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("repo"))
+    out = signals.scorecards(parts, cards)
+    return out.select(F.col("repo").alias("id"), F.explode("scorecard.checks").alias("name", "s")).select("id", "name", F.round("s", 4).alias("score"))
+
+
+@query(ARTIFACTS_SQL + "SELECT id, concat_ws(',', CASE WHEN go THEN 'manifests' END, CASE WHEN readme_excerpt IS NOT NULL THEN 'readme' END, CASE WHEN released_at IS NOT NULL THEN 'releases' END) AS used, CASE WHEN readme_excerpt IS NULL THEN 'readme' ELSE '' END AS part FROM art")
+def c12_signal_bookkeeping(spark, d):
+    a = artifacts(spark, d)
+    out = signals.bookkeeping(a, {"manifests": F.col("manifests")["go.mod"].isNotNull(), "readme": F.col("readme").isNotNull(), "releases": F.col("released_at").isNotNull()}, {"readme": F.col("readme").isNull()})
+    return out.select("id", F.array_join("signals_used", ",").alias("used"), F.array_join("partial_signals", ",").alias("part"))
+
+
+@query(ARTIFACTS_SQL + "SELECT id, CASE WHEN chart THEN 'charts/x/Chart.yaml' ELSE '' END AS manifests FROM art")
+def c18_w6_manifest_selection(spark, d):
+    return artifacts(spark, d).select("id", F.array_join(files_of.manifest_selection(F.col("tree")), ",").alias("manifests"))
+
+
+@query(ARTIFACTS_SQL + "SELECT id, 'avatar' AS source, 'https://github.com/' || owner || '.png' AS url FROM art")
+def c19_w9_logo_candidates(spark, d):
+    out = artifacts(spark, d).select("id", files_of.logo_candidate(F.col("tree"), F.lit(None).cast("string"), F.col("owner")).alias("logo"))
+    return out.select("id", "logo.source", "logo.url")
+
+
+@query("WITH p AS (SELECT *, replace(p_name, ' ', '-') AS formula FROM part) SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY lower(formula)) AS place FROM p")
+def j3_formulas(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("name"))
+    listing = part.select(F.upper("name").alias("name"), F.col("id").alias("ordinal"), F.col("id").cast("string").alias("homepage"))
+    return signals.formulas(part, listing).select("id", F.col("formula.homepage").cast("long").alias("place"))

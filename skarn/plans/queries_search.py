@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skarn import vocabulary
 from skarn.functions import scoring
 from skarn.operators import filters, search
 from skarn.plans.tools import TOOLS_SQL, table, tools
@@ -251,3 +252,21 @@ def r1_search_tools(spark, d):
     t = tools(spark, d)
     hits = t.where(filters.build_filters(t)).where(search.matches(t, "gear", TEXT))
     return hits.groupBy("kind").agg(F.count(F.lit(1)).alias("docs"), F.max("score_total").alias("best"))
+
+
+@query(TOOLS_SQL + ", f AS (SELECT kind AS value, count(*) AS docs FROM tools GROUP BY 1) SELECT value, docs, value = 'SMALL' AS selected, row_number() OVER (ORDER BY value = 'SMALL' DESC, docs DESC, value)::INT AS place FROM f")
+def r22_facet_sidebar(spark, d):
+    counts = search.facets(tools(spark, d), ["kind"]).withColumnRenamed("attribute", "family")
+    return search.sidebar(counts, {"kind": ["SMALL"]}).select("value", "docs", "selected", "place")
+
+
+@query("SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''), 1, 40), ' ') AS summary FROM documents")
+def r24_short_summaries(spark, d):
+    return table(spark, d, "documents").select("doc_id", search.first_words(F.col("text")).alias("summary"))
+
+
+@query(TOOLS_SQL + "SELECT id, unnest(['brew', 'helm', 'krew']) AS value FROM tools WHERE size & 7 = 7")
+def f29_visible_links(spark, d):
+    t = tools(spark, d).withColumn("methods", F.col("install_methods.method")).where(F.col("size").bitwiseAND(7) == 7)
+    words = vocabulary.standard().frame(spark).withColumn("family", F.when(F.col("family") == "install_methods", "methods").otherwise(F.col("family")))
+    return search.visible_links(t, words, ["methods"]).select("id", "value")
