@@ -21,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op5_redirect_equivalence": urlfilter.oracle(),
         "op8_extendible_hashing": sharding.oracle(),
         "op9_sainte_lague": mixing.ORACLE,
         "op10_reply_trees": chat.ORACLE,

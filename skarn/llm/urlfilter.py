@@ -122,3 +122,48 @@ def judge(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> Data
 
 def op5_redirect_equivalence(spark, sf_dir):
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _attribute_sql(name: str) -> str:
+    pattern = f"""(?is)[\\s\\x22\'\']{name}\\s*=\\s*(?:\\x22([^\\x22]*)\\x22|\'\'([^\'\']*)\'\'|([^\\s\\x22\'\'>]+))"""
+    return "(" + " || ".join(f"regexp_extract(tag, '{pattern}', {g})" for g in (1, 2, 3)) + ")"
+
+
+def _parts_sql(url: str) -> tuple[str, str, str]:
+    """SQL of a url's host, path and node."""
+    rest = f"substr({url}, strpos({url}, '://') + 3)"
+    host_ = f"translate(regexp_extract({rest}, '(?s)^([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+    path_ = f"regexp_extract({rest}, '(?s)^[^/?#]*([^?#]*)', 1)"
+    return host_, path_, f"{host_} || {path_} || regexp_extract({rest}, '(?s)^[^?#]*(\\?[^#]*)?', 1)"
+
+
+def _rule_sql(what: int, rules=RULES) -> str:
+    whens = []
+    for rule_ in sorted(rules, key=lambda r: -len(r[1])):
+        h, _, p = rule_[1].partition("/")
+        whens.append(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{rule_[what]}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def oracle() -> str:
+    """The same verdicts as DuckDB SQL; classes by a recursive closure, for graphs that fit one machine."""
+    host_, path_, node_ = _parts_sql("url")
+    moved = "regexp_extract(" + _attribute_sql("content") + ", '(?is)^\\s*[\\d.]*\\s*[;,]\\s*url\\s*=\\s*[\'\'\\x22]?([^\'\'\\x22]*)', 1)"
+    return f"""
+WITH RECURSIVE own AS (SELECT page_id, url, html, coalesce(contains(url, '://'), false) AS ok,
+    CASE WHEN contains(url, '://') THEN {host_} ELSE '' END AS host, CASE WHEN contains(url, '://') THEN {path_} ELSE '' END AS path, CASE WHEN contains(url, '://') THEN {node_} END AS node FROM pages),
+tags AS (SELECT url, node, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<(?:link|meta)\\b(?:[^>\\x22'']|\\x22[^\\x22]*\\x22|''[^'']*'')*>')) AS tag FROM own WHERE ok),
+refs AS (SELECT url, node, trim(replace(CASE
+    WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(lower(trim({_attribute_sql("rel")})), '\\s+'), 'canonical') THEN {_attribute_sql("href")}
+    WHEN regexp_matches(tag, '(?i)^<meta') AND lower(trim({_attribute_sql("http-equiv")})) = 'refresh' THEN {moved} END, '&amp;', '&')) AS href FROM tags),
+origins AS (SELECT *, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS origin, regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) AS folder FROM refs WHERE href <> ''),
+ends AS (SELECT node AS u, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN href WHEN starts_with(href, '//') THEN scheme || ':' || href WHEN starts_with(href, '/') THEN origin || href
+    WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') OR starts_with(href, '#') THEN NULL WHEN starts_with(href, '?') THEN origin || {path_} || href
+    ELSE CASE WHEN ends_with(folder, '/') THEN folder ELSE folder || '/' END || href END AS url FROM origins),
+e AS (SELECT u, {node_} AS v FROM ends WHERE contains(url, '://')),
+pairs AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
+reach(a, b) AS (SELECT u, u FROM pairs UNION SELECT a, v FROM reach JOIN pairs ON b = u),
+said AS (SELECT a, {_rule_sql(0)} AS said FROM (SELECT a, regexp_extract(b, '(?s)^([^/?#]*)', 1) AS host, regexp_extract(b, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM reach)),
+class AS (SELECT a, min(said) AS verdict FROM said GROUP BY a)
+SELECT page_id, host, path, {_rule_sql(1)} AS rule, coalesce({_rule_sql(0)}, class.verdict, 'allow') AS verdict FROM own LEFT JOIN class ON node = a
+"""

@@ -70,3 +70,14 @@ def test_known_edges_join_in(spark):
     pages = spark.createDataFrame([(1, "http://q.info/a", None)], "page_id long, url string, html string")
     edges = spark.createDataFrame([("q.info/a", "mid.info/"), ("mid.info/", "x.org/es/1")], "u string, v string")
     assert urlfilter.judge(pages).first().verdict == "allow" and urlfilter.judge(pages, edges=edges).first().verdict == "block"
+
+
+def test_sql_twin_agrees(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", ROWS)
+    got = urlfilter.judge(spark.createDataFrame(ROWS, "page_id long, url string, html string")).collect()
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urlfilter.oracle()})").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
