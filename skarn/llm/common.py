@@ -47,3 +47,14 @@ def hash60(*cols) -> F.Column:
     """60 bits of MD5 over the columns as text, nulls as empty strings."""
     text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table doesn't have yet: the given ones, with underscores before them where needed."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

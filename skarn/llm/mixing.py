@@ -131,15 +131,17 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     cut = (F.col("part_words") > 0) & (F.col("part_words") < F.col("size"))
     plan = plan.groupBy("source", "h").agg((F.sum(whole) / F.count(F.lit(1))).cast("long").alias("n_whole"), F.max(F.when(cut, F.struct("part_words", "from_word"))).alias("cut"))
     plan = checkpointed(plan.where((F.col("n_whole") > 0) | F.col("cut").isNotNull()))
-    keyed = docs.withColumn("h_", hash60(F.lit(how.get("seed", SEED)), F.col("doc_id"), F.md5(F.col("text"))))
-    joined = keyed.join(plan.withColumnRenamed("source", "source_").withColumnRenamed("h", "h_k"), (F.col("h_") == F.col("h_k")) & F.col("source").eqNullSafe(F.col("source_")))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("cut.from_word").cast("int") + 1, F.col("cut.part_words").cast("int")), " ")
+    row = docs.select(F.struct(*docs.columns).alias("doc"))
+    own = hash60(F.lit(how.get("seed", SEED)), F.col("doc.doc_id"), F.md5(F.col("doc.text")))
+    joined = row.withColumn("own", own).join(plan, (F.col("own") == F.col("h")) & F.col("doc.source").eqNullSafe(F.col("source")))
+    words = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.col("cut.from_word").cast("int") + 1, F.col("cut.part_words").cast("int")), " ")
     part = F.when(F.col("cut").isNotNull(), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
     copies = F.concat(F.array_repeat(F.lit(False), F.col("n_whole").cast("int")), part)
-    out = joined.withColumn("is_cut", F.explode(copies)).withColumn("text", F.when(F.col("is_cut"), words).otherwise(F.col("text")))
+    out = joined.withColumn("is_cut", F.explode(copies)).withColumn("words", F.when(F.col("is_cut"), words).otherwise(F.col("doc.text")))
+    made = {c: F.col("doc")[c] for c in docs.columns} | {"text": F.col("words")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("is_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("is_cut"), F.length("words").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return out.select(*[c.alias(name) for name, c in made.items()])
 
 
 def op9_sainte_lague(spark, sf_dir):

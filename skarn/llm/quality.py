@@ -94,8 +94,11 @@ def classify(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
 
 def accepted(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """The documents predicted good, with their own columns."""
-    stats = with_statistics(docs, docs.columns, names=FEATURES, prefix="_stat_")
-    return stats.where(model.column("_stat_") >= THRESHOLD).select(*docs.columns)
+    prefix = "stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    stats = with_statistics(docs, docs.columns, names=FEATURES, prefix=prefix)
+    return stats.where(model.column(prefix) >= THRESHOLD).select(*docs.columns)
 
 
 def op3_rule_ensemble(spark, sf_dir):

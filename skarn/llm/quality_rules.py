@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import fresh
 from .quality import SAMPLE_ROWS, training_rows
 from .stats import COUNTS, FEATURES, with_statistics
 from .trees import Forest, boost, sigmoid
@@ -44,8 +45,9 @@ def judge(docs: DataFrame, model: Forest) -> DataFrame:
 
 def kept(docs: DataFrame, model: Forest) -> DataFrame:
     """The documents kept, with their own columns."""
-    judged = with_statistics(docs, docs.columns, names=(), after=lambda found: [pa.array(verdicts(found, model)[1])], more="_kept boolean")
-    return judged.where("_kept").select(*docs.columns)
+    (name,) = fresh(docs, "kept")
+    judged = with_statistics(docs, docs.columns, names=(), after=lambda found: [pa.array(verdicts(found, model)[1])], more=f"{name} boolean")
+    return judged.where(name).select(*docs.columns)
 
 
 def op7_boosted_rules(spark, sf_dir):

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skarn.llm import quality, quality_rules
 from skarn.llm.stats import COUNTS, FEATURES, statistics
@@ -99,8 +100,10 @@ def test_operators_on_odd_documents(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts_of(text)
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
     assert quality.classify(docs.limit(0), quality.RuleEnsemble(0.0, [])).count() == 0
-    kept = quality_rules.kept(docs, quality_rules.train(docs, labels.limit(0)))
-    assert kept.columns == docs.columns
+    clash = docs.withColumnsRenamed({"score": "kept"}).withColumn("stat_n_words", F.lit(1))
+    kept = quality_rules.kept(clash, quality_rules.train(clash, labels.limit(0)))
+    assert kept.columns == clash.columns and kept.count() == 0
+    assert quality.accepted(clash, quality.RuleEnsemble(0.0, [])).count() == len(ODD)
 
 
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])

@@ -61,8 +61,8 @@ def test_mix_matches_sql_and_stays_near_targets(spark, block):
 
 
 def test_mixed_documents_have_the_words_taken(spark):
-    rows = [(i, "ab"[i % 2], " ".join(f"w{i}x{k}" for k in range(10 + i % 5)), 1, "x") for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long, lang string")
+    rows = [(i, "ab"[i % 2], " ".join(f"w{i}x{k}" for k in range(10 + i % 5)), 1, "x", 5, "y", "z") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long, lang string, h long, cut string, words string")
     out = mixing.mixed_documents(df, block=4)
     assert out.columns == df.columns
     words = defaultdict(int)
