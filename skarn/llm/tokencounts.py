@@ -21,7 +21,8 @@ from .bpe import codec, vocabulary_path
 from .common import checkpointed
 from .textkernel import chunks, texts
 
-BLOCK = 1024
+#: Lengths of a block of the suffix sums.
+BLOCK = 64
 
 
 def lengths(docs: DataFrame, keys: tuple[str, ...] = (), text: str = "text", path: str | None = None) -> DataFrame:
