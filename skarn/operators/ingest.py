@@ -130,3 +130,51 @@ def query_text(base: Column, band: Column, created: Column) -> Column:
     """The source query that a window stands for."""
     stars = F.concat(F.lit("stars:"), band)
     return F.concat_ws(" ", base, stars, F.when(created != "", F.concat(F.lit("created:"), created)))
+
+
+def owner_worklist(repos: DataFrame, owner: str) -> DataFrame:
+    """All repositories of an owner, most stars first."""
+    return repos.where(F.col("owner") == owner).orderBy(F.desc("stars"), "full_name")
+
+
+def batches(df: DataFrame, key: str, size: int) -> DataFrame:
+    """Adds batch: rows dealt by hash into batches of about ``size``; no global order, so no single task numbers all rows."""
+    n = max(1, -(-df.count() // size))
+    return df.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(n)))
+
+
+def with_total(df: DataFrame, by: Sequence[Column], limit: int) -> DataFrame:
+    """The first rows in order, each with the number of all rows; the count is an aggregate of its own."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return df.orderBy(*by).limit(limit).join(F.broadcast(total))  # one row
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values, whatever their order and repetition."""
+    return F.sort_array(F.array_distinct(a)) == F.sort_array(F.array_distinct(b))
+
+
+def day_list(first: Column, last: Column) -> Column:
+    """All days from first to last as ``yyyy-MM-dd``."""
+    return F.transform(F.sequence(F.to_date(first), F.to_date(last), F.expr("interval 1 day")), lambda d: F.date_format(d, "yyyy-MM-dd"))
+
+
+def artifacts(repos: DataFrame, readme: DataFrame, tree: DataFrame, manifests: DataFrame, releases: DataFrame) -> DataFrame:
+    """Repositories with their readme, tree, manifests as a map by name and releases, newest first, by left joins on repo."""
+    m = manifests.groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", "content")))).alias("manifests"))
+    t = tree.groupBy("repo").agg(F.array_sort(F.collect_set("path")).alias("tree"))
+    r = releases.groupBy("repo").agg(F.reverse(F.array_sort(F.collect_list("published_at"))).alias("releases"))
+    out = repos
+    for part in (readme, t, m, r):
+        out = out.join(part, "repo", "left")
+    return out.withColumn("latest_release_at", F.try_element_at("releases", F.lit(1)))
+
+
+def generated(spark, n: int, families: dict[str, Sequence[str]], seed: int = 1) -> DataFrame:
+    """A corpus of n documents made from hashes: every value of each family occurs, stars are skewed, some are archived."""
+    ids = spark.range(n)
+    pick = lambda salt, k: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("id")), F.lit(k))
+    values = {f: F.element_at(F.array(*[F.lit(v) for v in vs]), ((F.col("id") + pick(f, 3) * len(vs)) % len(vs) + 1).cast("int")) for f, vs in families.items()}
+    stars = F.pow(F.lit(10.0), pick("stars", 4500) / 1000).cast("long")
+    owner = F.concat(F.lit("owner"), pick("owner", max(1, n // 4)).cast("string"))
+    return ids.select("id", owner.alias("owner"), F.concat(owner, F.lit("/tool"), F.col("id").cast("string")).alias("full_name"), stars.alias("stars"), (pick("archived", 100) < 6).alias("archived"), (pick("relevance", 101) / 100).alias("k8s_relevance"), *[c.alias(f) for f, c in values.items()])

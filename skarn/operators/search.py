@@ -208,3 +208,25 @@ def hybrid(hits: DataFrame, near: DataFrame, weight: float = 0.5, n: int = 10) -
     both = hits.select("id", (1 / (1 + F.col("rank"))).alias("k")).join(near.select("id", F.col("cosine").alias("c")), "id", "full")
     score = F.coalesce("k", F.lit(0.0)) * weight + F.coalesce("c", F.lit(0.0)) * (1 - weight)
     return both.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(n)
+
+
+def closeness(df: DataFrame, field: str, query: str) -> Column:
+    """struct(exact, prefix, gap): whether each query token is a whole token of the field, whether each begins one,
+    and the places between the first hits of neighbouring tokens. An approximation of a search server's rules."""
+    words = F.split(text_of(df, field), r"[^\p{L}\p{N}]+")
+    asked = tokens(query)
+    exact = filters.everything([F.array_contains(words, t) for t in asked])
+    prefix = filters.everything([_begins(words, t) for t in asked])
+    place = [F.array_position(F.transform(words, _starts(t)), True) for t in asked]
+    gap = F.lit(0).cast("long")
+    for a, b in zip(place[:-1], place[1:], strict=True):
+        gap = gap + F.abs(b - a)
+    return F.struct(exact.alias("exact"), prefix.alias("prefix"), F.when(prefix, gap).alias("gap"))
+
+
+def _starts(token: str):
+    return lambda w: w.startswith(token)
+
+
+def _begins(words: Column, token: str) -> Column:
+    return F.exists(words, _starts(token))
