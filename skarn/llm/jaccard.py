@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small
+from .common import checkpointed, fresh, small
 from .graph import components
 from .textkernel import Words, chunks, mix64, texts, windows
 
@@ -222,14 +222,18 @@ def _split_further(batches):
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """Adds bucket, the number of nodes on the same path, and leaves out nodes that are alone."""
-    size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("bucket")).where("bucket > 1")
+    """Adds bucket, the number of nodes on the same path, and leaves out nodes that are alone.
+
+    The sizes are kept before the join, so that both its sides are plain shuffles and the rows of a very
+    common path can be split over tasks.
+    """
+    size = checkpointed(rows.groupBy("path").agg(F.count(F.lit(1)).alias("bucket")).where("bucket > 1"))
     return rows.join(size, "path")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """(u, v): a forest over nodes that may be linked, from (node, sketch, paths)."""
-    flat = nodes.select("node", F.explode("paths").alias("path")).distinct()
+    flat = nodes.select("node", F.explode(F.array_distinct("paths")).alias("path"))
     met = _buckets(flat).join(nodes.select("node", "sketch"), "node").select("path", "node", "sketch", "bucket")
     level = checkpointed(met)
     found = []
@@ -239,7 +243,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
         large = level.where(F.col("bucket") > SMALL_BUCKET)
         if large.isEmpty():
             break
-        parts = large.select("path", "node", "sketch", "bucket").mapInArrow(_split_further, "path long, node long, sketch binary, parent long")
+        parts = checkpointed(large.select("path", "node", "sketch", "bucket").mapInArrow(_split_further, "path long, node long, sketch binary, parent long"))
         parts = checkpointed(_buckets(parts))
         # a part with half of its bucket's nodes will hardly shrink: its nodes are alike
         dense = (F.col("bucket") > SMALL_BUCKET) & (2 * F.col("bucket") > F.col("parent"))
@@ -354,9 +358,10 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     reduced to one.
     """
     found = similar(docs.select("doc_id", text), text)
-    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone_")).distinct()
+    (name,) = fresh(docs, "gone")
+    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(name)).distinct()
     repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    out = docs.join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
+    out = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
     if repeated.isEmpty():
         return out
     return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
