@@ -158,14 +158,14 @@ def _without(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, drop))))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, n: int = 10) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, n: int = 10, blocks: int | None = None) -> DataFrame:
     """(query_id, vec_id, cosine, place): the n vectors nearest to each query, by exact comparison with all.
 
-    The stated queries are compared with every vector in blocks: both sides are dealt into blocks that
-    meet once, and each block keeps its own n best before the blocks' results are merged.
+    The stated queries are compared with every vector in blocks (as many as shuffle partitions, unless
+    given): each block of vectors meets all queries and keeps its own n best before the blocks are merged.
     """
     unit = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    blocks = 8
+    blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.sqrt(unit(F.col("embedding"))).alias("qn")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     v = vectors.select("vec_id", F.col("embedding").alias("v"), F.sqrt(unit(F.col("embedding"))).alias("vn")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
