@@ -26,7 +26,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        star = both.join(_low(both, "u"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # kept before the join, so that both sides are plain shuffles and a hub's edges can be split over tasks
+        low = checkpointed(_low(both, "u"))
+        star = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = star.where("u <> v").distinct()
         low = _low(star, "u")
         near = star.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
