@@ -6,6 +6,9 @@ of several runs a set of n shingles is sent down the path of each shingle whose
 force on sketches; a larger one is split again on sampled positions of the sketches, until its parts are
 small or hardly shrink (then its nodes are alike, and are candidates as a whole). A pair at the
 threshold is missed by a run with a probability of about 1 / e, so the number of runs follows from RECALL.
+A split takes SPLIT times as many positions: such a pair shares about SPLIT of them, so what the splits
+lose, over however many levels, still meets RECALL (a path's line of parts dies out with the q that solves
+q = exp(-SPLIT (1 - q)), 0.02, and the pair is missed with exp(-RUNS (1 - q))).
 
 What meets in a bucket and looks alike is kept as a forest, not as pairs; its connected components hold
 all candidates. An exact check inside the components follows, on the whole sets, in pairs of blocks of
@@ -41,6 +44,9 @@ LEVEL = NUMERATOR / DENOMINATOR
 RECALL = 0.9999
 RUNS = math.ceil(-math.log(1 - RECALL))
 BINS = 128
+#: Positions of their sketches that a pair at the threshold shares in a split, about. RECALL needs 2.8; more, as
+#: the sketches of a pair at the threshold may have fewer equal bins.
+SPLIT = 4
 #: Nodes of a bucket that is compared by brute force, at most.
 SMALL_BUCKET = 128
 #: Nodes of a block of the exact check, about.
@@ -90,9 +96,9 @@ def sketches(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(least == np.iinfo(np.uint64).max, 0, np.maximum(short, 1)).astype(np.uint16).reshape(n_docs, BINS)
 
 
-def _limits(n: np.ndarray) -> np.ndarray:
-    """Random values below this are chosen: a share of 1 / (LEVEL n)."""
-    return np.minimum(2.0**64 / (LEVEL * np.maximum(n, 1)), 2.0**64 - 4096).astype(np.uint64)
+def _limits(n: np.ndarray, times: float = 1) -> np.ndarray:
+    """Random values below this are chosen: a share of times / (LEVEL n)."""
+    return np.minimum(times * 2.0**64 / (LEVEL * np.maximum(n, 1)), 2.0**64 - 4096).astype(np.uint64)
 
 
 def first_paths(value: np.ndarray, first: np.ndarray, runs: int = RUNS) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +214,7 @@ def _brute_force(batches):
 
 
 def _split_further(batches):
-    """(path, node, sketch, parent) of the nodes of large buckets on their next paths: sampled positions of the sketch."""
+    """(path, node, parent) of the nodes of large buckets on their next paths: sampled positions of the sketch."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -216,9 +222,9 @@ def _split_further(batches):
         place = mix64(np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77))
         u = mix64(mix64(path)[:, None] ^ (place[None, :] + sketch.astype(np.uint64)))
         used = (sketch != 0).sum(1)
-        row, bin_ = np.nonzero((u < _limits(used)[:, None]) & (sketch != 0))
+        row, bin_ = np.nonzero((u < _limits(used, SPLIT)[:, None]) & (sketch != 0))
         take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(mix64(u[row, bin_]).view(np.int64)), batch.column("node").take(take), batch.column("sketch").take(take), batch.column("bucket").take(take)], ["path", "node", "sketch", "parent"])
+        yield pa.RecordBatch.from_arrays([pa.array(mix64(u[row, bin_]).view(np.int64)), batch.column("node").take(take), batch.column("bucket").take(take)], ["path", "node", "parent"])
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -234,22 +240,25 @@ def _buckets(rows: DataFrame) -> DataFrame:
 def candidates(nodes: DataFrame) -> DataFrame:
     """(u, v): a forest over nodes that may be linked, from (node, sketch, paths)."""
     flat = nodes.select("node", F.explode(F.array_distinct("paths")).alias("path"))
-    met = _buckets(flat).join(nodes.select("node", "sketch"), "node").select("path", "node", "sketch", "bucket")
-    level = checkpointed(met)
+    # sketches are long, so rows on paths are kept without them
+    level = checkpointed(_buckets(flat))
+    sketch = nodes.select("node", "sketch")
     found = []
     while True:
-        few = level.where(F.col("bucket") <= SMALL_BUCKET).select("path", "node", "sketch").repartition("path").sortWithinPartitions("path")
+        few = level.where(F.col("bucket") <= SMALL_BUCKET).join(sketch, "node").select("path", "node", "sketch")
+        few = few.repartition("path").sortWithinPartitions("path")
         found.append(checkpointed(few.mapInArrow(_brute_force, "u long, v long").distinct()))
         large = level.where(F.col("bucket") > SMALL_BUCKET)
         if large.isEmpty():
             break
-        parts = checkpointed(large.select("path", "node", "sketch", "bucket").mapInArrow(_split_further, "path long, node long, sketch binary, parent long"))
+        sketch = checkpointed(sketch.join(large.select("node").distinct(), "node", "left_semi"))
+        parts = checkpointed(large.join(sketch, "node").select("path", "node", "sketch", "bucket").mapInArrow(_split_further, "path long, node long, parent long"))
         parts = checkpointed(_buckets(parts))
         # a part with half of its bucket's nodes will hardly shrink: its nodes are alike
         dense = (F.col("bucket") > SMALL_BUCKET) & (2 * F.col("bucket") > F.col("parent"))
         root = parts.where(dense).groupBy("path").agg(F.min("node").alias("v"))
         found.append(checkpointed(parts.where(dense).select("path", F.col("node").alias("u")).join(root, "path").where("u <> v").select("u", "v").distinct()))
-        level = parts.where(~dense).select("path", "node", "sketch", "bucket")
+        level = parts.where(~dense).select("path", "node", "bucket")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
