@@ -52,7 +52,11 @@ def normal_url(url: Column) -> Column:
 
 
 def encode_component(text: Column) -> Column:
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Percent-encodes all but letters, digits and -_.!~*'() of a text."""
+    coded = F.url_encode(text)
+    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        coded = F.replace(coded, F.lit(code), F.lit(plain))
+    return coded
 
 
 def ulid_millis(ulid: Column) -> Column:

@@ -48,6 +48,15 @@ def s5_storage_keys(spark, d):
     return p.select("page_id", F.concat(F.lit("repos/"), text.encode_component(name)).alias("key_start"), F.length("url").cast("long").alias("n"))
 
 
+@query("""SELECT page_id, 'repos/' || replace(replace(replace(replace(replace(url_encode(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE url END), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS key_start,
+  length(url) AS n FROM pages""")
+def s5_all_storage_keys(spark, d):
+    """Keys of every page: what follows the first '://', or the whole url without one; null for a null url."""
+    at = F.instr("url", "://")
+    name = F.when(at > 0, F.substr("url", at + 3)).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("repos/"), text.encode_component(name)).alias("key_start"), F.length("url").cast("long").alias("n"))
+
+
 @query("SELECT count(*) AS good, count(*) FILTER (props IS NULL) AS bad, sum((props::JSON->>'$.k')::BIGINT)::BIGINT AS total FROM events")
 def s10_x15_json_payloads(spark, d):
     e = table(spark, d, "events").withColumn("parsed", F.from_json("props", "k long"))

@@ -1,5 +1,6 @@
 import math
 import os
+from urllib.parse import quote
 
 import duckdb
 import pytest
@@ -43,3 +44,10 @@ def test_entry_imports_and_registers():
     assert set(library.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     if os.path.isdir(os.path.join(os.path.dirname(e.__file__), "skarn", "llm")):
         assert {"pipeline", "op6_chosen_path"} <= set(e.queries())
+
+
+def test_storage_keys_of_all_urls(spark, tmp_path):
+    urls = {1: "https://a.org/x?q=1&r=a b#top", 2: None, 3: "http://a.org:80/%C3/é", 4: "no scheme", 5: "http://a/?to=http://b/~(it's)*!"}
+    spark.createDataFrame(list(urls.items()), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.key_start for r in library.QUERIES["s5_all_storage_keys"](spark, str(tmp_path)).collect()}
+    assert got == {i: u and "repos/" + quote(u.split("://", 1)[-1], safe="-_.!~*'()") for i, u in urls.items()}
