@@ -7,7 +7,7 @@ from skarn import vocabulary
 from skarn.functions import text
 from skarn.operators import artifacts as files_of
 from skarn.operators import classify, ingest, journal, search, signals
-from skarn.plans.tools import TOOLS_SQL, now, repos, table
+from skarn.plans.tools import TOOLS_SQL, now, repos, table, tools
 from skarn.queries import query
 from skarn.streaming import consumer
 
@@ -114,6 +114,15 @@ def j13_facet_labels(spark, d):
     return search.labelled(counts, VOCABULARY.frame(spark)).where("family = 'license_class'")
 
 
+@query(TOOLS_SQL + ", " + vocabulary_sql() + """, own AS (SELECT id, 'kind' AS family, kind AS value FROM tools UNION SELECT id, 'domains', unnest(domains) FROM tools UNION SELECT id, 'install_methods', unnest(methods) FROM tools
+  UNION SELECT id, 'license_class', CASE license WHEN 'mit' THEN 'permissive' WHEN 'apache-2.0' THEN 'permissive' WHEN 'gpl-3.0' THEN 'copyleft' WHEN 'busl-1.1' THEN 'source-available' ELSE 'unknown' END FROM tools)
+SELECT DISTINCT id, family, value, label FROM own JOIN vocab USING (family, value) WHERE NOT hidden""")
+def f29_all_visible_links(spark, d):
+    """Links of every tool; unknown license classes are hidden, and the tools' kinds and domains aren't in the vocabulary."""
+    t = tools(spark, d).withColumns({"install_methods": F.col("install_methods.method"), "license_class": classify.license_class(VOCABULARY)})
+    return search.visible_links(t, VOCABULARY.frame(spark), ["kind", "domains", "install_methods", "license_class"])
+
+
 @query(ARTIFACTS_SQL + "SELECT id, len(doms) BETWEEN 1 AND 3 AS ok FROM art")
 def f25_vocabulary_membership(spark, d):
     a = artifacts(spark, d).withColumn("found", classify.domains(VOCABULARY))

@@ -51,3 +51,10 @@ def test_storage_keys_of_all_urls(spark, tmp_path):
     spark.createDataFrame(list(urls.items()), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.key_start for r in library.QUERIES["s5_all_storage_keys"](spark, str(tmp_path)).collect()}
     assert got == {i: u and "repos/" + quote(u.split("://", 1)[-1], safe="-_.!~*'()") for i, u in urls.items()}
+
+
+def test_links_of_all_tools_without_hidden_values(spark, sf, duck):
+    got = library.QUERIES["f29_all_visible_links"](spark, sf).collect()
+    some = duck.execute("SELECT count(*) FROM part WHERE p_size & 7 > 0").fetchone()[0]
+    assert len({r.id for r in got if r.family == "install_methods"}) == some
+    assert {r.value for r in got if r.family == "license_class"} == {"permissive", "copyleft", "source-available"}
