@@ -139,10 +139,13 @@ def corrections(words: DataFrame, vocabulary: DataFrame, n: int = 4) -> DataFram
 
     Tolerance is 2 from 8 letters, 1 from 5, else 0; words of the vocabulary aren't corrected. Candidates
     meet on deletion neighbourhoods: two words within k edits share a text that leaves out at most k letters
-    of each, so no word is compared with the whole vocabulary.
+    of each, so no word is compared with the whole vocabulary. Words more than two letters longer than all
+    of the vocabulary have no suggestion, and so no neighbourhood is made of them.
     """
     tolerance = lambda c: F.when(F.length(c) >= 8, 2).when(F.length(c) >= 5, 1).otherwise(0)
     asked = words.select("word").distinct().join(vocabulary.select("word"), "word", "left_anti").where(tolerance(F.col("word")) > 0)
+    longest = vocabulary.agg(F.max(F.length("word")).alias("longest"))
+    asked = asked.join(F.broadcast(longest), F.length("word") <= F.col("longest") + 2)  # one row
     left = asked.select("word", F.explode(_without(F.col("word"))).alias("part"))
     right = vocabulary.select(F.col("word").alias("suggestion"), F.explode(_without(F.col("word"))).alias("part"))
     met = left.join(right, "part").select("word", "suggestion").distinct()

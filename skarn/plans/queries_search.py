@@ -235,6 +235,17 @@ def r14_suggestions(spark, d):
     return search.corrections(counts.where(~frequent), counts.where(frequent).select("word"))
 
 
+@query()
+def r14_all_suggestions(spark, d):
+    """Corrects each rarer word of the corpus by its frequent ones: words of any letters and length."""
+    docs = table(spark, d, "documents")
+    n = docs.count()
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
+    frequent = F.col("docs") >= max(3, n // 50)
+    return search.corrections(counts.where(~frequent), counts.where(frequent).select("word"))
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
 n AS (SELECT query_id, vec_id, list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i]::DOUBLE * embedding[i]::DOUBLE)) /
   (sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS cosine

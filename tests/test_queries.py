@@ -58,3 +58,24 @@ def test_links_of_all_tools_without_hidden_values(spark, sf, duck):
     some = duck.execute("SELECT count(*) FROM part WHERE p_size & 7 > 0").fetchone()[0]
     assert len({r.id for r in got if r.family == "install_methods"}) == some
     assert {r.value for r in got if r.family == "license_class"} == {"permissive", "copyleft", "source-available"}
+
+
+def test_suggestions_of_all_words(spark, tmp_path):
+    often = "größenordnung straße internationalisierung слово cliché four"
+    rare = ["größenordnumg strasse strase internationalisierungg слова clichés fours x" + "y" * 5000, "internationlisirung größenordnung", None, ""]
+    texts = [often] * 4 + rare
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.word, r.suggestion, r.distance) for r in library.QUERIES["r14_all_suggestions"](spark, str(tmp_path)).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    asked = {w for t in rare for w in (t or "").split()} - set(often.split())
+    want = {(w, v, distance(w, v)) for w in asked for v in often.split() if len(w) < 100}
+    assert got == {(w, v, k) for w, v, k in want if k <= (2 if len(w) >= 8 else 1 if len(w) >= 5 else 0)}
+    assert {"größenordnumg", "internationalisierungg", "слова", "clichés"} <= {w for w, _, _ in got}
