@@ -3,17 +3,21 @@
 Chosen-path join. Texts with equal sets are one node (their copies are never expanded into pairs). In each
 of several runs a set of n shingles is sent down the path of each shingle whose random value is below
 1 / (0.8 n): a pair at the threshold shares about one. A path's bucket with few nodes is compared by brute
-force on sketches; a larger one is split again on sampled positions of the sketches, until its parts are
-small or hardly shrink (then its nodes are alike, and are candidates as a whole). A pair at the
-threshold is missed by a run with a probability of about 1 / e, so the number of runs follows from RECALL.
-A split takes SPLIT times as many positions: such a pair shares about SPLIT of them, so what the splits
-lose, over however many levels, still meets RECALL (a path's line of parts dies out with the q that solves
-q = exp(-SPLIT (1 - q)), 0.02, and the pair is missed with exp(-RUNS (1 - q))).
-
-What meets in a bucket and looks alike is kept as a forest, not as pairs; its connected components hold
-all candidates. An exact check inside the components follows, on the whole sets, in pairs of blocks of
-bounded size: it counts each node's links and returns the forest of true links. So rows grow with nodes
-and blocks, not with pairs, and each link counts once.
+force on sketches. The nodes of larger buckets are split again, on paths of 4, then 8 sampled
+shingles (the smallest of so many bins of their sketches); a pair of similarity s shares such a path of d
+shingles with s ** d, so texts that share only a common passage part soon. Each depth repeats its runs until
+a pair at the threshold is missed with 1 - RECALL.
+
+What meets in a bucket and looks alike is kept as a forest, not as pairs, and only the connected components
+of all these forests matter. So a bucket of long paths that is still large is first dealt into random
+blocks, each compared in itself: that connects near copies, over the buckets of all runs. If the bucket
+then lies in one component, nothing in it is left to find. Otherwise its nodes go to the next depth, or
+(up to MEDIUM_BUCKET nodes, and after the last depth) the nodes outside of its main component are compared
+with all, block by block. A bucket's size alone links nothing.
+
+An exact check inside the components follows, on the whole sets, in pairs of blocks of bounded size: it
+counts each node's links and returns the forest of true links. So rows grow with nodes and blocks, not
+with pairs, and each link counts once.
 
 Shingles are 52-bit hashes of five words (runs of ``[^\\x20\\x09-\\x0D]``, as they stand); nodes are 64-bit
 hashes of sets.
@@ -26,6 +30,7 @@ read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +49,19 @@ LEVEL = NUMERATOR / DENOMINATOR
 RECALL = 0.9999
 RUNS = math.ceil(-math.log(1 - RECALL))
 BINS = 128
-#: Positions of their sketches that a pair at the threshold shares in a split, about. RECALL needs 2.8; more, as
-#: the sketches of a pair at the threshold may have fewer equal bins.
-SPLIT = 4
-#: Nodes of a bucket that is compared by brute force, at most.
+#: Shingles of a path: of the first paths, and of those that the nodes of large buckets take then.
+DEPTHS = (1, 4, 8)
+#: Runs of the longer paths, as a multiple of those that RECALL needs, as the sketches of a pair at the threshold
+#: may have fewer equal bins.
+SPARE = 2
+#: Nodes of a bucket that is compared by brute force, at most, and of a block of larger buckets, about.
 SMALL_BUCKET = 128
+#: Nodes of a bucket of long paths whose blocks are compared with one another, at most, before the last depth.
+MEDIUM_BUCKET = 2048
 #: Nodes of a block of the exact check, about.
 BLOCK = 384
+#: Pairs of sketches compared in one call.
+COMPARED = 1 << 14
 #: Documents of a chunk, as their numbers share a word with the shingles.
 MOST_DOCS = 4096
 
@@ -96,9 +107,9 @@ def sketches(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(least == np.iinfo(np.uint64).max, 0, np.maximum(short, 1)).astype(np.uint16).reshape(n_docs, BINS)
 
 
-def _limits(n: np.ndarray, times: float = 1) -> np.ndarray:
-    """Random values below this are chosen: a share of times / (LEVEL n)."""
-    return np.minimum(times * 2.0**64 / (LEVEL * np.maximum(n, 1)), 2.0**64 - 4096).astype(np.uint64)
+def _limits(n: np.ndarray) -> np.ndarray:
+    """Random values below this are chosen: a share of 1 / (LEVEL n)."""
+    return np.minimum(2.0**64 / (LEVEL * np.maximum(n, 1)), 2.0**64 - 4096).astype(np.uint64)
 
 
 def first_paths(value: np.ndarray, first: np.ndarray, runs: int = RUNS) -> tuple[np.ndarray, np.ndarray]:
@@ -194,37 +205,81 @@ def _join_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _brute_force(batches):
-    """(u, v) forests of the nodes that look alike in the same bucket; rows come sorted by path."""
-    for table in _by_group(batches, ("path",)):
-        path, node, sketch = table.column("path").to_numpy(), table.column("node").to_numpy(), _matrix(table.column("sketch"))
+    """(u, v) forests of the nodes that look alike in the same blocks but lie in different components; rows come sorted by path, i, j."""
+    keys = ("path", "i", "j")
+    for table in _by_group(batches, keys):
+        node, component, sketch = table.column("node").to_numpy(), table.column("c").to_numpy(), _matrix(table.column("sketch"))
+        change = np.zeros(len(node), bool)
+        for k in keys:
+            c = table.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        group = np.cumsum(change)
         left, right = [], []
-        row = np.arange(len(path))
-        for d in range(1, len(path)):
-            row = row[row + d < len(path)]
-            row = row[path[row] == path[row + d]]
+        row = np.arange(len(node))
+        for d in range(1, len(node)):
+            row = row[row + d < len(node)]
+            row = row[group[row] == group[row + d]]
             if not len(row):
                 break
-            hit = row[alike(sketch[row], sketch[row + d])]
-            left.append(hit)
-            right.append(hit + d)
+            apart = row[component[row] != component[row + d]]
+            for a in range(0, len(apart), COMPARED):
+                some = apart[a : a + COMPARED]
+                hit = some[alike(sketch[some], sketch[some + d])]
+                left.append(hit)
+                right.append(hit + d)
         if left:
-            label = _join_labels(len(path), np.concatenate(left), np.concatenate(right))
-            linked = np.flatnonzero(label != np.arange(len(path)))
+            label = _join_labels(len(node), np.concatenate(left), np.concatenate(right))
+            linked = np.flatnonzero(label != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["u", "v"])
 
 
-def _split_further(batches):
-    """(path, node, parent) of the nodes of large buckets on their next paths: sampled positions of the sketch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sketch, path = _matrix(batch.column("sketch")), batch.column("path").to_numpy().view(np.uint64)
-        place = mix64(np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77))
-        u = mix64(mix64(path)[:, None] ^ (place[None, :] + sketch.astype(np.uint64)))
-        used = (sketch != 0).sum(1)
-        row, bin_ = np.nonzero((u < _limits(used, SPLIT)[:, None]) & (sketch != 0))
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(mix64(u[row, bin_]).view(np.int64)), batch.column("node").take(take), batch.column("bucket").take(take)], ["path", "node", "parent"])
+def filled(sketch: np.ndarray) -> np.ndarray:
+    """Sketches whose empty bins take another bin's value: of a sequence of bins, the same for all sets, the first that isn't empty.
+
+    Two sets agree in any bin with about their similarity, however few their bins are. Sketches have one value at least.
+    """
+    out = mix64(sketch.astype(np.uint64))
+    row, bin_ = np.nonzero(sketch == 0)
+    attempt = 0
+    while len(row):
+        attempt += 1
+        from_ = (mix64(bin_.astype(np.uint64) + np.uint64(attempt << 32)) % np.uint64(BINS)).astype(np.int64)
+        value = sketch[row, from_]
+        hit = value != 0
+        out[row[hit], bin_[hit]] = mix64(value[hit].astype(np.uint64) + np.uint64(attempt << 16))
+        row, bin_ = row[~hit], bin_[~hit]
+    return out
+
+
+def runs_of(depth: int) -> int:
+    """Runs of paths of ``depth`` shingles: a pair at the threshold shares one of them with LEVEL ** depth."""
+    return math.ceil(SPARE * math.log(1 - RECALL) / math.log(1 - LEVEL**depth))
+
+
+def long_paths(sketch: np.ndarray, depth: int) -> np.ndarray:
+    """A path of each run for each sketch: the values of ``depth`` bins that the run samples."""
+    full = filled(sketch)
+    rng = np.random.Generator(np.random.PCG64([depth, 90217]))
+    out = np.empty((len(full), runs_of(depth)), np.uint64)
+    for run in range(out.shape[1]):
+        path = np.full(len(full), run * 64 + depth, np.uint64)
+        for b in rng.choice(BINS, depth, False):
+            path = mix64(path * np.uint64(0xD6E8FEB86659FD93) + full[:, b])
+        out[:, run] = path
+    return out.view(np.int64)
+
+
+def _split_further(depth: int):
+    """(path, node) of each node's paths of that depth."""
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                path = long_paths(_matrix(part.column("sketch")), depth)
+                node = np.repeat(part.column("node").to_numpy(), path.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(path.ravel()), pa.array(node)], ["path", "node"])
+
+    return run
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -234,35 +289,63 @@ def _buckets(rows: DataFrame) -> DataFrame:
     common path can be split over tasks.
     """
     size = checkpointed(rows.groupBy("path").agg(F.count(F.lit(1)).alias("bucket")).where("bucket > 1"))
-    return rows.join(size, "path")
+    return checkpointed(rows.join(size, "path"))
+
+
+def _compared(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(u, v): a forest of what looks alike among (path, i, j, node, c) with the same path, i and j, and another c."""
+    met = rows.join(sketch, "node").select("path", "i", "j", "node", "c", "sketch")
+    met = met.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
+    return checkpointed(met.mapInArrow(_brute_force, "u long, v long").distinct())
+
+
+def _mixed(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """The rows of buckets that don't lie in one component of the forests found so far.
+
+    Adds c, the node's component; main, the component with most of the bucket's nodes; and others, the
+    number of nodes outside of that.
+    """
+    member = components(reduce(DataFrame.unionByName, found))
+    rows = checkpointed(rows.join(member, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
+    size = rows.groupBy("path", "c").agg(F.count(F.lit(1)).alias("size"))
+    most = size.groupBy("path").agg(F.max_by("c", F.struct("size", "c")).alias("main"), (F.sum("size") - F.max("size")).alias("others"))
+    return checkpointed(rows.join(checkpointed(most.where("others > 0")), "path"))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """(path, i, j, node, c): the nodes outside of a bucket's main component, in blocks i, meet all its nodes, in blocks j."""
+    outer = F.ceil(F.col("others") / SMALL_BUCKET)
+    blocks = F.ceil(F.col("bucket") / SMALL_BUCKET)
+    zero = F.lit(0).cast("long")
+    every = rows.select("path", F.explode(F.sequence(zero, outer - 1)).alias("i"), F.col("block").alias("j"), "node", "c")
+    some = rows.where("c <> main").withColumn("i", F.pmod(F.xxhash64("node", "path"), outer))
+    return every.unionByName(some.select("path", "i", F.explode(F.sequence(zero, blocks - 1)).alias("j"), "node", "c"))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """(u, v): a forest over nodes that may be linked, from (node, sketch, paths)."""
-    flat = nodes.select("node", F.explode(F.array_distinct("paths")).alias("path"))
     # sketches are long, so rows on paths are kept without them
-    level = checkpointed(_buckets(flat))
     sketch = nodes.select("node", "sketch")
-    found = []
-    while True:
-        few = level.where(F.col("bucket") <= SMALL_BUCKET).join(sketch, "node").select("path", "node", "sketch")
-        few = few.repartition("path").sortWithinPartitions("path")
-        found.append(checkpointed(few.mapInArrow(_brute_force, "u long, v long").distinct()))
-        large = level.where(F.col("bucket") > SMALL_BUCKET)
-        if large.isEmpty():
+    level = _buckets(nodes.select("node", F.explode(F.array_distinct("paths")).alias("path")))
+    large = F.col("bucket") > SMALL_BUCKET
+    one = F.lit(0).cast("long")
+    found = [_compared(level.where(~large).select("path", one.alias("i"), one.alias("j"), "node", F.col("node").alias("c")), sketch)]
+    level = level.where(large)
+    for depth in DEPTHS[1:]:
+        if level.isEmpty():
+            break
+        sketch = checkpointed(sketch.join(level.select("node").distinct(), "node", "left_semi"))
+        rows = _buckets(sketch.mapInArrow(_split_further(depth), "path long, node long"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("path", "node"), F.ceil(F.col("bucket") / SMALL_BUCKET)))
+        found.append(_compared(rows.select("path", F.col("block").alias("i"), F.col("block").alias("j"), "node", F.col("node").alias("c")), sketch))
+        level = rows.where(large)
+        if level.isEmpty():
             break
-        sketch = checkpointed(sketch.join(large.select("node").distinct(), "node", "left_semi"))
-        parts = checkpointed(large.join(sketch, "node").select("path", "node", "sketch", "bucket").mapInArrow(_split_further, "path long, node long, parent long"))
-        parts = checkpointed(_buckets(parts))
-        # a part with half of its bucket's nodes will hardly shrink: its nodes are alike
-        dense = (F.col("bucket") > SMALL_BUCKET) & (2 * F.col("bucket") > F.col("parent"))
-        root = parts.where(dense).groupBy("path").agg(F.min("node").alias("v"))
-        found.append(checkpointed(parts.where(dense).select("path", F.col("node").alias("u")).join(root, "path").where("u <> v").select("u", "v").distinct()))
-        level = parts.where(~dense).select("path", "node", "bucket")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+        level = _mixed(level, found)
+        ready = F.lit(depth == DEPTHS[-1]) | (F.col("bucket") <= MEDIUM_BUCKET)
+        found.append(_compared(_across(level.where(ready)), sketch))
+        level = level.where(~ready)
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _exact(batches):
@@ -327,12 +410,14 @@ def similar(docs: DataFrame, text: str = "text") -> DataFrame:
     own = rows.select("doc_id", "node", "n")
     with_words = rows.where("n > 0")
     nodes = checkpointed(with_words.groupBy("node").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
-    member = checkpointed(components(candidates(nodes)))
+    # sets of fewer shingles have no other set within the threshold
+    member = components(candidates(nodes.where(F.col("n") >= NUMERATOR)))
     links, forest = _verified(docs, text, nodes, member)
     group = components(forest).select("node", "component")
     per_node = nodes.select("node", "text_id", "copies").join(links, "node", "left").join(group, "node", "left")
     per_node = checkpointed(per_node.withColumn("component", F.coalesce("component", "node")))
-    classes = per_node.groupBy("component").agg(F.min("text_id").alias("class_id"))
+    # kept before the join, so that the nodes of a large class can be split over tasks
+    classes = checkpointed(per_node.groupBy("component").agg(F.min("text_id").alias("class_id")))
     per_node = per_node.join(classes, "component").drop("component").withColumnRenamed("node", "node_")
     out = own.join(per_node, (F.col("node") == F.col("node_")) & (F.col("n") > 0), "left")
     zero = F.lit(0).cast("long")
@@ -344,7 +429,7 @@ def similar(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _verified(docs: DataFrame, text: str, nodes: DataFrame, member: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, links, documents) of the linked nodes, and the forest (u, v) of true links."""
-    size = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    size = checkpointed(member.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     wanted = member.join(size, "component").join(nodes.select("node", "text_id", "copies"), "node")
     wanted = checkpointed(wanted.select(F.col("node").alias("node_"), "component", "size", "text_id", "copies"))
     sets = _shingled(docs, text, _set_columns, "node long, n long, tokens binary")

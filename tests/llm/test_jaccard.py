@@ -4,10 +4,10 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from skarn.llm import jaccard
+from skarn.llm.graph import components
 
 
 def sets_of(rows):
@@ -83,28 +83,57 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(docs).collect()) == [0, 0, 1, 2, 3]
 
 
-@pytest.mark.parametrize("n", [20, 100, 400])
-def test_splits_keep_threshold_pairs_of_hot_shingles(n):
-    """All buckets that a pair shares are split, three times over, as where each shingle is in many texts."""
+@pytest.mark.parametrize("depth", jaccard.DEPTHS[1:])
+@pytest.mark.parametrize("n", [5, 20, 100, 400])
+def test_long_paths_keep_threshold_pairs(n, depth):
+    """Pairs at the threshold whose first paths are all in large buckets meet on a longer path."""
     pairs = 4000
     whole = np.sort(np.random.default_rng(n).integers(0, 2**52, (pairs, n), dtype=np.uint64), 1)
     part = np.sort(np.random.default_rng(n + 1).permuted(whole, axis=1)[:, : n * 4 // 5], 1)
-    sides = []
-    for x in (whole, part):
-        first = np.arange(pairs + 1) * x.shape[1]
-        path, at = jaccard.first_paths(x.ravel(), first)
-        sides.append((jaccard.sketches(x.ravel(), first), np.repeat(np.arange(pairs), np.diff(at)), path))
-    sketch = [s[0] for s in sides]
-    rows = [set(zip(s[1].tolist(), s[2].tolist(), strict=True)) for s in sides]
-    for _ in range(3):
-        both = sorted(rows[0] & rows[1])
-        rows = []
-        for s in sketch:
-            rows.append(set())
-            for a in range(0, len(both), 4096):
-                pair, path = (np.array(c, np.int64) for c in zip(*both[a : a + 4096], strict=True))
-                batch = pa.RecordBatch.from_arrays([pa.array(path), pa.array(pair), jaccard._binary(s[pair]), pa.array(pair)], ["path", "node", "sketch", "bucket"])
-                for out in jaccard._split_further([batch]):
-                    rows[-1] |= set(zip(out.column("node").to_pylist(), out.column("path").to_pylist(), strict=True))
-        missed = pairs - len({p for p, _ in rows[0] & rows[1]})
-        assert missed <= 3  # 0.4 expected at a recall of 0.9999
+    sketch = [jaccard.sketches(x.ravel(), np.arange(pairs + 1) * x.shape[1]) for x in (whole, part)]
+    assert jaccard.alike(*sketch).all()
+    a, b = (jaccard.long_paths(s, depth) for s in sketch)
+    assert (a != b).all(1).sum() <= 3  # 0.4 expected at a recall of 0.9999
+
+
+def template_corpus(n=1500, share=0.37, words=90):
+    """Pairs of near copies, each pair with words of its own and one passage that all texts have."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
+    common = " ".join(word() for _ in range(int(words * share)))
+    rows = []
+    for _ in range(n // 2):
+        own = [word() for _ in range(words - int(words * share))]
+        rows.append(common + " " + " ".join(own))
+        own[rng.randrange(len(own))] = word()
+        rows.append(common + " " + " ".join(own))
+    return list(enumerate(rows))
+
+
+def test_a_common_passage_makes_no_large_component(spark):
+    rows = template_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketched = jaccard._shingled(docs, "text", jaccard._sketch_columns, "node long, n long, sketch binary, paths array<long>")
+    found = components(jaccard.candidates(sketched.drop("doc_id", "n"))).groupBy("component").count().agg({"count": "max"}).first()[0]
+    assert found <= 4
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_linked_texts) for r in jaccard.similar(docs).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("medium", [4, 2048])
+def test_split_buckets_of_a_group_among_strangers(spark, monkeypatch, medium):
+    """A group of near copies and strangers share a passage, so buckets of all depths are large and mixed."""
+    monkeypatch.setattr(jaccard, "SMALL_BUCKET", 8)
+    monkeypatch.setattr(jaccard, "MEDIUM_BUCKET", medium)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
+    common, base = [word() for _ in range(70)], [word() for _ in range(50)]
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        for _ in range(rng.randint(0, 8)):
+            own[rng.randrange(len(own))] = word()
+        texts.append(" ".join(common + own))
+    texts += [" ".join(common + [word() for _ in range(rng.randint(4, 60))]) for _ in range(200)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_linked_texts) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
