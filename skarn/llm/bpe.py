@@ -4,16 +4,20 @@ A partition's texts are split into words by the tokenizer's pattern (run boundar
 classes, worked out for a whole chunk at once). Words not met before become token-position rows
 (word, pos, token), one for each byte. A recursive query joins adjacent positions with the merge table,
 finds each word's pair of lowest rank and contracts it, leftmost first, until no word has a pair left.
-Equal pairs of one word that don't overlap are contracted in one step; a pair that a contraction forms
-never ranks below it, so this is the same as one at a time. A text's ids are its words' ids in order;
-decoding joins (doc, pos, id) rows with the vocabulary and aggregates their bytes by position.
+Words of over SHORT bytes take one statement for each step instead of a recursion, so that old steps' rows
+are dropped: a step contracts all pairs that have the lowest rank of all that could still reach them. What
+can reach a pair is bounded by the text itself: a token that covers a byte is a match of the vocabulary
+there, so only pairs inside the matches over the pair's ends count. A pair that a contraction forms never
+ranks below it, so this gives the same ids as one pair at a time. Where no match crosses a place, the word
+is cut there first, which bounds the rows of a step (LONG_AT_ONCE).
 
 Words and their ids are kept between the batches of a Python worker, WORDS_KEPT at most; beyond that
 the less used are forgotten, which bounds memory and changes no result. The vocabulary file is read from a path that every
 executor has (a parameter).
 
 Defined results: a null or empty text has no ids and decodes to nothing; a text of any length is encoded
-whole (a single unbroken word of n bytes takes a step for each distinct rank in it); repeated rows are
+whole (a stretch without a cut, such as one letter over and over, is contracted in one piece, with about 200
+bytes of memory a byte); repeated rows are
 encoded alike; an empty table gives no rows; other columns of the input are not passed on.
 """
 from __future__ import annotations
@@ -32,9 +36,11 @@ from .textkernel import chunks, texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 WORDS_KEPT = 500_000
-#: Bytes of a word that takes the query for short words.
-SHORT = 256
-WORDS_AT_ONCE = 25_000
+#: Bytes of a word that takes the query for short words; bytes of the words of one query, about.
+SHORT = 40
+WORDS_AT_ONCE = 400_000
+LONG_AT_ONCE = 1 << 17
+MATCHED_AT_ONCE = 1 << 20
 LETTER, NUMBER, BLANK = 1, 2, 3
 
 
@@ -124,23 +130,19 @@ WITH RECURSIVE step(wp, nx, token, done) AS (
 SELECT wp >> 16 AS word, list(token::INTEGER ORDER BY wp) AS ids FROM step WHERE done GROUP BY 1 ORDER BY 1
 """
 
-#: Words over SHORT bytes: all pairs of a word's lowest rank in one step. hit leaves out those at odd places
-#: of a row of overlapping ones.
-ENCODE_LONG = """
-WITH RECURSIVE step(word, pos, token, done) AS (
-    SELECT word, pos, token::BIGINT, false FROM new_tokens
-  UNION ALL (
-    WITH s AS (SELECT a.word, a.pos, a.token, m.rank
-               FROM (SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next FROM step WHERE NOT done) a
-               LEFT JOIN merges m ON a.token * 65536 + a.next = m.pair),
-         best AS (SELECT *, min(rank) OVER (PARTITION BY word) AS low FROM s),
-         placed AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS i FROM best),
-         runs AS (SELECT *, coalesce(rank = low, false) AS is_low,
-                    i - count(*) FILTER (rank = low) OVER (PARTITION BY word ORDER BY pos) AS run FROM placed),
-         hit AS (SELECT *, is_low AND row_number() OVER (PARTITION BY word, run, is_low ORDER BY pos) % 2 = 1 AS merged FROM runs),
-         kept AS (SELECT *, coalesce(lag(merged) OVER (PARTITION BY word ORDER BY pos), false) AS gone FROM hit)
-    SELECT word, pos, CASE WHEN merged THEN low ELSE token END, low IS NULL FROM kept WHERE NOT gone))
-SELECT word, list(token::INTEGER ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
+#: One step for words over SHORT bytes. lo: the first byte that a match over the token's first byte has; hi: the end
+#: of those over its last byte. open: the lowest rank in reach is this pair's. Of overlapping pairs of one rank, those
+#: at odd places of their run are contracted, up to one that isn't open.
+STEP_LONG = """
+WITH paired AS (SELECT *, lead(token) OVER w AS next, lead(word) OVER w AS next_word, lead(hi) OVER w AS next_hi FROM long_tokens WINDOW w AS (ORDER BY pos)),
+     ranked AS (SELECT p.*, m.rank FROM paired p LEFT JOIN merges m ON p.token * 65536 + p.next = m.pair AND p.word = p.next_word),
+     reach AS (SELECT *, row_number() OVER w AS i, rank IS DISTINCT FROM lag(rank) OVER w AS starts,
+                 rank = min(rank) OVER (ORDER BY pos RANGE BETWEEN pos - lo PRECEDING AND coalesce(next_hi, hi) - 1 - pos FOLLOWING) AS open
+               FROM ranked WINDOW w AS (ORDER BY pos)),
+     runs AS (SELECT *, max(CASE WHEN starts THEN i END) OVER w AS run, max(CASE WHEN open IS NOT TRUE THEN i END) OVER w AS shut FROM reach WINDOW w AS (ORDER BY i)),
+     hit AS (SELECT *, coalesce(open AND coalesce(shut, 0) < run AND (i - run) % 2 = 0, false) AS merged FROM runs),
+     kept AS (SELECT *, coalesce(lag(merged) OVER (ORDER BY i), false) AS gone FROM hit)
+SELECT word, pos, CASE WHEN merged THEN rank ELSE token END AS token, lo, CASE WHEN merged THEN next_hi ELSE hi END AS hi FROM kept WHERE NOT gone ORDER BY pos
 """
 
 DECODE = """
@@ -148,13 +150,42 @@ SELECT doc, list(v.bytes ORDER BY pos) AS parts FROM doc_tokens JOIN vocabulary
 """
 
 
+def _groups(words: list[bytes], most: int):
+    """The words in groups of about ``most`` bytes, at least one word each."""
+    start, size = 0, 0
+    for i, w in enumerate(words):
+        if i > start and size + len(w) > most:
+            yield words[start:i]
+            start, size = i, 0
+        size += len(w)
+    if start < len(words):
+        yield words[start:]
+
+
+@cache
+def _tree(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary's prefix tree: sorted edges (state * 256 + byte), where each leads, and whether a state is a token."""
+    states: dict[bytes, int] = {b"": 0}
+    key, to = [], []
+    for token in ranks(path):
+        for n in range(1, len(token) + 1):
+            if token[:n] not in states:
+                states[token[:n]] = len(states)
+                key.append(states[token[: n - 1]] * 256 + token[n - 1])
+                to.append(states[token[:n]])
+    order = np.argsort(np.array(key, np.int64))
+    is_token = np.zeros(len(states), bool)
+    is_token[[states[t] for t in ranks(path)]] = True
+    return np.array(key, np.int64)[order], np.array(to, np.int64)[order], is_token
+
+
 class Codec:
     """The DuckDB side of one Python worker: vocabulary and merges as tables, and the words met so far."""
 
     def __init__(self, path: str):
         import duckdb
 
-        self.rank = ranks(path)
+        self.path, self.rank = path, ranks(path)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         token = list(self.rank.items())
         self.db.register("v", pa.table({"token": pa.array([r for _, r in token], pa.int32()), "bytes": pa.array([t for t, _ in token], pa.binary())}))
@@ -182,13 +213,62 @@ class Codec:
         self.first = np.concatenate(([0], np.cumsum(count[keep])))
         self.uses = self.uses[keep] // 2
 
-    def _contract(self, words: list[bytes], query: str) -> pa.ListArray:
+    def _rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' bytes one after the other, and the word and the place of each."""
         size = np.array([len(w) for w in words], np.int64)
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum(size)
-        pos = np.arange(len(raw)) - np.repeat(ends - size, size)
-        self.db.register("new_tokens", pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": pos.astype(np.int32), "token": self.byte[raw]}))
-        return self.db.sql(query).to_arrow_table()["ids"].combine_chunks()
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        return np.frombuffer(b"".join(words), np.uint8), word, (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+
+    def _short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids, by the recursive query."""
+        raw, word, pos = self._rows(words)
+        self.db.register("new_tokens", pa.table({"word": word, "pos": pos, "token": self.byte[raw]}))
+        got = self.db.sql(ENCODE).to_arrow_table()["ids"].combine_chunks()
+        return np.diff(got.offsets.to_numpy()), got.values.to_numpy()
+
+    def _long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words over SHORT bytes, step by step."""
+        count, ids = [], []
+        raw, word, _ = self._rows(words)
+        ends = self._matched(raw, word)
+        # cuts: places that no match crosses, word ends among them
+        cut = np.append(np.flatnonzero(ends <= np.arange(1, len(raw) + 1)) + 1, len(raw))
+        start = 0
+        while start < len(raw):
+            stop = int(cut[max(np.searchsorted(cut, start, side="right"), np.searchsorted(cut, start + LONG_AT_ONCE, side="right") - 1)])
+            low = start + np.searchsorted(ends[start:stop], np.arange(start, stop), side="right")
+            rows = pa.table({"word": word[start:stop], "pos": np.arange(start, stop), "token": self.byte[raw[start:stop]].astype(np.int64), "lo": low, "hi": ends[start:stop].astype(np.int64)})
+            before = rows.num_rows + 1
+            while rows.num_rows < before:
+                before = rows.num_rows
+                self.db.register("long_tokens", rows)
+                rows = self.db.sql(STEP_LONG).to_arrow_table()
+            self.db.unregister("long_tokens")
+            count.append(np.bincount(rows["word"].to_numpy(), minlength=len(words)))
+            ids.append(rows["token"].to_numpy().astype(np.int32))
+            start = stop
+        return np.sum(count, 0), np.concatenate(ids)
+
+    def _matched(self, raw: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """For each byte, the end of the furthest match of the vocabulary that begins at it or before, in its word or an earlier one."""
+        key, to, is_token = _tree(self.path)
+        n = len(raw)
+        longest = np.ones(n, np.int32)
+        for a in range(0, n, MATCHED_AT_ONCE):
+            at = np.arange(a, min(n, a + MATCHED_AT_ONCE))
+            state = np.zeros(len(at), np.int64)
+            length = 0
+            while len(at):
+                k = state * 256 + raw[at + length]
+                i = np.minimum(np.searchsorted(key, k), len(key) - 1)
+                ok = key[i] == k
+                at, state = at[ok], to[i[ok]]
+                length += 1
+                longest[at[is_token[state]]] = length
+                more = at + length < n
+                more[more] = word[at[more] + length] == word[at[more]]
+                at, state = at[more], state[more]
+        return np.maximum.accumulate(np.arange(n, dtype=np.int32) + longest)
 
     def _add(self, words: list[bytes], count: np.ndarray, ids: np.ndarray) -> None:
         base = len(self.known)
@@ -204,11 +284,9 @@ class Codec:
         if whole:
             self._add(whole, np.ones(len(whole), np.int64), np.array([self.rank[w] for w in whole], np.int32))
         rest = [w for w in new if w not in self.rank]
-        for query, part in ((ENCODE, [w for w in rest if len(w) <= SHORT]), (ENCODE_LONG, [w for w in rest if len(w) > SHORT])):
-            for start in range(0, len(part), WORDS_AT_ONCE):
-                some = part[start : start + WORDS_AT_ONCE]
-                got = self._contract(some, query)
-                self._add(some, np.diff(got.offsets.to_numpy()), got.values.to_numpy())
+        for contract, most, part in ((self._short, WORDS_AT_ONCE, [w for w in rest if len(w) <= SHORT]), (self._long, LONG_AT_ONCE, [w for w in rest if len(w) > SHORT])):
+            for some in _groups(part, most):
+                self._add(some, *contract(some))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin."""

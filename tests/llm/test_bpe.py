@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import random
 import struct
 
 import pyarrow as pa
@@ -47,6 +49,37 @@ def test_long_unbroken_words(reference, text):
     assert ids.tolist() == reference.encode_ordinary(text)
 
 
+LONG = {
+    "letters": lambda r, n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n)), "base64": lambda r, n: base64.b64encode(r.randbytes(n * 3 // 4)).decode(),
+    "four letters": lambda r, n: "".join(r.choices("ACGT", k=n)), "frequent letters": lambda r, n: "".join(r.choices("estarin", k=n)), "one letter": lambda r, n: "a" * n,
+    "two signs": lambda r, n: "=-" * (n // 2),
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_very_long_unbroken_words(reference, kind):
+    text = LONG[kind](random.Random(3), 1_000_000 if kind in ("base64", "letters") else 150_000)
+    ids, _ = bpe.codec(bpe.vocabulary_path()).encode(*texts(pa.array([text])))
+    assert ids.tolist() == reference.encode_ordinary(text)
+
+
+@given(st.lists(st.sampled_from(["in", "ing", "the", "a", "e", "tion", "s", "aaaa", "er", "nt"]), min_size=15, max_size=120))
+@settings(max_examples=100, deadline=None)
+def test_words_beyond_the_short_ones(parts):
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(bpe.vocabulary_path()), special_tokens={})
+    found = ["".join(parts), "".join(reversed(parts)) + "qx" * 30]
+    ids, first = bpe.codec(bpe.vocabulary_path()).encode(*texts(pa.array(found)))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [encoding.encode_ordinary(t) for t in found]
+
+
+@pytest.mark.parametrize("most", [1, 7, 50])
+def test_cuts_of_long_words_change_nothing(reference, monkeypatch, most):
+    monkeypatch.setattr(bpe, "LONG_AT_ONCE", most)
+    found = [LONG[k](random.Random(most), 500) for k in LONG] + ["x" * 41, "qz" * 30]
+    ids, first = bpe.Codec(bpe.vocabulary_path()).encode(*texts(pa.array(found)))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [reference.encode_ordinary(t) for t in found]
+
+
 def test_forgetting_words_changes_nothing(reference, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_KEPT", 10)
     c = bpe.Codec(bpe.vocabulary_path())
