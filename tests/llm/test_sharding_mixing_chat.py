@@ -40,7 +40,8 @@ def mix_sql(docs, how):
     con.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", docs)
     sql = mixing.ORACLE.replace(f"/ {mixing.BLOCK_WORDS}", f"/ {how['block']}").replace(f"* {mixing.BLOCK_WORDS}", f"* {how['block']}")
-    return sorted(con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({sql})").fetchall(), key=str)
+    sql = sql.replace(str(mixing.SHARD_BLOCKS), "50")
+    return sorted(con.execute(f"SELECT doc_id, size, source_size, target, taken, first_shard FROM ({sql})").fetchall(), key=str)
 
 
 @pytest.mark.parametrize("block", [1, 4, 32])
@@ -49,7 +50,8 @@ def test_mix_matches_sql_and_stays_near_targets(spark, block):
     rows = [(i, f"s{i % 7}" if i % 11 else None, words(i, i * 7 % 90)) for i in range(400)] + [(900, "tiny", words(1, 40)), (901, "zero", None), (902, "zero", "")]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, source string, text string, target double")
     got = mixing.mix(df, block=block, shard_blocks=50)
-    plain = [tuple(r) for r in got.select("doc_id", "size", "source_size", "target", "taken").collect()]
+    plain = [tuple(r) for r in got.select("doc_id", "size", "source_size", "target", "taken", "first_shard").collect()]
+    assert len({r[-1] for r in plain}) > 1
     assert sorted(plain, key=str) == mix_sql(rows, {"block": block})
     taken, target = defaultdict(int), {}
     for r in got.collect():
@@ -74,6 +76,61 @@ def test_mixed_documents_have_the_words_taken(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def sources_of_all_kinds(repeats):
+    """Sources of one document, of one very long one among short ones, and rows that repeat."""
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, f"s{i:02}", words(i, 300 + 97 * i)) for i in range(12)]
+    rows += [(100 + i, "t", words(100 + i, 9 + i)) for i in range(20)] + [(150, "t", words(150, 3000)), (151, None, words(151, 400)), (152, None, None)]
+    return rows + [(200 + i % 5, "u", words(200 + i % 5, 40 + i % 5)) for i in range(5 * repeats)]
+
+
+@pytest.mark.parametrize(("block", "repeats"), [(32, 1), (32, 7), (5, 4)])
+def test_words_written_are_the_words_taken(spark, block, repeats):
+    rows = sources_of_all_kinds(repeats)
+    df = spark.createDataFrame([(*r, len(r[2] or "")) for r in rows], "doc_id long, source string, text string, n_chars long")
+    taken, size = Counter(), {}
+    for r in mixing.mix(df, block=block, shard_blocks=20).collect():
+        taken[r.doc_id] += r.taken
+        size[r.doc_id] = r.size
+        assert r.taken == sum(p.words for p in r.pieces) <= 3 * r.size and all(0 <= p.from_word <= p.from_word + p.words <= r.size for p in r.pieces)
+    text = {r[0]: (r[2] or "").split() for r in rows}
+    for by_shard in (False, True):
+        written, times = Counter(), defaultdict(Counter)
+        for r in mixing.mixed_documents(df, by_shard=by_shard, block=block, shard_blocks=20).collect():
+            got = r.text.split()
+            first = text[r.doc_id].index(got[0])
+            assert got == text[r.doc_id][first : first + len(got)] and r.n_chars == len(r.text)
+            written[r.doc_id] += len(got)
+            times[r.doc_id].update(got)
+        assert written == {k: v for k, v in taken.items() if v}
+        n_rows = Counter(r[0] for r in rows)
+        assert all(max(c.values()) <= 3 * n_rows[d] for d, c in times.items())
+
+
+def test_each_shard_has_its_quota_of_each_source(spark):
+    rows = sources_of_all_kinds(1)
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    block, shard_blocks = 8, 25
+    out = defaultdict(Counter)
+    for r in mixing.mixed_documents(df, by_shard=True, block=block, shard_blocks=shard_blocks).collect():
+        out[r.shard][r.source] += len(r.text.split())
+    placed, shards = mixing.placed(mixing.sized(df), block=block, shard_blocks=shard_blocks)
+    name = {r.idx: (r.source, r.source_size) for r in placed.collect()}
+    quota = defaultdict(dict)
+    for r in shards.collect():
+        quota[r.shard][name[r.idx][0]] = r.blocks
+    assert len(quota) > 10 and set(out) == set(quota)
+    for shard, of in quota.items():
+        for source, blocks in of.items():
+            short = blocks * block - out[shard][source]  # a stream's last block may have fewer words
+            assert 0 <= short < 3 * block if blocks else not out[shard][source]
+        assert sum(of.values()) == shard_blocks or shard == max(quota)
+    plain = Counter()
+    for r in mixing.mixed_documents(df, block=block, shard_blocks=shard_blocks).collect():
+        plain[r.source] += len(r.text.split())
+    assert plain == sum(out.values(), Counter())
+
+
 def test_quotas_are_sainte_lague_at_every_shard(spark):
     t = spark.createDataFrame([(1, 5300.0, 9000), (2, 2100.0, 9000), (3, 1400.0, 9000), (4, 1200.0, 400)], "idx int, target double, source_size long")
     q = mixing.shard_quotas(t, block=10, shard_blocks=37)
