@@ -6,27 +6,65 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Family, cardinality (min, max), source, and values with their aliases; "unknown" is hidden.
-FAMILIES = {
-    "kind": ("one", None, "analyzer", """cli; kubectl-plugin; operator; controller; helm-chart; crd-library; admission-webhook; distribution;
-        dashboard-ui; library-sdk; terraform-provider; ide-extension; service; learning-resource"""),
-    "domains": ("many", (1, 3), "analyzer", """networking: networking cni ingress load-balancer; security: security rbac; policy: policy opa;
-        storage: storage csi; database: database databases postgresql postgres mysql mariadb redis mongodb cassandra kafka etcd clickhouse;
-        observability: observability monitoring prometheus tracing logging; ci-cd: ci-cd cicd; gitops: gitops argocd flux; packaging: helm packaging;
-        autoscaling: autoscaling hpa; scheduling: scheduling scheduler batch job-queue; cost: finops cost; multi-cluster: multi-cluster federation;
-        backup-dr: backup disaster-recovery; service-mesh: service-mesh istio envoy; secrets: secrets secrets-management vault sealed-secrets;
-        serverless: serverless faas knative; dev-experience: developer-tools; testing: testing; ai-ml: machine-learning mlops llm; edge: edge iot;
-        troubleshooting: debugging troubleshooting"""),
-    "runtime": ("one", None, "analyzer", "in-cluster; workstation; ci-pipeline; in-your-code; cluster-itself; hosted-service; unknown"),
-    "install_methods": ("many", None, "registry", """brew; mise; asdf; krew; helm; kubectl-apply; go-install; cargo; npm; pip; nix; arkade; apt;
-        container-image; curl-script; github-release; operator-hub"""),
-    "license_class": ("one", None, "derived", """permissive: apache-2.0 mit bsd-2-clause bsd-3-clause isc 0bsd zlib bsl-1.0 ncsa python-2.0 artistic-2.0 postgresql;
-        weak-copyleft: mpl-2.0 lgpl-2.1 lgpl-3.0 epl-1.0 epl-2.0 cddl-1.0 ms-pl; copyleft: gpl-2.0 gpl-3.0 agpl-3.0 osl-3.0 eupl-1.2;
-        source-available: busl-1.1 elastic-2.0 sspl-1.0; public-domain: unlicense cc0-1.0 wtfpl; unknown"""),
-    "openness": ("one", None, "derived", "fully-open; open-core; source-available; unknown"),
-    "maturity": ("one", None, "derived", "cncf-graduated; cncf-incubating; cncf-sandbox; established; young; dormant; archived; unknown"),
-    "governance": ("one", None, "derived", "foundation; vendor-backed; community; individual; unknown"),
-}
+# Each family's id, url parameter, cardinality (with min and max), source, and its values with label
+# and aliases. The value "unknown" is hidden.
+FAMILIES = [
+    ("kind", "kind", "one", None, "analyzer", [
+        ("cli", "CLI"), ("kubectl-plugin", "kubectl plugin"), ("operator", "Operator"), ("controller", "Controller"),
+        ("helm-chart", "Helm chart"), ("crd-library", "CRD library"), ("admission-webhook", "Admission webhook"),
+        ("distribution", "Distribution"), ("dashboard-ui", "Dashboard / UI"), ("library-sdk", "Library / SDK"),
+        ("terraform-provider", "Terraform provider"), ("ide-extension", "IDE extension"), ("service", "Service"),
+        ("learning-resource", "Learning resource"),
+    ]),
+    ("domains", "domain", "many", (1, 3), "analyzer", [
+        ("networking", "Networking", "networking", "cni", "ingress", "load-balancer"),
+        ("security", "Security", "security", "rbac"),
+        ("policy", "Policy", "policy", "opa"),
+        ("storage", "Storage", "storage", "csi"),
+        ("database", "Database", "database", "databases", "postgresql", "postgres", "mysql", "mariadb", "redis", "mongodb", "cassandra", "kafka", "etcd", "clickhouse"),
+        ("observability", "Observability", "observability", "monitoring", "prometheus", "tracing", "logging"),
+        ("ci-cd", "CI/CD", "ci-cd", "cicd"),
+        ("gitops", "GitOps", "gitops", "argocd", "flux"),
+        ("packaging", "Packaging", "helm", "packaging"),
+        ("autoscaling", "Autoscaling", "autoscaling", "hpa"),
+        ("scheduling", "Scheduling", "scheduling", "scheduler", "batch", "job-queue"),
+        ("cost", "Cost", "finops", "cost"),
+        ("multi-cluster", "Multi-cluster", "multi-cluster", "federation"),
+        ("backup-dr", "Backup & DR", "backup", "disaster-recovery"),
+        ("service-mesh", "Service mesh", "service-mesh", "istio", "envoy"),
+        ("secrets", "Secrets", "secrets", "secrets-management", "vault", "sealed-secrets"),
+        ("serverless", "Serverless", "serverless", "faas", "knative"),
+        ("dev-experience", "Developer experience", "developer-tools"),
+        ("testing", "Testing", "testing"),
+        ("ai-ml", "AI / ML", "machine-learning", "mlops", "llm"),
+        ("edge", "Edge", "edge", "iot"),
+        ("troubleshooting", "Troubleshooting", "debugging", "troubleshooting"),
+    ]),
+    ("runtime", "runtime", "one", None, "analyzer", [
+        ("in-cluster", "In cluster"), ("workstation", "Workstation"), ("ci-pipeline", "CI pipeline"), ("in-your-code", "In your code"),
+        ("cluster-itself", "The cluster itself"), ("hosted-service", "Hosted service"), ("unknown", "Unknown"),
+    ]),
+    ("install_methods", "install", "many", None, "registry", [
+        ("brew", "Homebrew"), ("mise", "mise"), ("asdf", "asdf"), ("krew", "krew"), ("helm", "Helm"), ("kubectl-apply", "kubectl apply"),
+        ("go-install", "go install"), ("cargo", "cargo"), ("npm", "npm"), ("pip", "pip"), ("nix", "Nix"), ("arkade", "arkade"), ("apt", "apt"),
+        ("container-image", "Container image"), ("curl-script", "curl script"), ("github-release", "GitHub release"), ("operator-hub", "OperatorHub"),
+    ]),
+    ("license_class", "license_class", "one", None, "derived", [
+        ("permissive", "Permissive", "apache-2.0", "mit", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "zlib", "bsl-1.0", "ncsa", "python-2.0", "artistic-2.0", "postgresql"),
+        ("weak-copyleft", "Weak copyleft", "mpl-2.0", "lgpl-2.1", "lgpl-3.0", "epl-1.0", "epl-2.0", "cddl-1.0", "ms-pl"),
+        ("copyleft", "Copyleft", "gpl-2.0", "gpl-3.0", "agpl-3.0", "osl-3.0", "eupl-1.2"),
+        ("source-available", "Source available", "busl-1.1", "elastic-2.0", "sspl-1.0"),
+        ("public-domain", "Public domain", "unlicense", "cc0-1.0", "wtfpl"), ("unknown", "Unknown"),
+    ]),
+    ("openness", "openness", "one", None, "derived", [("fully-open", "Fully open"), ("open-core", "Open core"), ("source-available", "Source available"), ("unknown", "Unknown")]),
+    ("maturity", "maturity", "one", None, "derived", [
+        ("cncf-graduated", "CNCF graduated"), ("cncf-incubating", "CNCF incubating"), ("cncf-sandbox", "CNCF sandbox"), ("established", "Established"),
+        ("young", "Young"), ("dormant", "Dormant"), ("archived", "Archived"), ("unknown", "Unknown"),
+    ]),
+    ("governance", "governance", "one", None, "derived", [
+        ("foundation", "Foundation"), ("vendor-backed", "Vendor backed"), ("community", "Community"), ("individual", "Individual"), ("unknown", "Unknown"),
+    ]),
+]
 
 
 @dataclass(frozen=True)
@@ -95,13 +133,10 @@ def checked(families: list[Family]) -> Vocabulary:
 
 def standard() -> Vocabulary:
     families = []
-    for name, (cardinality, limits, source, text) in FAMILIES.items():
-        values = []
-        for entry in text.split(";"):
-            value, _, aliases = (x.strip() for x in entry.partition(":"))
-            values.append(Value(value, value.replace("-", " ").capitalize(), tuple(aliases.split()), value == "unknown"))
+    for name, param, cardinality, limits, source, entries in FAMILIES:
+        values = tuple(Value(value, label, tuple(aliases), value == "unknown") for value, label, *aliases in entries)
         least, most = limits or (None, None)
-        families.append(Family(name, {"domains": "domain", "install_methods": "install"}.get(name, name), cardinality, source, tuple(values), least, most))
+        families.append(Family(name, param, cardinality, source, values, least, most))
     return checked(families)
 
 
