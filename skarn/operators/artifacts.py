@@ -45,3 +45,11 @@ def icon_descriptor(source: Column, url: Column, sizes: Column, fetched: Column)
     from skarn.functions.text import is_https
 
     return F.when((F.size(sizes) > 0) & is_https(url), F.struct(source.alias("source"), url.alias("source_url"), fetched.alias("fetched_at")))
+
+
+def kept_icon(previous: Column, error: Column, now: Column) -> Column:
+    """What a failed fetch leaves: the icon that was good before with the error noted, else an empty one."""
+    good = F.coalesce(previous["source"].isNotNull(), F.lit(False))
+    field = lambda name: F.when(good, previous[name]).alias(name)
+    sizes = F.when(good, previous["sizes"]).otherwise(F.array().cast("array<int>")).alias("sizes")
+    return F.struct(field("source"), field("source_url"), sizes, now.alias("fetched_at"), error.alias("error"))

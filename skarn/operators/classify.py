@@ -67,6 +67,11 @@ def kind_rules() -> list[tuple[str, str, float, Column]]:
     ]
 
 
+def declared_kinds() -> list[str]:
+    """The kinds that a rule can give, in the order of the rules."""
+    return list(dict.fromkeys(kind for _, kind, _, _ in kind_rules()))
+
+
 def with_kind(df: DataFrame) -> DataFrame:
     """Adds verdicts (all rules that hold, in order), kind, confidence and rule; null and 0 without a verdict."""
     hits = F.array(*[F.when(test, F.struct(F.lit(r).alias("rule"), F.lit(k).alias("kind"), F.lit(c).alias("confidence"))) for r, k, c, test in kind_rules()])

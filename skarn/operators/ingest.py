@@ -137,10 +137,11 @@ def owner_worklist(repos: DataFrame, owner: str) -> DataFrame:
     return repos.where(F.col("owner") == owner).orderBy(F.desc("stars"), "full_name")
 
 
-def batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Adds batch: rows dealt by hash into batches of about ``size``; no global order, so no single task numbers all rows."""
-    n = max(1, -(-df.count() // size))
-    return df.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(n)))
+def batches(df: DataFrame, size: int) -> DataFrame:
+    """Adds batch: rows dealt into batches of at most ``size``, within partitions, so no row moves and no task numbers all rows."""
+    place = F.monotonically_increasing_id()
+    bits = (1 << 33) - 1  # the lower bits count a partition's rows, the upper ones the partitions
+    return df.withColumn("_place", place).withColumn("batch", F.concat_ws("-", F.shiftright("_place", 33), F.floor(F.col("_place").bitwiseAND(bits) / size))).drop("_place")
 
 
 def with_total(df: DataFrame, by: Sequence[Column], limit: int) -> DataFrame:
@@ -173,7 +174,7 @@ def artifacts(repos: DataFrame, readme: DataFrame, tree: DataFrame, manifests: D
 def generated(spark, n: int, families: dict[str, Sequence[str]], seed: int = 1) -> DataFrame:
     """A corpus of n documents made from hashes: every value of each family occurs, stars are skewed, some are archived."""
     ids = spark.range(n)
-    pick = lambda salt, k: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("id")), F.lit(k))
+    pick = lambda salt, k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(salt), F.col("id"))), 1, 15), 16, 10).cast("long") % k
     values = {f: F.element_at(F.array(*[F.lit(v) for v in vs]), ((F.col("id") + pick(f, 3) * len(vs)) % len(vs) + 1).cast("int")) for f, vs in families.items()}
     stars = F.pow(F.lit(10.0), pick("stars", 4500) / 1000).cast("long")
     owner = F.concat(F.lit("owner"), pick("owner", max(1, n // 4)).cast("string"))

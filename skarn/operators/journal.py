@@ -4,7 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions.text import day_bucket, ulid_millis
+from skarn.functions.text import BASE32_DIGITS, ULID_DIGITS, day_bucket, is_repo_name, ulid_millis
+
+#: Kinds of events, with the fields that each must have.
+EVENTS = {"RepoDiscovered": ("source",), "RepoFetched": ("content_hash", "changed"), "RepoAnalyzed": ("content_hash", "confidence"), "RepoSkipped": ("reason",), "RepoFailed": ("phase", "error")}
+PHASES = ("crawl", "analyze", "project")
 
 
 def append(events: DataFrame, path: str) -> None:
@@ -12,6 +16,53 @@ def append(events: DataFrame, path: str) -> None:
     events.withColumn("day", day_bucket(F.col("ts"))).write.mode("append").partitionBy("day").parquet(path)
 
 
+def violations(events: DataFrame) -> Column:
+    """What is wrong with an event (type, repo, and the fields of its kind), as an array of field names."""
+    there = lambda c: F.col(c).isNotNull() if c in events.columns else F.lit(False)
+    bad = [F.when(~F.coalesce(F.col("type").isin(*EVENTS), F.lit(False)), "type"), F.when(~F.coalesce(is_repo_name(F.col("repo")), F.lit(False)), "repo")]
+    bad += [F.when((F.col("type") == kind) & ~there(c), c) for kind, fields in EVENTS.items() for c in fields]
+    if "confidence" in events.columns:
+        bad.append(F.when((F.col("type") == "RepoAnalyzed") & ~F.col("confidence").between(0, 1), "confidence"))
+    if "phase" in events.columns:
+        bad.append(F.when((F.col("type") == "RepoFailed") & ~F.col("phase").isin(*PHASES), "phase"))
+    return F.array_compact(F.array(*bad))
+
+
+def stamped(events: DataFrame, millis: int, after: str | None = None) -> DataFrame:
+    """Adds id and ts: ids that sort by time and then as the rows come, all greater than ``after``.
+
+    Ten digits of time and sixteen of partition and row. If the clock is not past the time of ``after``, the
+    next millisecond is taken, so events of one instant never sort before earlier ones.
+    """
+    if after is not None:
+        digits = dict(zip(ULID_DIGITS, range(32), strict=False))
+        last = 0
+        for c in after[:10].upper():
+            last = last * 32 + digits[c]
+        millis = max(millis, last + 1)
+    digits = lambda c, n: F.lpad(F.translate(F.conv(c, 10, 32), BASE32_DIGITS, ULID_DIGITS), n, "0")
+    place = F.monotonically_increasing_id()
+    ident = F.concat(digits(F.lit(millis), 10), digits(place, 16))
+    return events.withColumns({"id": ident, "ts": F.timestamp_millis(F.lit(millis))})
+
+
+def append_stamped(events: DataFrame, path: str, millis: int | None = None) -> str | None:
+    """Validates events, stamps them and appends them; one bad event refuses all. Returns the greatest id."""
+    import time
+
+    spark = events.sparkSession
+    if not events.where(F.size(violations(events)) > 0).isEmpty():
+        raise ValueError("an event is not valid")
+    try:
+        after = spark.read.parquet(path).agg(F.max("id")).first()[0]
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        after = None
+    append(stamped(events, int(time.time() * 1000) if millis is None else millis, after), path)
+    return spark.read.parquet(path).agg(F.max("id")).first()[0]
+
+
 def read_after(events: DataFrame, after: str | None = None, limit: int | None = None, until: str | None = None, timed_ids: bool = False) -> DataFrame:
     """Events with a greater id, in order.
 

@@ -44,6 +44,18 @@ def scorecards(repos: DataFrame, cards: DataFrame) -> DataFrame:
     return repos.join(cards.select("repo", F.struct("score", last.alias("checks")).alias("scorecard")), "repo", "left")
 
 
+def dependencies(repos: DataFrame, depsdev: DataFrame) -> DataFrame:
+    """repos with their deps.dev answer, by repo."""
+    return repos.join(depsdev.select("repo", F.struct(*[c for c in depsdev.columns if c != "repo"]).alias("depsdev")), "repo", "left")
+
+
+def open_vulnerabilities(repos: DataFrame, osv: DataFrame) -> DataFrame:
+    """repos (ecosystem, package) with the number of open vulnerabilities, by ``ecosystem::name``; null without an answer or an identity."""
+    answers = osv.select("key", F.size("vulns").alias("osv_open_vulns"), F.col("fetched_at").alias("osv_fetched_at"))
+    key = F.when(F.col("ecosystem").isNotNull() & F.col("package").isNotNull(), F.concat("ecosystem", F.lit("::"), "package"))
+    return repos.withColumn("_key", key).join(answers, F.col("_key") == F.col("key"), "left").drop("_key", "key")
+
+
 def bookkeeping(df: DataFrame, used: dict[str, Column], partial: dict[str, Column]) -> DataFrame:
     """Adds signals_used and partial_signals: the names whose test holds, in order."""
     names = lambda tests: F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items()]))

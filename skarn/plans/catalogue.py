@@ -1,2 +1,2 @@
 """Imports every module that registers queries."""
-from skarn.plans import queries_ingest, queries_more, queries_project, queries_search  # noqa: F401
+from skarn.plans import queries_ingest, queries_more, queries_project, queries_search, queries_state  # noqa: F401

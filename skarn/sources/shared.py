@@ -1,13 +1,26 @@
 """The folder that driver and executors share."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; under a temporary folder only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new path under ``spark.checkpoint.dir``. Where that is unset, a temporary folder does on a single machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it, so that later plans know its size."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

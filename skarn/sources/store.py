@@ -1,16 +1,17 @@
 """A document store over parquet tables: declared collections, upserts by key, filtered reads, promotion of rebuilt tables."""
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.text import is_store_id
 from skarn.operators.filters import order, where_equal
 from skarn.operators.ingest import last_by
+from skarn.sources.versions import Versions
 
 
 @dataclass(frozen=True)
@@ -24,18 +25,18 @@ class Collection:
     sortable: tuple[str, ...] = ()
 
 
+#: Parts of a collection, by a hash of the key; a write makes new versions of the parts that it touches only.
+PARTS = 64
+
+
 class Store:
-    """Collections under one folder. A write puts a new version beside the old one and then points to it,
-    so readers see whole versions; a version is one parquet table."""
+    """Collections under one folder. A write puts new versions of the parts it touches beside the old ones and
+    then a record of which version each part has (see Versions), so readers see whole writes and two writers
+    of one collection can't both win."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.specs = spark, path.rstrip("/"), {}
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
     def ensure(self, specs: Sequence[Collection]) -> None:
         """Declares collections; declaring again changes nothing."""
         for s in specs:
@@ -49,22 +50,32 @@ class Store:
             raise KeyError(f"unknown collection {name}")
         return self.specs[name]
 
-    def _version(self, name: str) -> int:
-        fs, path = self._fs()
-        folder = path(f"{self.path}/{name}")
-        if not fs.exists(folder):
-            return 0
-        done = [re.fullmatch(r"v(\d+)", s.getPath().getName()) for s in fs.listStatus(folder) if fs.exists(path(f"{s.getPath()}/_SUCCESS"))]
-        return max((int(m[1]) for m in done if m), default=0)
+    def _parts(self, name: str) -> tuple[int, dict[str, int]]:
+        number, record = Versions(self.spark, f"{self.path}/{name}/versions").last()
+        return number, (record or {}).get("parts", {})
 
-    def read(self, name: str) -> DataFrame:
-        spec, version = self._spec(name), self._version(name)
-        if not version:
+    def _load(self, name: str, parts: dict[str, int]) -> DataFrame:
+        spec = self._spec(name)
+        if not parts:
             return self.spark.createDataFrame([], spec.schema)
-        return self.spark.read.schema(spec.schema).parquet(f"{self.path}/{name}/v{version}")
+        return self.spark.read.schema(spec.schema).parquet(*[f"{self.path}/{name}/v{v}/_part={p}" for p, v in parts.items()])
+
+    def read(self, name: str) -> DataFrame:
+        return self._load(name, self._parts(name)[1])
 
-    def _write(self, name: str, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.path}/{name}/v{self._version(name) + 1}")
+    def _part(self, key: str) -> Column:
+        return (F.crc32(F.col(key).cast("string").cast("binary")) % PARTS).cast("int")
+
+    def _touched(self, name: str, rows: DataFrame) -> list[str]:
+        return [str(r[0]) for r in rows.select(self._part(self._spec(name).key)).distinct().collect()]  # PARTS at most
+
+    def _replace(self, name: str, number: int, parts: dict[str, int], touched: Sequence[str], rows: DataFrame) -> None:
+        """Writes new versions of the touched parts and records them."""
+        path = f"{self.path}/{name}/v{number + 1}"
+        rows.withColumn("_part", self._part(self._spec(name).key)).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(path)
+        there = set(self._touched(name, self.spark.read.schema(self._spec(name).schema).parquet(path)))
+        kept = {p: v for p, v in parts.items() if p not in touched}
+        Versions(self.spark, f"{self.path}/{name}/versions").commit(number + 1, {"parts": kept | {p: number + 1 for p in there}})
 
     def put(self, name: str, rows: DataFrame) -> None:
         """Upserts by key; of rows with one key the last wins. A batch with a bad key writes nothing."""
@@ -72,15 +83,19 @@ class Store:
         bad = rows.where(~is_store_id(F.col(spec.key).cast("string"))).limit(1).count()
         if bad:
             raise ValueError(f"a row of {name} has no valid {spec.key}")
-        if rows.isEmpty():
+        touched = self._touched(name, rows)
+        if not touched:
             return
-        kept = self.read(name)
+        number, parts = self._parts(name)
+        kept = self._load(name, {p: v for p, v in parts.items() if p in touched})
         new = rows.select(*kept.columns).withColumn("_n", F.monotonically_increasing_id())
         new = last_by(new, [spec.key], ["_n"]).select(*kept.columns)
-        self._write(name, kept.join(new.select(spec.key), spec.key, "left_anti").unionByName(new))
+        self._replace(name, number, parts, touched, kept.join(new.select(spec.key), spec.key, "left_anti").select(*kept.columns).unionByName(new))
 
     def get(self, name: str, key: str) -> dict | None:
-        row = self.read(name).where(F.col(self._spec(name).key) == key).limit(1).collect()
+        parts = self._parts(name)[1]
+        own = str(zlib.crc32(str(key).encode()) % PARTS)  # only the key's part is read
+        row = self._load(name, {p: v for p, v in parts.items() if p == own}).where(F.col(self._spec(name).key) == key).limit(1).collect()
         return row[0].asDict(recursive=True) if row else None
 
     def _filtered(self, name: str, where: dict | None) -> DataFrame:
@@ -107,12 +122,59 @@ class Store:
         """Removes what matches; a removal without a filter is refused."""
         if not where:
             raise ValueError("removing everything needs a filter")
-        gone = self.count(name, where)
+        found = self._filtered(name, where)
+        gone = found.count()
         if gone:
-            self._write(name, self.read(name).where(~where_equal(where)))
+            touched = self._touched(name, found)
+            number, parts = self._parts(name)
+            rows = self._load(name, {p: v for p, v in parts.items() if p in touched})
+            self._replace(name, number, parts, touched, rows.where(~where_equal(where)))
         return gone
 
 
+class Alias:
+    """A name for the current version of a rebuilt table, in a folder, so that it outlives the session.
+
+    The version before stays for rolling back.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.records = spark, Versions(spark, folder)
+
+    def path(self) -> str | None:
+        return (self.records.last()[1] or {}).get("path")
+
+    def previous(self) -> str | None:
+        return (self.records.last()[1] or {}).get("previous")
+
+    def read(self) -> DataFrame:
+        if self.path() is None:
+            raise KeyError("nothing is promoted yet")
+        return self.spark.read.parquet(self.path())
+
+    def promote(self, path: str, expected: int) -> None:
+        """Points to a table that is written whole; one with another number of rows is refused and nothing changes."""
+        found = self.spark.read.parquet(path).count()
+        if found != expected:
+            raise ValueError(f"{found} rows instead of {expected}; the alias is left as it was")
+        self.records.append({"path": path, "previous": self.path()})
+
+    def roll_back(self) -> None:
+        """Swaps the current version and the one before."""
+        if self.previous() is None:
+            raise ValueError("no earlier version")
+        self.records.append({"path": self.previous(), "previous": self.path()})
+
+
+def plan_create(exists: bool, documents: int, force: bool = False) -> dict:
+    """Whether a target is created and its settings applied: never on a filled one, unless forced."""
+    if not exists:
+        return {"create": True, "apply_settings": True, "reason": "missing"}
+    if not documents:
+        return {"create": False, "apply_settings": True, "reason": "empty"}
+    return {"create": False, "apply_settings": force, "reason": "forced" if force else f"holds {documents} documents"}
+
+
 def promote(spark: SparkSession, view: str, rows: DataFrame, path: str, expected: int | None = None) -> str:
     """Writes a rebuilt table and points the view to it once its row count is verified; returns the table's path.
 

@@ -3,9 +3,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.operators import ingest, journal
+from skarn.operators import discovery, ingest, journal
 from skarn.sources import files
-from skarn.sources.store import Collection, Store, promote, repoint
+from skarn.sources.blobs import Blobs
+from skarn.sources.store import Alias, Collection, Store, plan_create, promote, repoint
+from skarn.sources.versions import Versions
 from skarn.streaming import consumer
 
 
@@ -130,6 +132,95 @@ def test_store_contract(spark, tmp_path):
     assert s.count("widgets", {"group": "g"}) == 2500 and s.list("widgets").select("id").distinct().count() == 2501
 
 
+def test_store_rewrites_touched_parts_only_and_refuses_a_lost_race(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.ensure([WIDGETS])
+    rows = spark.range(300).select(F.concat(F.lit("m"), "id").alias("id"), F.lit("g").alias("group"), F.col("id").cast("int").alias("rank"), F.lit("n").alias("name"))
+    s.put("widgets", rows)
+    s.put("widgets", rows.where("rank = 7").withColumn("rank", F.lit(70)))
+    number, parts = s._parts("widgets")
+    assert number == 2 and sorted(parts.values()).count(2) == 1 and s.get("widgets", "m7")["rank"] == 70 and s.count("widgets") == 300
+    records = Versions(spark, f"file://{tmp_path}/store/widgets/versions")
+    with pytest.raises(Exception, match="(?i)exist"):
+        records.commit(2, {})
+    (tmp_path / "store" / "widgets" / "versions" / "n0000000003.json").write_text('{"parts": {')  # a writer died
+    assert s._parts("widgets")[0] == 2 and s.count("widgets") == 300
+
+
+def test_alias_outlives_the_session_and_rolls_back(spark, tmp_path):
+    for name, n in (("a", 5), ("b", 7)):
+        spark.range(n).write.parquet(f"{tmp_path}/{name}")
+    with pytest.raises(KeyError):
+        Alias(spark, f"file://{tmp_path}/alias").read()
+    Alias(spark, f"file://{tmp_path}/alias").promote(f"{tmp_path}/a", 5)
+    with pytest.raises(ValueError):
+        Alias(spark, f"file://{tmp_path}/alias").promote(f"{tmp_path}/b", 8)
+    with pytest.raises(ValueError):
+        Alias(spark, f"file://{tmp_path}/alias").roll_back()
+    Alias(spark, f"file://{tmp_path}/alias").promote(f"{tmp_path}/b", 7)
+    again = Alias(spark, f"file://{tmp_path}/alias")
+    assert again.read().count() == 7 and again.previous() == f"{tmp_path}/a"
+    again.roll_back()
+    assert again.read().count() == 5 and again.previous() == f"{tmp_path}/b"
+    assert [plan_create(*x)["apply_settings"] for x in ((False, 0), (True, 0), (True, 3), (True, 3, True))] == [True, True, False, True]
+
+
+def test_blobs(spark, tmp_path):
+    b = Blobs(spark, f"file://{tmp_path}/blobs")
+    assert b.get("a/x.json") is None and b.list() == [] and not b.has("a/x.json")
+    b.put_json("repos/a/x.json", {"k": [1, None]})
+    b.put("repos/b/y.bin", b"\x00\xff")
+    b.put("repos/b/y.bin", b"new")
+    (tmp_path / "blobs" / "repos" / "b" / ".tmp-1").write_text("half")
+    assert b.get_json("repos/a/x.json") == {"k": [1, None]} and b.get("repos/b/y.bin") == b"new"
+    assert b.list() == ["repos/a/x.json", "repos/b/y.bin"] and b.list("repos/b/") == ["repos/b/y.bin"]
+    assert {r.key: bytes(r.content) for r in b.scan("*.bin").collect()} == {"repos/b/y.bin": b"new"}
+    assert b.delete("repos/b/y.bin") and not b.delete("repos/b/y.bin") and b.list("repos/b") == []
+    for bad in ("", "/a", "a//b", "../a", "a/./b"):
+        with pytest.raises(ValueError):
+            b.put(bad, b"")
+
+
+def test_stamped_events(spark, tmp_path):
+    path = f"{tmp_path}/j"
+    good = spark.createDataFrame([("RepoFetched", "a/b", "h", True, None, None), ("RepoFailed", "c/d", None, None, "crawl", "e")], "type string, repo string, content_hash string, changed boolean, phase string, error string")
+    first = journal.append_stamped(good, path, 1000)
+    second = journal.append_stamped(good, path, 900)  # a clock that went back
+    assert second > first and spark.read.parquet(path).select("id").distinct().count() == 4
+    e = spark.read.parquet(path)
+    assert {r.id for r in journal.read_after(e, first).collect()} == {r.id for r in e.collect() if r.id > first} and e.where(F.col("id") > first).count() == 2
+    for bad in (("Nope", "a/b", "h", True, None, None), ("RepoFetched", "ab", "h", True, None, None), ("RepoFetched", "a/b", None, True, None, None), ("RepoFailed", "a/b", None, None, "sleep", "e"), (None, None, None, None, None, None)):
+        with pytest.raises(ValueError):
+            journal.append_stamped(good.unionByName(spark.createDataFrame([bad], good.schema)), path, 2000)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_runs_and_resets(spark, tmp_path):
+    with pytest.raises(ValueError):
+        discovery.run_row("r", "q", 1, "complete")
+    with pytest.raises(ValueError):
+        discovery.run_row("r", "q", 1, "running", 2)
+    assert discovery.run_row("r", "q", 1, "failed", 2, {"pages": 3}) == {"run_id": "r", "query_slug": "q", "started_at": 1, "ended_at": 2, "outcome": "failed", "pages": 3}
+    assert discovery.flush_due(25, 0) and discovery.flush_due(0, 30) and not discovery.flush_due(24, 29.9)
+    s = Store(spark, f"file://{tmp_path}/store")
+    own = lambda name: Collection(name, "id string, query_slug string", "id", ("query_slug",))
+    s.ensure([own("repos"), own("state"), own("runs")])
+    for name in ("repos", "state", "runs"):
+        s.put(name, spark.createDataFrame([(f"{q}{i}", q) for q in "pq" for i in range(3)], "id string, query_slug string"))
+    counts = spark.createDataFrame([("p", 3, 3), ("q", 3, 3)], "query_slug string, repos long, runs long")
+    with pytest.raises(ValueError):
+        discovery.reset_plan(counts)
+    discovery.apply_reset(s, discovery.reset_plan(counts, "p"))
+    assert [s.count(n, {"query_slug": "p"}) for n in ("repos", "state", "runs")] == [0, 0, 3] and s.count("repos") == 3
+    discovery.apply_reset(s, discovery.reset_plan(counts, everything=True, include_runs=True))
+    assert [s.count(n) for n in ("repos", "state", "runs")] == [0, 0, 0]
+
+
+def test_batches_hold_no_more_than_asked(spark):
+    got = ingest.batches(spark.range(1000, numPartitions=3), 70).groupBy("batch").count().collect()
+    assert sum(r["count"] for r in got) == 1000 and max(r["count"] for r in got) == 70 and len(got) == 15
+
+
 def test_promotion_is_verified_and_rolls_back(spark, tmp_path):
     first = promote(spark, "tools_now", spark.range(5), f"{tmp_path}/a", 5)
     with pytest.raises(ValueError):
