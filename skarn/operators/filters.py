@@ -6,12 +6,17 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skarn.sources.shared import written
+
 #: Default relevance floor, deepest hit that paging reaches, and REST limits.
 MIN_RELEVANCE, MAX_HITS, REST_LIMIT, REST_DEFAULT = 0.4, 10_000, 50, 20
+#: The sorts that are offered, and facets whose attribute is not their own name.
+SORTS = {"relevance": [], "stars": ["stars:desc"], "score": ["score_total:desc"], "momentum": ["momentum:desc"], "recent": ["pushed_at:desc"]}
+ATTRIBUTES = {"install_methods": "install_methods.method"}
 COMPARISON = re.compile(r"^\s*([\w.]+)\s*(>=|<=|!=|=|>|<)\s*(.+?)\s*$")
 MEMBERSHIP = re.compile(r"^\s*([\w.]+)\s+IN\s+\[(.*)\]\s*$", re.IGNORECASE)
 
@@ -130,6 +135,27 @@ def order(spec: Sequence[str], sortable: Sequence[str] | None = None, tiebreak:
     return [*found, F.col(tiebreak).asc()]
 
 
+def is_sort_key(key: str | None) -> bool:
+    return key in SORTS
+
+
+def sort_spec(key: str | None = "relevance") -> list[str]:
+    """The sort that a key stands for; unknown keys are refused."""
+    if key not in SORTS:
+        raise ValueError(f"unknown sort {key}")
+    return list(SORTS[key])
+
+
+def family_attribute(family: str) -> str:
+    """The attribute that holds a family's values."""
+    return ATTRIBUTES.get(family, family)
+
+
+def default_facets(vocabulary) -> list[str]:
+    """The attributes of all families with facets."""
+    return [family_attribute(f.id) for f in vocabulary.families if f.facet]
+
+
 def page(df: DataFrame, by: Sequence[Column], number: int = 1, size: int = 20) -> DataFrame:
     """One page in order: a top-k with offset, never a full sort. Hits past MAX_HITS are out of reach."""
     if number < 1:
@@ -138,6 +164,21 @@ def page(df: DataFrame, by: Sequence[Column], number: int = 1, size: int = 20) -
     return df.orderBy(*by).offset(start).limit(max(0, min(size, MAX_HITS - start)))
 
 
+def numbered(df: DataFrame, by: Sequence[Column], name: str = "place") -> DataFrame:
+    """All rows with their place in the order, from 1.
+
+    Rows are dealt by ranges and numbered in each; only the ranges' counts, one row for each partition, meet
+    in one task. Rows that are equal in the order have any of its places.
+    """
+    rows = written(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    out = rows.join(F.broadcast(starts), "_range")  # as many rows as partitions
+    return out.withColumn(name, F.col("_start") + inside).drop("_range", "_start")
+
+
 def totals(df: DataFrame, size: int = 20) -> DataFrame:
     """(total_hits, total_pages), hits counted up to MAX_HITS."""
     hits = F.least(F.count(F.lit(1)), F.lit(MAX_HITS))

@@ -1,6 +1,7 @@
 """Search over a corpus of documents: matching, rank, facets, alternatives, comparison and suggestions."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -8,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skarn.sources.shared import written
+
 from . import filters
 
 #: Searched attributes by weight, values of a facet at most, and word lengths from which typos are allowed.
@@ -88,27 +91,73 @@ def compare(df: DataFrame, names: Sequence[str], key: str = "full_name") -> Data
     return df.join(F.broadcast(asked), key)  # as many rows as the request names
 
 
-def alternatives(df: DataFrame, n: int = 10, extra: int = 10, only: Sequence[str] | None = None) -> DataFrame:
+def search_tools(df: DataFrame, query: str | None = None, where: Column | None = None, sort: str = "relevance", number: int = 1, size: int = 20, attributes: Sequence[str] = (), best: int = MAX_FACET_VALUES) -> DataFrame:
+    """One row for a request: hits in order, total, page, hits_per_page and facets of all hits.
+
+    ``where``: as filters.build_filters makes it (None: default visibility); sort: a key of filters.SORTS.
+    The hits of a page and the values of the facets are bounded, so they fit into a row.
+    """
+    found = df.where(filters.build_filters(df) if where is None else where).where(matches(df, query)).withColumn("rank", field_rank(df, query))
+    by = [F.col("rank").asc(), *filters.order(filters.sort_spec(sort) or ["score_total"])]
+    hits = filters.page(found, by, number, size)
+    hits = hits.select(F.struct(F.row_number().over(Window.orderBy(*by)).alias("place"), *hits.columns).alias("hit"))
+    hits = hits.agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    counts = facets(found, attributes, best).agg(F.array_sort(F.collect_list(F.struct("attribute", "value", "docs"))).alias("facets"))
+    total = filters.totals(found, size)
+    one = lambda d: d.withColumn("request", F.lit(1))  # noqa: E731  each has one row
+    out = one(hits).join(one(total), "request").join(one(counts), "request")
+    return out.select("hits", F.col("total_hits").alias("total"), F.lit(number).alias("page"), F.lit(size).alias("hits_per_page"), "facets")
+
+
+def rest_search(df: DataFrame, params: dict[str, str], vocabulary) -> DataFrame:
+    """The public answer to url parameters q, sort, limit, page and facet families: one row with total, page, results and facets."""
+    number = lambda name: int(float(params[name])) if re.fullmatch(r"-?\d+(\.\d+)?", params.get(name, "")) else None
+    size, page = filters.rest_paging(number("limit") or None, number("page"))
+    chosen = filters.selection_from_params(params, {f.param: f.ids(hidden=False) for f in vocabulary.families})
+    names = {f.param: filters.family_attribute(f.id) for f in vocabulary.families}
+    where = filters.build_filters(df, {names[k]: v for k, v in chosen.items()})
+    sort = params.get("sort", "")
+    there = [a for a in filters.default_facets(vocabulary) if a.split(".")[0] in df.columns]
+    answer = search_tools(df, params.get("q"), where, sort if filters.is_sort_key(sort) else "relevance", page, size, there)
+    public = [c for c in ("summary", "kind", "domains", "stars", "install_methods", "repo_url", "indexed_at") if c in df.columns]
+    def shown(hit):
+        return F.struct(hit.full_name.alias("repo"), *[hit[c].alias(c) for c in public], hit.score_total.alias("score"), F.concat(F.lit("/tools/"), hit.full_name).alias("url"))
+
+    return answer.select("total", "page", F.transform("hits", shown).alias("results"), "facets")
+
+
+def alternatives(df: DataFrame, n: int = 10, extra: int = 10, only: Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
     """For each document (or those named): others of the same kind that share a domain and have another owner.
 
-    The ``n + extra`` best by score are taken first and other owners' kept then, so fewer than n may be
-    left. Pairs are met on (kind, domain) by documents in the lead of their group, not all with all.
+    Of what ``where`` shows (None: default visibility) the ``n + extra`` best by score are taken first and
+    other owners' kept then, so fewer than n may be left. A document without domains is met by its kind
+    alone. The lead of each kind and domain is a small table, which documents are joined with; the join
+    adds no rows, and nothing is compared with all.
     """
-    left = df.where(F.col("full_name").isin(list(only))) if only is not None else df
-    ranked = Window.partitionBy("kind", "domain").orderBy(F.desc("score_total"), "id")
-    flat = df.select("id", "kind", "owner", "full_name", "score_total", F.explode(F.array_distinct("domains")).alias("domain"))
-    # the best of a group of kinds and domains; one more than needed, for the document itself
-    lead = flat.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= n + extra + 1).drop("r")
-    asked = left.select(F.col("id").alias("for_id"), "kind", F.col("owner").alias("for_owner"), F.explode(F.array_distinct("domains")).alias("domain"))
-    met = asked.join(lead, ["kind", "domain"]).where(F.col("for_id") != F.col("id")).drop("domain").distinct()
-    best = Window.partitionBy("for_id").orderBy(F.desc("score_total"), "id")
-    near = met.withColumn("r", F.row_number().over(best)).where((F.col("r") <= n + extra) & (F.col("owner") != F.col("for_owner")))
-    again = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
-    return again.select("for_id", "place", "id", "full_name", "score_total")
-
-
-def whats_hot(df: DataFrame, domain: str | None = None, n: int = 10) -> DataFrame:
-    some = df.where(F.array_contains("domains", domain)) if domain else df
+    asked = df.where(F.col("full_name").isin(list(only))) if only is not None else df
+    shown = df.where(filters.build_filters(df) if where is None else where)
+    most = n + extra
+    hit = F.struct(F.col("score_total").isNull().alias("unscored"), (-F.col("score_total")).alias("negative"), "id", "owner", "full_name")
+    flat = shown.select("kind", hit.alias("hit"), F.explode(F.concat(F.array_distinct(F.coalesce("domains", F.array())), F.array(F.lit(None)))).alias("domain"))
+    ranked = Window.partitionBy("kind", "domain").orderBy("hit")
+    lead = flat.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= most)
+    lead = lead.groupBy("kind", "domain").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    own = F.when(F.col("domain").isNotNull(), F.struct("domain", "hits"))
+    lead = lead.groupBy("kind").agg(F.map_from_entries(F.collect_list(own)).alias("by_domain"), F.max(F.when(F.col("domain").isNull(), F.col("hits"))).alias("all_hits"))
+    lead = written(lead, "leads")
+    none = F.array().cast(lead.schema["all_hits"].dataType)
+    domains = F.array_compact(F.array_distinct(F.coalesce("domains", F.array())))
+    met = F.flatten(F.transform(domains, lambda d: F.coalesce(F.try_element_at("by_domain", d), none)))
+    near = F.slice(F.when(F.size(domains) == 0, F.col("all_hits")).otherwise(F.array_sort(F.array_distinct(met))), 1, most)
+    kept = F.filter(near, lambda h: (h.full_name != F.col("full_name")) & ~h.owner.eqNullSafe(F.col("owner")))
+    out = asked.select("kind", F.col("id").alias("for_id"), "full_name", "owner", "domains").join(lead, "kind")
+    out = out.select("for_id", F.posexplode(F.slice(kept, 1, n)).alias("p", "h"))
+    return out.select("for_id", (F.col("p") + 1).alias("place"), "h.id", "h.full_name", (-F.col("h.negative")).alias("score_total"))
+
+
+def whats_hot(df: DataFrame, domain: str | None = None, n: int = 10, where: Column | None = None) -> DataFrame:
+    """The documents with most momentum, of those that ``where`` shows (None: default visibility)."""
+    some = df.where(filters.build_filters(df, {"domains": [domain]} if domain else None) if where is None else where)
     return some.orderBy(F.col("momentum").desc_nulls_last(), "id").limit(n)
 
 
@@ -128,37 +177,85 @@ def typo_match(df: DataFrame, text: Column, word: str) -> Column:
     return F.exists(words, lambda t: F.levenshtein(t, F.lit(word), allowed) >= 0)
 
 
+def vocabulary_list(vocabulary, least: int = 4) -> list[str]:
+    """The distinct words of the visible values' ids and labels of all facets, in the vocabulary's order."""
+    text = [f"{v.id} {v.label}".lower() for f in vocabulary.families if f.facet for v in f.values if not v.hidden]
+    return list(dict.fromkeys(w for t in text for w in re.split(r"[\s\-_/]+", t) if len(w) >= least))
+
+
 def vocabulary_words(vocabulary: DataFrame, least: int = 4) -> DataFrame:
     """Distinct words of the visible values' ids and labels."""
     text = F.lower(F.concat_ws(" ", "value", "label"))
     return vocabulary.where(~F.col("hidden")).select(F.explode(F.split(text, r"[\s\-_/]+")).alias("word")).where(F.length("word") >= least).distinct()
 
 
+def tolerance(word: Column) -> Column:
+    """Edits that a misspelt word may be away: 2 from 8 letters, 1 from 5, else none."""
+    return F.when(F.length(word) >= 8, 2).when(F.length(word) >= 5, 1).otherwise(0)
+
+
 def corrections(words: DataFrame, vocabulary: DataFrame, n: int = 4) -> DataFrame:
     """(word, suggestion, distance, place): vocabulary words within the tolerance of each misspelt word.
 
-    Tolerance is 2 from 8 letters, 1 from 5, else 0; words of the vocabulary aren't corrected. Candidates
-    meet on deletion neighbourhoods: two words within k edits share a text that leaves out at most k letters
-    of each, so no word is compared with the whole vocabulary. Words more than two letters longer than all
-    of the vocabulary have no suggestion, and so no neighbourhood is made of them.
+    Words of the vocabulary aren't corrected. Equal distances are in the order of the vocabulary's column
+    ``position``, if it has one, else of the words. Candidates meet on deletion neighbourhoods: two words
+    within k edits share a text that leaves out at most k letters of each, so no word is compared with the
+    whole vocabulary. Words are met by tolerance, so a short word leaves out one letter only; words more
+    than two letters longer than all of the vocabulary have no suggestion, and so no neighbourhood.
     """
-    tolerance = lambda c: F.when(F.length(c) >= 8, 2).when(F.length(c) >= 5, 1).otherwise(0)
-    asked = words.select("word").distinct().join(vocabulary.select("word"), "word", "left_anti").where(tolerance(F.col("word")) > 0)
-    longest = vocabulary.agg(F.max(F.length("word")).alias("longest"))
-    asked = asked.join(F.broadcast(longest), F.length("word") <= F.col("longest") + 2)  # one row
-    left = asked.select("word", F.explode(_without(F.col("word"))).alias("part"))
-    right = vocabulary.select(F.col("word").alias("suggestion"), F.explode(_without(F.col("word"))).alias("part"))
-    met = left.join(right, "part").select("word", "suggestion").distinct()
-    met = met.withColumn("distance", F.levenshtein("word", "suggestion", 2)).where((F.col("distance") >= 0) & (F.col("distance") <= tolerance(F.col("word"))))
-    order = Window.partitionBy("word").orderBy("distance", "suggestion")
-    return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    place = ["position"] if "position" in vocabulary.columns else []
+    vocabulary = vocabulary.select("word", *place)
+    k = tolerance(F.col("word"))
+    asked = words.select("word").distinct().join(vocabulary.select("word"), "word", "left_anti").where(k > 0).withColumn("k", k)
+    longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
+    asked = asked.where(F.length("word") <= longest + F.col("k"))
+    left = asked.select("word", "k", F.explode(F.when(F.col("k") == 1, _without_one(F.col("word"))).otherwise(_without(F.col("word")))).alias("part"))
+    # words of at most 8 letters may be meant by one edit, those of at least 6 by two
+    near = lambda edits, made: vocabulary.select(F.col("word").alias("suggestion"), *place, F.lit(edits).alias("k"), F.explode(made).alias("part"))
+    right = near(1, _without_one(F.col("word"))).where(F.length("suggestion").between(4, 8)).unionByName(near(2, _without(F.col("word"))).where(F.length("suggestion") >= 6))
+    met = left.join(right, ["k", "part"]).select("word", "k", "suggestion", *place).distinct()
+    met = met.withColumn("distance", F.levenshtein("word", "suggestion", 2)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("k"))).drop("k")
+    order = Window.partitionBy("word").orderBy("distance", *place, "suggestion")
+    return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop(*place)
+
+
+def _without_one(word: Column) -> Column:
+    """The word and all texts that leave out one of its letters."""
+    return F.array_distinct(F.concat(F.array(word), _dropped(word)))
+
+
+def _dropped(word: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
 
 
 def _without(word: Column) -> Column:
-    """The word and all texts that leave out one or two of its letters."""
-    drop = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
-    once = drop(word)
-    return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, drop))))
+    """The word and all texts that leave out one or two of its letters, the second after the first."""
+    def twice(i):
+        rest = F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))
+        later = F.when(i < F.length(word), F.sequence(i, F.length(word) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(later, lambda j: F.concat(F.substr(rest, F.lit(1), j - 1), F.substr(rest, j + 1)))
+
+    two = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), twice))
+    return F.array_distinct(F.concat(F.array(word), _dropped(word), two))
+
+
+def suggest_queries(queries: DataFrame, vocabulary: DataFrame, n: int = 4) -> DataFrame:
+    """(query, place, suggestion): other queries for each query that found nothing, best first, never the query itself.
+
+    First, one misspelt word at a time is replaced by its nearest word of the vocabulary; then, for a query
+    of several words, each word alone. None of them is known to find anything (see query_totals).
+    """
+    words = F.filter(F.split(F.lower(F.col("query")), r"\s+"), lambda w: w != "")
+    asked = queries.select("query").distinct().withColumn("words", words)
+    flat = asked.select("query", F.posexplode("words").alias("at", "word"))
+    best = corrections(flat, vocabulary, 1).select("word", "suggestion")
+    fixed = flat.join(best, "word").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("at", "suggestion"))).alias("fixed"))
+    all_ = asked.join(fixed, "query", "left")
+    replaced = F.transform(F.coalesce("fixed", F.array()), lambda f: F.array_join(F.transform("words", lambda w, i: F.when(i == f["at"], f.suggestion).otherwise(w)), " "))
+    single = F.when(F.size("words") > 1, F.col("words")).otherwise(F.array().cast("array<string>"))
+    found = F.array_except(F.array_distinct(F.concat(replaced, single)), F.array(F.array_join("words", " ")))
+    out = all_.select("query", F.posexplode(F.slice(found, 1, n)).alias("place", "suggestion"))
+    return out.withColumn("place", F.col("place") + 1)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, n: int = 10, blocks: int | None = None) -> DataFrame:

@@ -382,9 +382,15 @@ def c18_w6_manifest_selection(spark, d):
     return artifacts(spark, d).select("id", F.array_join(files_of.manifest_selection(F.col("tree")), ",").alias("manifests"))
 
 
-@query(ARTIFACTS_SQL + "SELECT id, 'avatar' AS source, 'https://github.com/' || owner || '.png' AS url FROM art")
+@query(ARTIFACTS_SQL + """SELECT id, CASE WHEN size % 4 = 1 THEN 'tree' WHEN size % 4 = 2 AND readme_excerpt IS NOT NULL THEN 'readme' ELSE 'avatar' END AS source,
+  CASE WHEN size % 4 = 1 THEN 'assets/logo.svg' WHEN size % 4 = 2 AND readme_excerpt IS NOT NULL THEN 'docs/picture.png' ELSE 'https://github.com/' || owner || '.png' END AS url FROM art""")
 def c19_w9_logo_candidates(spark, d):
-    out = artifacts(spark, d).select("id", files_of.logo_candidate(F.col("tree"), F.lit(None).cast("string"), F.col("owner")).alias("logo"))
+    """Logos of the tree, of the README (after badges), and avatars."""
+    a, size = artifacts(spark, d), F.col("size") % 4
+    tree = F.when(size == 1, F.concat("tree", F.array(F.lit("assets/deep/logo.svg"), F.lit("assets/logo.svg")))).otherwise(F.col("tree"))
+    badges = "\n\n![a](https://x/badge.svg) ![b](u) ![c](v)\n\n![first](docs/picture.png)\n\n![second](other.png)"
+    readme = F.when(size == 2, F.concat("readme", F.lit(badges))).otherwise(F.col("readme"))
+    out = a.select("id", files_of.logo_candidate(tree, readme, F.col("owner")).alias("logo"))
     return out.select("id", "logo.source", "logo.url")
 
 

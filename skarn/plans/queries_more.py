@@ -31,16 +31,21 @@ def o12_list_with_total(spark, d):
     return ingest.with_total(repos(spark, d).where("kind = 'LARGE'"), [F.desc("stars"), F.col("id")], 15).select("id", "stars", "total")
 
 
-@query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, ceil(count(*) / 1000)::BIGINT AS batches FROM orders")
+@query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, true AS fits, true AS enough FROM orders")
 def o15_batches(spark, d):
-    b = ingest.batches(table(spark, d, "orders"), "o_orderkey", 1000)
-    return b.agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), (F.max("batch") + 1).alias("batches"))
+    """Every row is in one batch; no batch has more than 1000, and all but the last of a partition have 1000."""
+    b = ingest.batches(table(spark, d, "orders"), 1000).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    full = F.count_if(F.col("n") == 1000) == F.sum(F.floor(F.col("n") / 1000))
+    return b.agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"), (F.max("n") <= 1000).alias("fits"), full.alias("enough"))
 
 
-@query("SELECT p_partkey, string_split(p_name, ' ')[1] = string_split(p_name, ' ')[2] OR false AS same FROM part")
+@query("""SELECT p_partkey, list_sort(list_distinct(string_split(p_name, ' '))) = list_sort(list_distinct(list_concat(list_reverse(string_split(p_name, ' ')),
+  CASE p_size % 3 WHEN 0 THEN [p_brand] WHEN 1 THEN string_split(p_name, ' ') ELSE [] END))) AS same FROM part""")
 def u4_same_set(spark, d):
+    """A name's words against the same ones in another order, repeated, or with one more."""
     words = F.split("p_name", " ")
-    return table(spark, d, "part").select("p_partkey", ingest.same_set(F.slice(words, 1, 1), F.slice(words, 2, 1)).alias("same"))
+    more = F.when(F.col("p_size") % 3 == 0, F.array("p_brand")).when(F.col("p_size") % 3 == 1, words).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "part").select("p_partkey", ingest.same_set(words, F.concat(F.reverse(words), more)).alias("same"))
 
 
 @query("SELECT DISTINCT m AS month FROM (SELECT strftime(o_orderdate, '%Y-%m') AS m FROM orders UNION ALL SELECT strftime(l_shipdate, '%Y-%m') FROM lineitem)")
@@ -69,18 +74,28 @@ def x9_quarter_bounds(spark, d):
     return table(spark, d, "orders").select("o_orderkey", date(quarter).alias("first"), date(F.last_day(F.add_months(quarter, 2))).alias("last"), F.dayofmonth(F.last_day("o_orderdate")).alias("days"))
 
 
-@query(TOOLS_SQL + "SELECT id, 'topic:kubernetes stars:' || CASE WHEN stars > 5000 THEN '>5000' WHEN stars >= 1000 THEN '1000..5000' WHEN stars >= 500 THEN '500..999' WHEN stars >= 200 THEN '200..499' ELSE 'less' END || CASE WHEN created_at IS NULL THEN '' ELSE ' created:' || strftime(created_at, '%Y-%m-%d') END AS text FROM repos WHERE stars >= 200")
+@query(TOOLS_SQL + """SELECT id, 'topic:kubernetes stars:' || CASE WHEN stars > 5000 THEN '>5000' WHEN stars >= 1000 THEN '1000..5000' WHEN stars >= 500 THEN '500..999' WHEN stars >= 200 THEN '200..499' WHEN stars >= 100 THEN '100..199'
+  WHEN stars >= 50 THEN '50..99' WHEN stars >= 20 THEN '20..49' WHEN stars >= 10 THEN '10..19' WHEN stars >= 5 THEN '5..9' WHEN stars >= 3 THEN '3..4' ELSE stars::VARCHAR END
+  || CASE WHEN created_at IS NULL THEN '' ELSE ' created:' || strftime(created_at, '%Y-%m-%d') END AS text FROM (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN id % 60 ELSE stars END AS stars) FROM repos)""")
 def t11_query_text(spark, d):
+    """The source query of every repository's own window, with stars of all bands."""
     created = F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit(""))
-    return repos(spark, d).where("stars >= 200").select("id", ingest.query_text(F.lit("topic:kubernetes"), ingest.star_band(F.col("stars")), created).alias("text"))
+    stars = F.when(F.col("id") % 3 == 0, F.col("id") % 60).otherwise(F.col("stars"))
+    return repos(spark, d).select("id", ingest.query_text(F.lit("topic:kubernetes"), ingest.star_band(stars), created).alias("text"))
 
 
-@query("SELECT 4000 AS docs, 14 AS kinds, 6 AS bands WHERE true")
+KINDS = vocabulary.standard()["kind"].ids()
+
+
+def pick_sql(salt: str, k: int, seed: int = 1) -> str:
+    return f"(('0x' || substr(md5('{seed}|{salt}|' || id), 1, 15))::BIGINT % {k})"
+
+
+@query(f"""SELECT id, 'owner' || {pick_sql('owner', 1000)} AS owner, 'owner' || {pick_sql('owner', 1000)} || '/tool' || id AS full_name, floor(pow(10, {pick_sql('stars', 4500)} / 1000))::BIGINT AS stars,
+  {pick_sql('archived', 100)} < 6 AS archived, {pick_sql('relevance', 101)} / 100 AS k8s_relevance, {KINDS}[((id + {pick_sql('kind', 3)} * {len(KINDS)}) % {len(KINDS)})::INT + 1] AS kind FROM (SELECT unnest(range(4000)) AS id)""")
 def s26_generated_corpus(spark, d):
-    """A corpus made on the spot has all its documents, every kind, and stars in at least six bands."""
-    g = ingest.generated(spark, 4000, {"kind": vocabulary.standard()["kind"].ids()})
-    got = g.agg(F.count(F.lit(1)).cast("int").alias("docs"), F.countDistinct("kind").cast("int").alias("kinds"), F.countDistinct(ingest.star_band(F.col("stars"))).alias("n"))
-    return got.select("docs", "kinds", F.least("n", F.lit(6)).cast("int").alias("bands"))
+    """A corpus made on the spot, row by row: every kind occurs, stars are skewed, some are archived."""
+    return ingest.generated(spark, 4000, {"kind": KINDS})
 
 
 @query("SELECT event_type AS type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skarn.functions import render, text
-from skarn.operators import classify, ingest
+from skarn.operators import classify, filters, ingest
 from skarn.plans import project
 from skarn.plans.queries_ingest import ARTIFACTS_SQL, DERIVED_SQL, VOCABULARY, artifacts
 from skarn.plans.tools import TOOLS_SQL, now, repos, table
@@ -57,11 +57,16 @@ def s5_all_storage_keys(spark, d):
     return table(spark, d, "pages").select("page_id", F.concat(F.lit("repos/"), text.encode_component(name)).alias("key_start"), F.length("url").cast("long").alias("n"))
 
 
-@query("SELECT count(*) AS good, count(*) FILTER (props IS NULL) AS bad, sum((props::JSON->>'$.k')::BIGINT)::BIGINT AS total FROM events")
+@query("""SELECT count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad, sum((props::JSON->>'$.k')::BIGINT) FILTER (ok)::BIGINT AS total
+FROM (SELECT *, event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND props IS NOT NULL AS ok FROM events)""")
 def s10_x15_json_payloads(spark, d):
-    e = table(spark, d, "events").withColumn("parsed", F.from_json("props", "k long"))
+    """Payloads, some of them cut off, without their field, or with a text in its place."""
+    k = F.col("event_id")
+    payload = F.when(k % 7 == 0, F.expr("left(props, 3)")).when(k % 11 == 0, '{"other": 1}').when(k % 13 == 0, '{"k": "many"}').otherwise(F.col("props"))
+    e = table(spark, d, "events").withColumn("parsed", F.from_json(payload, "k long"))
     good, bad = files.split_valid(e, {"k": F.col("parsed.k").isNotNull()})
-    return good.agg(F.count(F.lit(1)).alias("good"), F.sum("parsed.k").alias("total")).join(F.broadcast(bad.agg(F.count(F.lit(1)).alias("bad"))))  # one row each
+    both = good.select("parsed.k", F.lit(True).alias("ok")).unionByName(bad.select("parsed.k", F.lit(False).alias("ok")))
+    return both.agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"), F.sum(F.when(F.col("ok"), F.col("k"))).alias("total"))
 
 
 @query("SELECT r_name AS category, n_name AS name, row_number() OVER (ORDER BY r_regionkey, n_nationkey) AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -73,9 +78,7 @@ def s17_nested_flatten(spark, d):
     category = F.struct(F.struct(F.array(F.struct(F.struct("items").alias("subcategory"))).alias("subcategories")).alias("category"))
     nested = sub.agg(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", category.alias("c")))), lambda x: x["c"]).alias("landscape"))
     flat = files.flatten_landscape(nested)
-    from pyspark.sql import Window
-
-    return flat.select(F.col("project").alias("category"), "name", F.row_number().over(Window.orderBy("position")).cast("long").alias("place"))
+    return filters.numbered(flat, [F.col("position")]).select(F.col("project").alias("category"), "name", "place")
 
 
 @query(TOOLS_SQL + "SELECT string_agg('<url><loc>https://example.org/tools/' || replace(full_name, '#', '%23') || '</loc></url>', '' ORDER BY stars DESC, id) AS sitemap FROM (SELECT * FROM repos ORDER BY stars DESC, id LIMIT 1000)")

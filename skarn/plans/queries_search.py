@@ -172,16 +172,11 @@ def o7_sort_within_rank(spark, d):
     return search.search(t, "bolt on", filters.build_filters(t), ["stars:desc"], 1, 25).select("id", "rank", "stars")
 
 
-@query(TOOLS_SQL + "SELECT id, row_number() OVER (ORDER BY language ASC NULLS LAST, pushed_at DESC NULLS LAST, id) AS place FROM tools ORDER BY place LIMIT 500")
+@query(TOOLS_SQL + "SELECT id, row_number() OVER (ORDER BY language ASC NULLS LAST, pushed_at DESC NULLS LAST, id) AS place FROM tools")
 def o2_missing_last(spark, d):
-    top = filters.page(tools(spark, d), filters.order(["language:asc", "pushed_at:desc"]), 1, 500).select("id")
-    return _placed(top)
-
-
-def _placed(top):
-    """Numbers the rows of a page (a top-k report): one task holds the page."""
-    rows = top.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
-    return rows.select("id", "place")
+    """The place of every tool, those without a language last."""
+    t = tools(spark, d).select("id", "language", "pushed_at")
+    return filters.numbered(t, filters.order(["language:asc", "pushed_at:desc"])).select("id", "place")
 
 
 @query(TOOLS_SQL + """SELECT full_name, place, stars, score_total FROM tools JOIN (SELECT unnest(['Brand#17/red-widget-1', 'nobody/none', 'Brand#2/small-ring-0', 'Brand#4/blue-bolt-2']) AS full_name, unnest([0, 1, 2, 3]) AS place) USING (full_name)""")
@@ -190,7 +185,7 @@ def r10_compare(spark, d):
 
 
 @query(TOOLS_SQL + """, met AS (SELECT DISTINCT a.id AS for_id, a.owner AS for_owner, b.id, b.owner, b.full_name, b.score_total FROM tools a JOIN tools b
-  ON a.kind = b.kind AND a.id <> b.id AND list_has_any(a.domains, b.domains)),
+  ON a.kind = b.kind AND list_has_any(a.domains, b.domains) AND NOT b.archived AND b.k8s_relevance >= 0.4),
 near AS (SELECT *, row_number() OVER (PARTITION BY for_id ORDER BY score_total DESC NULLS LAST, id) AS r FROM met),
 kept AS (SELECT * FROM near WHERE r <= 20 AND owner <> for_owner)
 SELECT for_id, row_number() OVER (PARTITION BY for_id ORDER BY score_total DESC NULLS LAST, id)::INT AS place, id, full_name, score_total FROM kept
@@ -199,7 +194,7 @@ def r11_alternatives(spark, d):
     return search.alternatives(tools(spark, d))
 
 
-@query(f"{TOOLS_SQL}, {MOMENTUM_SQL} SELECT id, round(momentum, 6) AS momentum FROM m WHERE list_contains(domains, 'red') ORDER BY m.momentum DESC NULLS LAST, id LIMIT 10")
+@query(f"{TOOLS_SQL}, {MOMENTUM_SQL} SELECT id, round(momentum, 6) AS momentum FROM m WHERE list_contains(domains, 'red') AND {VISIBLE} ORDER BY m.momentum DESC NULLS LAST, id LIMIT 10")
 def r12_whats_hot(spark, d):
     t = scoring.z_score(tools(spark, d), "raw_momentum", "momentum")
     return search.whats_hot(t, "red").select("id", F.round("momentum", 6).alias("momentum"))
@@ -265,6 +260,66 @@ def r1_search_tools(spark, d):
     return hits.groupBy("kind").agg(F.count(F.lit(1)).alias("docs"), F.max("score_total").alias("best"))
 
 
+SEARCH_FACETS = ("kind", "domains", "install_methods.method")
+
+
+def page_sql(q: str, where: str, order: str, size: int, number: int) -> str:
+    """SQL of search_tools' row: hits as texts in order, total, and facets as texts."""
+    values = {"kind": "[kind]", "domains": "domains", "install_methods.method": "methods"}
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS attribute, unnest(list_distinct({values[a]})) AS value FROM f" for a in SEARCH_FACETS)
+    return f"""{TOOLS_SQL}, f AS (SELECT *, {rank_sql(q)} AS rank FROM tools WHERE {where} AND {match_sql(q)}),
+h AS (SELECT full_name || ' ' || rank AS hit, row_number() OVER (ORDER BY rank, {order}, id) AS place FROM f ORDER BY place LIMIT {size} OFFSET {(number - 1) * size}),
+c AS (SELECT attribute, value, count(*) AS docs FROM ({pairs}) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY attribute ORDER BY value) <= 200)
+SELECT coalesce((SELECT string_agg(hit, '|' ORDER BY place) FROM h), '') AS hits, (SELECT least(count(*), 10000) FROM f) AS total, {number} AS page, {size} AS hits_per_page,
+  coalesce((SELECT string_agg(attribute || '=' || value || ':' || docs, '|' ORDER BY attribute, value) FROM c), '') AS facets"""
+
+
+@query(page_sql("gear", VISIBLE, "stars DESC NULLS LAST", 15, 2))
+def r1_search_page(spark, d):
+    """A whole answer as one row: the second page's hits in order, the total and the facets of all hits."""
+    a = search.search_tools(tools(spark, d), "gear", sort="stars", number=2, size=15, attributes=SEARCH_FACETS)
+    hits = F.array_join(F.transform("hits", lambda h: F.concat_ws(" ", h.full_name, h["rank"])), "|")
+    facets = F.array_join(F.transform("facets", lambda f: F.concat(f.attribute, F.lit("="), f.value, F.lit(":"), f.docs.cast("string"))), "|")
+    return a.select(hits.alias("hits"), "total", "page", "hits_per_page", facets.alias("facets"))
+
+
+@query(page_sql("the", f"{VISIBLE} AND list_has_any(methods, ['helm', 'krew'])", "score_total DESC NULLS LAST", 50, 1).replace("full_name || ' ' || rank AS hit", "full_name || ' ' || stars || ' /tools/' || full_name AS hit"))
+def r1_rest_search(spark, d):
+    """The public answer to url parameters, odd ones among them: an unknown sort, a limit beyond the largest, values that no family has."""
+    params = {"q": "the", "sort": "id; drop", "limit": "500", "page": "0", "install": "helm,krew,nonsense", "kind": "nowhere"}
+    a = search.rest_search(tools(spark, d), params, vocabulary.standard())
+    hits = F.array_join(F.transform("results", lambda h: F.concat_ws(" ", h.repo, h.stars, h.url)), "|")
+    facets = F.array_join(F.transform("facets", lambda f: F.concat(f.attribute, F.lit("="), f.value, F.lit(":"), f.docs.cast("string"))), "|")
+    return a.select(hits.alias("hits"), "total", "page", F.lit(50).alias("hits_per_page"), facets.alias("facets"))
+
+
+VOCABULARY_WORDS = search.vocabulary_list(vocabulary.standard())
+_W = "[" + ", ".join(f"'{w}'" for w in VOCABULARY_WORDS) + "]"
+
+
+@query(f"""WITH v AS (SELECT unnest({_W}) AS word, unnest(range({len(VOCABULARY_WORDS)})) AS position),
+a AS (SELECT DISTINCT ({_W})[p_partkey % {len(VOCABULARY_WORDS)} + 1] AS w, p_size AS size, p_name AS name FROM part),
+b AS (SELECT DISTINCT CASE WHEN size % 7 = 0 THEN w ELSE substr(w, 1, size % length(w)) || CASE WHEN size % 5 = 0 THEN 'q' ELSE '' END || substr(w, size % length(w) + 2) END || CASE WHEN size % 3 = 0 THEN '' ELSE ' ' || upper(name) END AS query FROM a),
+q AS (SELECT query, list_filter(regexp_split_to_array(lower(query), '[ ]+'), lambda x: x <> '') AS ws FROM b),
+f AS (SELECT query, ws, unnest(ws) AS word, unnest(range(len(ws))) AS at_ FROM q),
+u AS (SELECT DISTINCT word, CASE WHEN length(word) >= 8 THEN 2 WHEN length(word) >= 5 THEN 1 ELSE 0 END AS k FROM f WHERE word NOT IN (SELECT word FROM v)),
+n AS (SELECT u.word, v.word AS suggestion, levenshtein(u.word, v.word) AS distance, position FROM u JOIN v ON abs(length(u.word) - length(v.word)) <= k AND levenshtein(u.word, v.word) <= k WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY u.word ORDER BY distance, position) = 1),
+c AS (SELECT query, array_to_string(ws, ' ') AS own, array_to_string(list_transform(ws, lambda x, i: CASE WHEN i = at_ + 1 THEN suggestion ELSE x END), ' ') AS s, at_ AS place FROM f JOIN n USING (word)
+  UNION ALL SELECT query, array_to_string(ws, ' '), word, 1000 + at_ FROM f WHERE len(ws) > 1),
+e AS (SELECT query, s, min(place) AS place FROM c WHERE s <> own GROUP BY query, s)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY place)::INT AS place, s AS suggestion FROM e QUALIFY row_number() OVER (PARTITION BY query ORDER BY place) <= 4""")
+def r14_suggest_queries(spark, d):
+    """Queries with mangled and right words of the vocabulary, alone and beside others."""
+    size, count = F.col("p_size"), len(VOCABULARY_WORDS)
+    w = F.element_at(F.array(*[F.lit(x) for x in VOCABULARY_WORDS]), (F.col("p_partkey") % count + 1).cast("int"))
+    part = table(spark, d, "part").select(w.alias("w"), "p_size", "p_name")
+    at = size % F.length("w")
+    spoilt = F.concat(F.substr("w", F.lit(1), at), F.when(size % 5 == 0, "q").otherwise(""), F.substr("w", at + 2))
+    asked = part.select(F.concat(F.when(size % 7 == 0, F.col("w")).otherwise(spoilt), F.when(size % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.upper("p_name")))).alias("query")).distinct()
+    words = spark.createDataFrame(list(zip(VOCABULARY_WORDS, range(count), strict=True)), "word string, position int")
+    return search.suggest_queries(asked, words)
+
+
 @query(TOOLS_SQL + ", f AS (SELECT kind AS value, count(*) AS docs FROM tools GROUP BY 1) SELECT value, docs, value = 'SMALL' AS selected, row_number() OVER (ORDER BY value = 'SMALL' DESC, docs DESC, value)::INT AS place FROM f")
 def r22_facet_sidebar(spark, d):
     counts = search.facets(tools(spark, d), ["kind"]).withColumnRenamed("attribute", "family")

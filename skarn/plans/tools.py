@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions import scoring
+from skarn.sources.shared import shared_path
 
 NOW = "2001-12-31"
 
@@ -17,7 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Where each session keeps the models of a folder.
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make, rebuild: bool) -> DataFrame:
+    """A model is made once for a session and folder, as a table in the shared folder; queries read that."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if rebuild or key not in _KEPT:
+        path = shared_path(spark, name)
+        make(spark, sf_dir).write.parquet(path)
+        _KEPT[key] = path
+    return spark.read.parquet(_KEPT[key])
+
+
+def repos(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
+    """Write-model rows, kept as a table."""
+    return _kept(spark, sf_dir, "repos", make_repos, rebuild)
+
+
+def tools(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
+    """Read-model rows, kept as a table: filters and columns of a query reach its scan."""
+    return _kept(spark, sf_dir, "tools", lambda s, d: make_tools(repos(s, d, rebuild)), rebuild)
+
+
+def make_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write-model rows: one for each part, with its line items folded and its document's text.
 
     Line items are aggregated before the join, so the join sees one row for each part.
@@ -46,9 +71,8 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+def make_tools(r: DataFrame) -> DataFrame:
     """Read-model rows: repositories with their scores."""
-    r = repos(spark, sf_dir)
     unless = lambda k, c: F.when(F.col("id") % k != 0, c)
     signals = {
         "license": F.col("license").isNotNull().cast("double"), "releases": F.col("released_at").isNotNull().cast("double"), "docs": F.col("readme_excerpt").isNotNull().cast("double"),

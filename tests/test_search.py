@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skarn import vocabulary
 from skarn.operators import filters, search
 
 SCHEMA = """id long, owner string, name string, full_name string, summary string, readme_excerpt string, kind string, domains array<string>, archived boolean,
@@ -83,9 +84,17 @@ def test_facets_count_a_document_once_and_drop_nulls(t):
 
 def test_alternatives_compare_hot_and_totals(t):
     got = search.alternatives(t, 2, 10, ["a/helm-kit"]).orderBy("place").collect()
-    assert [r.id for r in got] == [2, 3]  # same owner left out, sharing a domain and the kind
+    assert [(r.id, r.place, r.score_total) for r in got] == [(2, 1, 0.9)]  # same owner and archived left out, sharing a domain and the kind
+    everything = F.lit(True)
+    assert [r.id for r in search.alternatives(t, 2, 10, ["a/helm-kit"], everything).orderBy("place").collect()] == [2, 3]
+    assert [r.id for r in search.alternatives(t, 9, 9, ["c/far"], everything).collect()] == []  # of the same owner only
+    assert [r.id for r in search.alternatives(t, 1, 0, ["b/chart-lint"]).collect()] == []  # its best neighbour is cut before owners are looked at
+    # every document is asked for, archived ones too; one without domains is met by its kind alone
+    assert {(r.for_id, r.id) for r in search.alternatives(t).collect()} == {(1, 2), (2, 1), (3, 1)}
+    bare = t.where("id <> 4").unionByName(t.where("id = 4").withColumn("owner", F.lit("d")))
+    assert {(r.for_id, r.id) for r in search.alternatives(bare).collect()} == {(1, 2), (2, 1), (3, 1), (5, 4)}
     assert [r.full_name for r in search.compare(t, ["c/far", "no/no", "a/twin"]).orderBy("place").collect()] == ["c/far", "a/twin"]
-    assert [r.id for r in search.whats_hot(t, "packaging", 2).collect()] == [3, 1]
+    assert [r.id for r in search.whats_hot(t, "packaging", 2).collect()] == [1, 2] and [r.id for r in search.whats_hot(t, "packaging", 1, everything).collect()] == [3]
     assert {r.query: r.docs for r in search.query_totals(t, ["helm", "zzz", "packs"]).collect()} == {"helm": 4, "packs": 2}
 
 
@@ -100,6 +109,42 @@ def test_typos_and_corrections(spark, t):
     assert {(r.word, r.suggestion, r.distance) for r in search.corrections(words, v).collect()} == {("securty", "security", 1), ("securitee", "security", 2)}
 
 
+def test_one_call_answers_with_hits_total_and_facets(t):
+    a = search.search_tools(t, "helm", sort="stars", size=1, attributes=["kind", "install_methods.method"]).first()
+    assert (a.total, a.page, a.hits_per_page, [h.full_name for h in a.hits]) == (3, 1, 1, ["a/helm-kit"])
+    assert [(f.attribute, f.value, f.docs) for f in a.facets] == [("install_methods.method", "brew", 2), ("install_methods.method", "helm", 1), ("kind", "cli", 2), ("kind", "operator", 1)]
+    none = search.search_tools(t, "nothing here", attributes=["kind"]).first()
+    assert (none.total, none.hits, none.facets) == (0, [], [])
+    with pytest.raises(ValueError):
+        search.search_tools(t, sort="id")
+    v = vocabulary.standard()
+    a = search.rest_search(t, {"q": "", "limit": "0", "page": "-3", "sort": "stars", "kind": "cli,nope", "domain": "packaging"}, v).first()
+    assert (a.total, a.page, [(r.repo, r.url) for r in a.results]) == (2, 1, [("b/chart-lint", "/tools/b/chart-lint"), ("a/helm-kit", "/tools/a/helm-kit")])
+    assert [r.repo for r in search.rest_search(t, {"limit": "1", "page": "2"}, v).first().results] == ["b/chart-lint"]
+    assert filters.is_sort_key("recent") and not filters.is_sort_key("__proto__") and filters.sort_spec() == [] and filters.sort_spec("score") == ["score_total:desc"]
+    assert "install_methods.method" in filters.default_facets(v) and filters.family_attribute("kind") == "kind"
+
+
+def test_suggested_queries(spark):
+    words = search.vocabulary_list(vocabulary.standard())
+    v = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, position int")
+    asked = ["netwroking helm", "polcy", "policy", "zzzzzz", "  ", "Securty  Storag edge", "a a", "edg"]
+    got = {}
+    for r in search.suggest_queries(spark.createDataFrame([(q,) for q in asked], "query string"), v).orderBy("query", "place").collect():
+        got.setdefault(r["query"], []).append(r.suggestion)
+    assert got == {
+        "netwroking helm": ["networking helm", "netwroking", "helm"], "polcy": ["policy"], "a a": ["a"],
+        "Securty  Storag edge": ["security storag edge", "securty storage edge", "securty", "storag"],
+    }
+
+
+def test_places_over_many_partitions(spark):
+    df = spark.range(1000, numPartitions=7).select("id", (F.col("id") * 37 % 101).alias("k"))
+    got = filters.numbered(df, [F.desc("k"), F.col("id")]).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == [r.id for r in sorted(got, key=lambda r: (-r.k, r.id))]
+    assert sorted(r.place for r in got) == list(range(1, 1001)) and filters.numbered(df.limit(0), [F.col("id")]).count() == 0
+
+
 def test_params_round_trip():
     known = {"kind": ["cli", "operator"], "domain": ["storage"]}
     s = filters.selection_from_params({"kind": "cli,nope,operator", "domain": ["storage", "storage"]}, known)
