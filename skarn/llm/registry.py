@@ -16,6 +16,8 @@ def queries() -> dict:
         "op8_extendible_hashing": sharding.op8_extendible_hashing,
         "op9_sainte_lague": mixing.op9_sainte_lague,
         "op10_reply_trees": chat.op10_reply_trees,
+        "url_aliases_planted": urlfilter.planted_aliases,
+        "shards_of_200_kb": sharding.small_shards,
     }
 
 
@@ -25,4 +27,6 @@ def oracle_sql() -> dict:
         "op8_extendible_hashing": sharding.oracle(),
         "op9_sainte_lague": mixing.ORACLE,
         "op10_reply_trees": chat.ORACLE,
+        "url_aliases_planted": urlfilter.oracle(urlfilter.PLANTED),
+        "shards_of_200_kb": sharding.oracle(200_000),
     }

@@ -120,6 +120,11 @@ def op8_extendible_hashing(spark, sf_dir):
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def small_shards(spark, sf_dir):
+    """Shards of 200 KB at most, so that small tables split too; no single document is that long there."""
+    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), limit=200_000)
+
+
 def oracle(limit: int = SHARD_BYTES, depth: int = 24) -> str:
     """The same assignment as DuckDB SQL, for directories of up to ``depth`` bits."""
     return f"""

@@ -81,6 +81,17 @@ def _resolved(href: Column, url: Column) -> Column:
     )
 
 
+def _without_dots(url: Column) -> Column:
+    """The url with the segments ``.`` and ``..`` of its path resolved."""
+    rest = F.split(F.substr(path(url), F.lit(2)), "/")
+    last = F.element_at(rest, -1)
+    rest = F.concat(rest, F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    left = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    done = F.aggregate(rest, F.array().cast("array<string>"), left)
+    parts = F.concat(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.lit("/"), F.array_join(done, "/"), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1))
+    return F.when(F.regexp_like(path(url), F.lit(r"/\.\.?(/|$)")), parts).otherwise(url)
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(u, v): a page's node and the node of a redirect or canonical link in its html."""
     html = F.col("html")
@@ -96,6 +107,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     t = t.select("url", F.explode(F.array(href)).alias("href")).where("href <> ''")
     ends = F.struct(node(F.col("url")).alias("u"), _resolved(F.col("href"), F.col("url")).alias("to"))
     t = t.select(F.inline(F.array(ends))).where("to IS NOT NULL")
+    t = t.select("u", F.explode(F.array(_without_dots(F.col("to")))).alias("to"))
     return t.select("u", F.explode(F.array(node(F.col("to")))).alias("v")).where("v IS NOT NULL AND u <> v")
 
 
@@ -114,8 +126,9 @@ def judge(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> Data
     members = components(found)
     as_url = F.concat(F.lit("http://"), F.col("node"))
     decided = members.withColumn("said", rule(host(as_url), path(as_url), rules)["verdict"])
-    classes = decided.groupBy("component").agg(F.min("said").alias("class_verdict"))  # 'allow' < 'block'
-    verdicts = members.join(classes, "component").where("class_verdict IS NOT NULL").select("node", "class_verdict")
+    # kept before the join, so that the members of a large class can be split over tasks; 'allow' < 'block'
+    classes = checkpointed(decided.groupBy("component").agg(F.min("said").alias("class_verdict")).where("class_verdict IS NOT NULL"))
+    verdicts = members.join(classes, "component").select("node", "class_verdict")
     out = own.join(verdicts, "node", "left")
     return out.select(*plain, F.coalesce("hit.verdict", "class_verdict", F.lit("allow")).alias("verdict"))
 
@@ -124,6 +137,19 @@ def op5_redirect_equivalence(spark, sf_dir):
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+#: html of a page with planted aliases, as SQL that Spark and DuckDB both read.
+PLANTED = """CASE page_id % 6
+ WHEN 0 THEN '<head><link rel="canonical" href="http://a.example.com/en/' || CAST(floor(page_id / 20) AS BIGINT) || '"></head>'
+ WHEN 1 THEN '<meta http-equiv="refresh" content="0; url=https://A.example.com/x/../en/./' || CAST(floor(page_id / 20) AS BIGINT) || '#top">'
+ WHEN 2 THEN '<!-- <link rel=canonical href=/no> --><link href="/up/../group/' || CAST(floor(page_id / 9) AS BIGINT) || '/." rel="Canonical">'
+ WHEN 3 THEN '<link rel=canonical href="http://example.com/en/7' || CAST(floor(page_id / 50) AS BIGINT) || '">' END"""
+
+
+def planted_aliases(spark, sf_dir):
+    """The verdicts of all pages with planted redirects and canonical links, as their own html names none."""
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html", F.expr(PLANTED)))
+
+
 def _attribute_sql(name: str) -> str:
     pattern = f"""(?is)[\\s\\x22\'\']{name}\\s*=\\s*(?:\\x22([^\\x22]*)\\x22|\'\'([^\'\']*)\'\'|([^\\s\\x22\'\'>]+))"""
     return "(" + " || ".join(f"regexp_extract(tag, '{pattern}', {g})" for g in (1, 2, 3)) + ")"
@@ -145,13 +171,14 @@ def _rule_sql(what: int, rules=RULES) -> str:
     return "CASE " + " ".join(whens) + " END"
 
 
-def oracle() -> str:
+def oracle(planted: str | None = None) -> str:
     """The same verdicts as DuckDB SQL; classes by a recursive closure, for graphs that fit one machine."""
     host_, path_, node_ = _parts_sql("url")
     moved = "regexp_extract(" + _attribute_sql("content") + ", '(?is)^\\s*[\\d.]*\\s*[;,]\\s*url\\s*=\\s*[\'\'\\x22]?([^\'\'\\x22]*)', 1)"
+    pages = "pages" if planted is None else f"(SELECT page_id, url, {planted} AS html FROM pages)"
     return f"""
 WITH RECURSIVE own AS (SELECT page_id, url, html, coalesce(contains(url, '://'), false) AS ok,
-    CASE WHEN contains(url, '://') THEN {host_} ELSE '' END AS host, CASE WHEN contains(url, '://') THEN {path_} ELSE '' END AS path, CASE WHEN contains(url, '://') THEN {node_} END AS node FROM pages),
+    CASE WHEN contains(url, '://') THEN {host_} ELSE '' END AS host, CASE WHEN contains(url, '://') THEN {path_} ELSE '' END AS path, CASE WHEN contains(url, '://') THEN {node_} END AS node FROM {pages}),
 tags AS (SELECT url, node, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<(?:link|meta)\\b(?:[^>\\x22'']|\\x22[^\\x22]*\\x22|''[^'']*'')*>')) AS tag FROM own WHERE ok),
 refs AS (SELECT url, node, trim(replace(CASE
     WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(lower(trim({_attribute_sql("rel")})), '\\s+'), 'canonical') THEN {_attribute_sql("href")}
@@ -160,7 +187,11 @@ origins AS (SELECT *, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, regexp_
 ends AS (SELECT node AS u, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN href WHEN starts_with(href, '//') THEN scheme || ':' || href WHEN starts_with(href, '/') THEN origin || href
     WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') OR starts_with(href, '#') THEN NULL WHEN starts_with(href, '?') THEN origin || {path_} || href
     ELSE CASE WHEN ends_with(folder, '/') THEN folder ELSE folder || '/' END || href END AS url FROM origins),
-e AS (SELECT u, {node_} AS v FROM ends WHERE contains(url, '://')),
+split AS (SELECT u, url, {path_} AS path, string_split(substr({path_}, 2), '/') AS segments FROM ends WHERE contains(url, '://')),
+plain AS (SELECT u, CASE WHEN regexp_matches(path, '/[.][.]?(/|$)') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || '/' || array_to_string(list_reduce(
+    list_prepend([]::VARCHAR[], list_transform(list_concat(segments, CASE WHEN segments[-1] IN ('.', '..') THEN [''] ELSE [] END), lambda s: [s])),
+    lambda a, s: CASE WHEN s[1] = '..' THEN a[1:greatest(len(a) - 1, 0)] WHEN s[1] = '.' THEN a ELSE list_concat(a, s) END), '/') || regexp_extract(url, '(?s)^.*?://[^?#]*(.*)$', 1) ELSE url END AS url FROM split),
+e AS (SELECT u, {node_} AS v FROM plain),
 pairs AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
 reach(a, b) AS (SELECT u, u FROM pairs UNION SELECT a, v FROM reach JOIN pairs ON b = u),
 said AS (SELECT a, {_rule_sql(0)} AS said FROM (SELECT a, regexp_extract(b, '(?s)^([^/?#]*)', 1) AS host, regexp_extract(b, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM reach)),

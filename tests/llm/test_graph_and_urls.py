@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 
 from skarn.llm import urlfilter
@@ -73,11 +74,29 @@ def test_known_edges_join_in(spark):
 
 
 def test_sql_twin_agrees(spark):
-    import duckdb
-
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", ROWS)
     got = urlfilter.judge(spark.createDataFrame(ROWS, "page_id long, url string, html string")).collect()
     want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urlfilter.oracle()})").fetchall()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize(
+    ("href", "target"),
+    [
+        ("../en/7", "h.example/a/en/7"), ("./x", "h.example/a/b/x"), ("../../../z/.", "h.example/z/"), ("/p/../q/..", "h.example/"), ("//O.example/a/./b", "o.example/a/b"), ("http://O.example/a/../b?x=../y", "o.example/b?x=../y"),
+        ("..", "h.example/a/"), ("....", "h.example/a/b/...."), ("?q=1", "h.example/a/b/c?q=1"), ("http://o.example", "o.example"),
+    ],
+)
+def test_dot_segments_of_targets_are_resolved(spark, href, target):
+    pages = spark.createDataFrame([(1, "http://h.example/a/b/c", f'<link rel="canonical" href="{href}">')], "page_id long, url string, html string")
+    assert [r.v for r in urlfilter.alias_edges(pages).collect()] == [target]
+
+
+def test_planted_aliases_match_sql(spark, sf):
+    got = sorted(map(tuple, urlfilter.planted_aliases(spark, sf).select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urlfilter.oracle(urlfilter.PLANTED)})").fetchall()
+    assert got == sorted(want, key=str) and any(r[3] is None and r[4] == "block" for r in got)
