@@ -5,7 +5,7 @@ one row for each length that occurs. For a limit L equal to a length: how many d
 that long, how many tokens they have, and how many tokens remain in all if every document is cut at L;
 ``share_below`` gives quantiles. Any other limit is answered from the next length above (see ``cut_at``).
 
-Suffix sums run in two levels, by blocks of lengths and inside a block, so no task sees all lengths.
+Suffix sums run by ranges of lengths and inside a range, so no task sees all lengths.
 
 Defined results: a null or empty text has length 0; an empty table gives no rows; repeated rows count
 as often as they occur; other columns are not read.
@@ -14,16 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec, vocabulary_path
-from .common import checkpointed
+from .common import checkpointed, prefix_sums
 from .textkernel import chunks, texts
 
-#: Lengths of a block of the suffix sums.
-BLOCK = 64
-
 
 def lengths(docs: DataFrame, keys: tuple[str, ...] = (), text: str = "text", path: str | None = None) -> DataFrame:
     """The key columns and n_tokens of each document."""
@@ -41,22 +38,17 @@ def lengths(docs: DataFrame, keys: tuple[str, ...] = (), text: str = "text", pat
     return inner.mapInArrow(run, schema)
 
 
-def histogram(lengths_: DataFrame, block: int = BLOCK) -> DataFrame:
+def histogram(lengths_: DataFrame) -> DataFrame:
     """(n_tokens, docs, docs_at_least, tokens_at_least, tokens_if_cut, share_below) by length, from (n_tokens)."""
-    h = checkpointed(lengths_.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")))
-    h = h.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("block", F.expr(f"n_tokens div {block}"))
-    zero = F.lit(0).cast("long")
-    above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = h.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
-    everything = Window.partitionBy()
-    blocks = blocks.select("block", F.coalesce(F.sum("d").over(above), zero).alias("docs_above"), F.coalesce(F.sum("t").over(above), zero).alias("tokens_above"), F.sum("d").over(everything).alias("all_docs"), F.sum("t").over(everything).alias("all_tokens"))
-    inside = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("d", F.sum("docs").over(inside)).withColumn("t", F.sum("tokens").over(inside)).join(blocks, "block")
-    docs_at, tokens_at = F.col("d") + F.col("docs_above"), F.col("t") + F.col("tokens_above")
+    h = lengths_.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
+    h = prefix_sums(h, [F.desc("n_tokens")], docs_above=F.col("docs"), tokens_above=F.col("docs") * F.col("n_tokens"))
+    h = checkpointed(h)
+    all_docs, all_tokens = h.agg(F.sum("docs"), F.sum(F.col("docs") * F.col("n_tokens"))).first()
+    docs_at, tokens_at = F.col("docs") + F.col("docs_above"), F.col("docs") * F.col("n_tokens") + F.col("tokens_above")
     return h.select(
         "n_tokens", "docs", docs_at.alias("docs_at_least"), tokens_at.alias("tokens_at_least"),
-        (F.col("all_tokens") - tokens_at + docs_at * F.col("n_tokens")).alias("tokens_if_cut"),
-        ((F.col("all_docs") - docs_at).cast("double") / F.col("all_docs")).alias("share_below"),
+        (F.lit(all_tokens) - tokens_at + docs_at * F.col("n_tokens")).cast("long").alias("tokens_if_cut"),
+        ((F.lit(all_docs) - docs_at).cast("double") / F.lit(all_docs)).alias("share_below"),
     )
 
 
@@ -69,7 +61,8 @@ def cut_at(hist: DataFrame, limit: int) -> DataFrame:
 
 def quantile(hist: DataFrame, q: float) -> DataFrame:
     """One row (n_tokens): the smallest length that at least a share q of the documents don't exceed."""
-    upto = 1 - (F.col("docs_at_least") - F.col("docs")) / F.max("docs_at_least").over(Window.partitionBy())
+    all_docs = hist.agg(F.max("docs_at_least")).first()[0]
+    upto = 1 - (F.col("docs_at_least") - F.col("docs")) / F.lit(all_docs)
     return hist.withColumn("upto", upto).where(F.col("upto") >= q).agg(F.min("n_tokens").alias("n_tokens"))
 
 
