@@ -26,6 +26,10 @@ def parser() -> argparse.ArgumentParser:
     h = sub.add_parser("hot", help="the most momentum")
     h.add_argument("--domain")
     h.add_argument("--limit", type=int, default=10)
+    g = sub.add_parser("suggest", help="other queries for one that found nothing, of those that find something")
+    g.add_argument("query")
+    w = sub.add_parser("rest", help="the public answer to url parameters, as one row")
+    w.add_argument("params", nargs="*", help="name=value, such as q=ring or kind=cli,operator")
     r = sub.add_parser("run", help="a registered query")
     r.add_argument("name")
     sub.add_parser("list", help="the registered queries")
@@ -34,7 +38,9 @@ def parser() -> argparse.ArgumentParser:
 
 def frame(spark, args: argparse.Namespace):
     """The DataFrame that a command stands for."""
-    from skarn import queries
+    from pyspark.sql import functions as F
+
+    from skarn import queries, vocabulary
     from skarn.functions import scoring
     from skarn.operators import filters, search
     from skarn.plans.tools import tools
@@ -48,6 +54,16 @@ def frame(spark, args: argparse.Namespace):
         return search.search(t, args.query, filters.build_filters(t, clauses=args.where, include_archived=args.archived), args.sort, page, size)
     if args.command == "facets":
         return search.facets(t.where(filters.build_filters(t)), args.attributes)
+    if args.command == "suggest":
+        words = search.vocabulary_list(vocabulary.standard())
+        v = spark.createDataFrame([(x, i) for i, x in enumerate(words)], "word string, position int")
+        found = search.suggest_queries(spark.createDataFrame([(args.query,)], "query string"), v)
+        asked = [r.suggestion for r in found.collect()]  # four at most
+        proven = search.query_totals(t, asked, filters.build_filters(t)) if asked else found.select(F.col("suggestion").alias("query"), F.lit(0).alias("docs"))
+        return found.join(proven.withColumnRenamed("query", "suggestion"), "suggestion").orderBy("place").select("suggestion", "docs")
+    if args.command == "rest":
+        scored = scoring.z_score(t, "raw_momentum", "momentum")
+        return search.rest_search(scored, dict(p.split("=", 1) for p in args.params), vocabulary.standard())
     if args.command == "tool":
         return t.where(t.full_name == args.name).limit(1)
     if args.command == "alternatives":

@@ -6,7 +6,7 @@ from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +87,9 @@ def rendered(pages: DataFrame, key: str = "page_id", html: str = "html", base: s
     source = F.col(html) if most_bytes is None else cut_bytes(F.col(html), most_bytes)
     pages = pages.withColumn(html, without_badges(source))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({key: frame[key], "html": [clean(h, b) for h, b in zip(frame[html], frame[base], strict=True)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cleaned = [clean(h, b) for h, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cleaned, pa.string())], [key, "html"])
 
-    return pages.select(key, html, base).mapInPandas(run, f"`{key}` {kind}, html string")
+    return pages.select(key, html, base).mapInArrow(run, f"`{key}` {kind}, html string")
