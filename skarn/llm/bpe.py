@@ -38,7 +38,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 WORDS_KEPT = 500_000
 #: Bytes of a word that takes the query for short words; bytes of the words of one query, about.
 SHORT = 40
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 100_000
 LONG_AT_ONCE = 1 << 17
 MATCHED_AT_ONCE = 1 << 20
 LETTER, NUMBER, BLANK = 1, 2, 3

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkernel import SPACE, Words, _mixing_table, chunks, mix64, texts, windows
+from .textkernel import SPACE, Words, _mixing_table, chunks, mix64, powers, texts, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The inputs of models: shares and means, so that the length of a text alone says little.
@@ -68,12 +68,10 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     doc = np.searchsorted(offsets, start, side="right") - 1
     # a polynomial hash of each line's bytes
     n = len(data)
-    from .textkernel import _powers
-
-    powers = _powers(1 << max(10, int(n).bit_length()))
+    power = powers(n)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_mixing_table()[data] * powers[:n], out=prefix[1:])
-    key = mix64((prefix[end] - prefix[start]) * powers[n - start] + (end - start).astype(np.uint64))
+    np.cumsum(_mixing_table()[data] * power[:n], out=prefix[1:])
+    key = mix64((prefix[end] - prefix[start]) * power[n - start] + (end - start).astype(np.uint64))
     order, new = _groups(key, doc)
     return np.bincount(doc, minlength=n_docs), np.bincount(doc[order][~new], minlength=n_docs)
 

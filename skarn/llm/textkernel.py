@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that one kernel call works on, about; a longer text is a call of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES, rows: int = 1 << 40) -> Iterator[tuple[int, int]]:
@@ -43,10 +43,19 @@ def _mixing_table() -> np.ndarray:
 
 
 @cache
-def _powers(n: int) -> np.ndarray:
-    base = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+def _usual_powers() -> np.ndarray:
+    return _made_powers(2 * CHUNK_BYTES)
+
+
+def _made_powers(n: int) -> np.ndarray:
+    base = np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64)
     base[0] = 1
-    return np.cumprod(base)
+    return np.cumprod(base, out=base)
+
+
+def powers(n: int) -> np.ndarray:
+    """Powers of the base up to n, or more; those that usual chunks need are kept, longer ones only while they are used."""
+    return _usual_powers() if n <= 2 * CHUNK_BYTES else _made_powers(n)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -90,10 +99,10 @@ class Words:
             return np.zeros(0, np.uint64)
         n = len(self.data)
         sums = np.zeros(n + 1, np.uint64)
-        powers = _powers(1 << max(10, int(n).bit_length()))
-        np.cumsum(_mixing_table()[self.data] * powers[:n], out=sums[1:])
+        power = powers(n)
+        np.cumsum(_mixing_table()[self.data] * power[:n], out=sums[1:])
         # every word is shifted to the same power of the base, so equal words give equal values
-        value = (sums[self.end] - sums[self.start]) * powers[n - self.start]
+        value = (sums[self.end] - sums[self.start]) * power[n - self.start]
         return mix64(self._normal(value, n) + width.astype(np.uint64))
 
     @staticmethod
