@@ -198,45 +198,38 @@ def corrections(words: DataFrame, vocabulary: DataFrame, n: int = 4) -> DataFram
     """(word, suggestion, distance, place): vocabulary words within the tolerance of each misspelt word.
 
     Words of the vocabulary aren't corrected. Equal distances are in the order of the vocabulary's column
-    ``position``, if it has one, else of the words. Candidates meet on deletion neighbourhoods: two words
-    within k edits share a text that leaves out at most k letters of each, so no word is compared with the
-    whole vocabulary. Words are met by tolerance, so a short word leaves out one letter only; words more
-    than two letters longer than all of the vocabulary have no suggestion, and so no neighbourhood.
+    ``position``, if it has one, else of the words. No word is compared with the whole vocabulary: one of k + 1
+    parts of a vocabulary word is whole in a word that is k edits away, near its place, so words meet on parts.
+    The parts are a small table beside the words', of as many rows as the vocabulary has, some times over.
     """
     place = ["position"] if "position" in vocabulary.columns else []
     vocabulary = vocabulary.select("word", *place)
-    k = tolerance(F.col("word"))
-    asked = words.select("word").distinct().join(vocabulary.select("word"), "word", "left_anti").where(k > 0).withColumn("k", k)
-    longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
-    asked = asked.where(F.length("word") <= longest + F.col("k"))
-    left = asked.select("word", "k", F.explode(F.when(F.col("k") == 1, _without_one(F.col("word"))).otherwise(_without(F.col("word")))).alias("part"))
-    # words of at most 8 letters may be meant by one edit, those of at least 6 by two
-    near = lambda edits, made: vocabulary.select(F.col("word").alias("suggestion"), *place, F.lit(edits).alias("k"), F.explode(made).alias("part"))
-    right = near(1, _without_one(F.col("word"))).where(F.length("suggestion").between(4, 8)).unionByName(near(2, _without(F.col("word"))).where(F.length("suggestion") >= 6))
-    met = left.join(right, ["k", "part"]).select("word", "k", "suggestion", *place).distinct()
-    met = met.withColumn("distance", F.levenshtein("word", "suggestion", 2)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("k"))).drop("k")
+    asked = words.select("word").distinct().join(vocabulary.select("word"), "word", "left_anti").withColumn("k", tolerance(F.col("word"))).where("k > 0")
+    long = F.length("word")
+    # words of 5 to 7 letters may be meant by one edit, longer ones by two
+    known = vocabulary.withColumn("size", long).select("*", F.explode(F.array(*[F.when(t, F.lit(k)) for k, t in ((1, F.col("size").between(4, 8)), (2, F.col("size") >= 6))])).alias("k")).where("k IS NOT NULL")
+    known = _part_places(known.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k") + 1))))
+    known = written(known.select(F.col("word").alias("suggestion"), *place, "k", "size", "i", F.substr("word", F.col("start"), F.col("part_size")).alias("part")), "parts")
+    asked = asked.withColumn("own", long).withColumn("size", F.explode(F.sequence(F.col("own") - F.col("k"), F.col("own") + F.col("k"))))
+    asked = _part_places(asked.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k") + 1))))
+    # with the first i - 1 parts damaged, a whole part is at most i - 1 places off, and so from the other end
+    shift, before, after = F.col("own") - F.col("size"), F.col("i") - 1, F.col("k") + 1 - F.col("i")
+    low = F.greatest(F.lit(1), F.col("start") - before, F.col("start") + shift - after)
+    high = F.least(F.col("own") - F.col("part_size") + 1, F.col("start") + before, F.col("start") + shift + after)
+    asked = asked.select("word", "k", "size", "i", "part_size", F.explode(F.when(low <= high, F.sequence(low, high))).alias("at"))
+    asked = asked.select("word", "k", "size", "i", F.substr("word", F.col("at"), F.col("part_size")).alias("part"))
+    met = asked.join(known, ["k", "size", "i", "part"]).withColumn("distance", F.levenshtein("word", "suggestion", 2))
+    met = met.where((F.col("distance") >= 0) & (F.col("distance") <= F.col("k"))).select("word", "suggestion", "distance", *place).distinct()
     order = Window.partitionBy("word").orderBy("distance", *place, "suggestion")
     return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop(*place)
 
 
-def _without_one(word: Column) -> Column:
-    """The word and all texts that leave out one of its letters."""
-    return F.array_distinct(F.concat(F.array(word), _dropped(word)))
-
-
-def _dropped(word: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
-
-
-def _without(word: Column) -> Column:
-    """The word and all texts that leave out one or two of its letters, the second after the first."""
-    def twice(i):
-        rest = F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))
-        later = F.when(i < F.length(word), F.sequence(i, F.length(word) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(later, lambda j: F.concat(F.substr(rest, F.lit(1), j - 1), F.substr(rest, j + 1)))
-
-    two = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), twice))
-    return F.array_distinct(F.concat(F.array(word), _dropped(word), two))
+def _part_places(df: DataFrame) -> DataFrame:
+    """Adds start and part_size: where part i of k + 1 of a word of ``size`` letters is; the later ones take the letters left over."""
+    parts = F.col("k") + 1
+    base, rest = F.expr("size div (k + 1)").cast("int"), F.col("size") % parts
+    longer = F.greatest(F.lit(0), F.col("i") - 1 - (parts - rest))
+    return df.withColumns({"start": ((F.col("i") - 1) * base + 1 + longer).cast("int"), "part_size": (base + (F.col("i") > parts - rest).cast("int")).cast("int")})
 
 
 def suggest_queries(queries: DataFrame, vocabulary: DataFrame, n: int = 4) -> DataFrame:

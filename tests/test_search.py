@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +147,36 @@ def test_places_over_many_partitions(spark):
     assert sorted(r.place for r in got) == list(range(1, 1001)) and filters.numbered(df.limit(0), [F.col("id")]).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_corrections_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abc" if seed % 2 else "abcdefghé", k=rng.randint(1, 13)))
+    vocabulary, asked = {word() for _ in range(60)}, {word() for _ in range(120)}
+    for v in list(vocabulary):  # near ones
+        w = list(v)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "q"])
+        asked.add("".join(w))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    want = set()
+    for a in asked - vocabulary:
+        k = 2 if len(a) >= 8 else 1 if len(a) >= 5 else 0
+        near = sorted((distance(a, v), v) for v in vocabulary if distance(a, v) <= k) if k else []
+        want |= {(a, v, d, i) for i, (d, v) in enumerate(near[:3], 1)}
+    frame = lambda ws: spark.createDataFrame([(w,) for w in sorted(ws)], "word string")
+    got = {(r.word, r.suggestion, r.distance, r.place) for r in search.corrections(frame(asked), frame(vocabulary), 3).collect()}
+    assert got == want and want
+
+
 def test_params_round_trip():
     known = {"kind": ["cli", "operator"], "domain": ["storage"]}
     s = filters.selection_from_params({"kind": "cli,nope,operator", "domain": ["storage", "storage"]}, known)
