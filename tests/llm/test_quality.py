@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter
@@ -113,3 +114,42 @@ def test_held_out_accuracy(spark, folder):
     assert sum(r.predicted == labels[r.doc_id] for r in rows) / len(rows) > 0.95
     rows = [r for r in quality_rules.op7_boosted_rules(spark, folder).collect() if r.doc_id in labels and not r.base_failed]
     assert sum(r.kept == labels[r.doc_id] for r in rows) / len(rows) > 0.95
+
+
+def features_of(text):
+    """The features by their plain definitions."""
+    text = text or ""
+    n, chars, symbols, dup, repeated = counts_of(text)
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+    count = lambda pattern: len(re.findall(pattern, text))
+    share = lambda a, b: a / max(b, 1)
+    seen = Counter(words)
+    return {
+        "log_words": math.log1p(n), "mean_word": share(chars, n), "symbol_share": share(symbols, n), "dup_line_share": share(dup, lines), "repeat_share": share(repeated, n),
+        "upper_share": share(count("[A-Z]"), count("[A-Za-z]")), "digit_share": share(count("[0-9]"), chars), "punct_share": share(count(r"""[!"'(),\-./:;?@\[\\\]^_`{}~=+]"""), n), "distinct_share": share(len(seen), n),
+        "same_as_last_share": share(sum(a == b for a, b in zip(words, words[1:])), n), "bang_share": share(count("!(?<=!!)"), n), "words_per_line": share(n, lines), "short_word_share": share(sum(len(w) <= 3 for w in words), n),
+        "top_word_share": share(max(seen.values(), default=0), n),
+    }
+
+
+def test_queries_match_brute_force(spark, sf):
+    """Both queries' scores over all documents, from plain definitions, rule by rule and node by node."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules, forest = quality.train(docs, labels), quality_rules.train(docs, labels)
+    found = {r.doc_id: (r.text, features_of(r.text)) for r in docs.collect()}
+    scored, judged = quality.op3_rule_ensemble(spark, sf).collect(), quality_rules.op7_boosted_rules(spark, sf).collect()
+    assert len(scored) == len(judged) == docs.count() and rules.rules and len(forest.roots)
+    for r in scored:
+        x = found[r.doc_id][1]
+        z = rules.intercept + sum(w for w, path in rules.rules if all((x[FEATURES[f]] <= t) == low for f, low, t in path))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    for r in judged:
+        text, x = found[r.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts_of(text)
+        z = forest.base
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] if x[FEATURES[forest.feature[node]]] <= forest.threshold[node] else forest.right[node]
+            z += forest.value[node]
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.base_failed == failed and r.kept == (not failed and r.score >= 0.3)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from skarn.llm import bpe, tokencounts
 
@@ -30,3 +31,15 @@ def test_query_counts_all_documents(spark, sf):
     assert sum(r.docs for r in rows) == docs.count()
     whole = bpe.encode_decode(docs).agg({"n_tokens": "sum"}).first()[0]
     assert sum(r.docs * r.n_tokens for r in rows) == whole
+
+
+def test_query_matches_the_tokenizer_library(spark, sf):
+    public_tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(bpe.vocabulary_path()), special_tokens={})
+    n = [len(encoding.encode_ordinary(r.text or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    rows = {r.n_tokens: r for r in tokencounts.op1_length_histogram(spark, sf).collect()}
+    assert set(rows) == set(n)
+    for limit, r in rows.items():
+        over = [x for x in n if x >= limit]
+        assert (r.docs, r.docs_at_least, r.tokens_at_least, r.tokens_if_cut) == (n.count(limit), len(over), sum(over), sum(min(x, limit) for x in n))
+        assert abs(r.share_below - sum(x < limit for x in n) / len(n)) < 1e-12
