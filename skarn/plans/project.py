@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skarn import vocabulary
 from skarn.functions import text
-from skarn.sources.files import split_valid
+from skarn.sources.files import read_json, split_valid
 
 V = vocabulary.standard()
 
@@ -28,3 +28,19 @@ def checked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "k8s_relevance": unit("k8s_relevance"), "confidence": unit("confidence"), "stars": F.col("stars") >= 0, "pushed_at": F.col("pushed_at").isNotNull(),
     }
     return split_valid(docs, checks)
+
+
+def emit_corpus(docs: DataFrame, path: str, source: str) -> None:
+    """Writes generated documents as JSON lines, marked with their source so that they can't pass for real ones."""
+    docs.withColumn("discovery_source", F.lit(source)).write.json(path)
+
+
+def load_corpus(spark, path: str, schema: str, source: str, lines: bool = True) -> DataFrame:
+    """Documents of a generated corpus; one that is invalid, unreadable or not marked refuses all."""
+    good, broken = read_json(spark, path, f"{schema}, discovery_source string", lines)
+    valid, rejects = checked(good)
+    unmarked = ~F.col("discovery_source").eqNullSafe(F.lit(source))
+    for what, bad in (("unreadable", broken), ("invalid", rejects), ("not marked as generated", valid.where(unmarked))):
+        if not bad.isEmpty():
+            raise ValueError(f"a document is {what}: {bad.first().asDict()}")
+    return valid

@@ -7,10 +7,11 @@ from skarn import vocabulary
 from skarn.functions import text
 from skarn.operators import artifacts as files_of
 from skarn.operators import classify, discovery, journal, signals
+from skarn.plans import project
 from skarn.plans.tools import TOOLS_SQL, repos, table
 from skarn.queries import query
 from skarn.sources.shared import shared_path, written
-from skarn.sources.store import Collection, Store
+from skarn.sources.store import Collection, Store, open_store
 
 
 @query(TOOLS_SQL + """SELECT id, substr(sha256('{"full_name":"' || full_name || '","name":"' || name || '","owner":"' || owner || '","stars":' || stars || ',"forks":' || forks || ',"open_issues":' || open_issues
@@ -157,3 +158,34 @@ def s19_s22_store(spark, d):
     store.put("orders", o.where("status = 'F'").withColumns({"status": F.lit("done"), "price": F.col("price") + 1}))
     store.remove("orders", {"status": "P"})
     return store.read("orders")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, (SELECT max(o_totalprice) FROM orders) AS best FROM orders GROUP BY 1")
+def a3_f3_store_reads(spark, d):
+    """Counts by filter, and a sorted, limited projection, of a store's collection."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    store = open_store(spark, "memory")
+    store.ensure([ORDERS])
+    store.put("orders", o)
+    best = store.list("orders", fields=["price"], sort=["price:desc"], limit=1).first()["price"]
+    counts = [(s, store.count("orders", {"status": s})) for s in ("F", "O", "P")]
+    return spark.createDataFrame([c for c in counts if c[1]], "status string, n long").withColumn("best", F.lit(best))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'view' AND event_id % 3 = 0")
+def f22_changed_events(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("type"), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 3 == 0).otherwise(F.col("event_id") % 3 == 0).alias("changed"))
+    return journal.changed_only(e, "view").select("event_id", "user_id")
+
+
+@query(TOOLS_SQL + "SELECT id, kind, stars FROM repos WHERE id % 5 <> 0 AND pushed_at IS NOT NULL AND kind IS NOT NULL")
+def s25_emit_and_load(spark, d):
+    """A corpus written as JSON lines and loaded again, every document checked."""
+    none = F.lit("unknown")
+    docs = repos(spark, d).where("id % 5 <> 0 AND pushed_at IS NOT NULL").select(
+        "id", F.col("kind").alias("type"), "stars", F.col("pushed_at").cast("string").alias("pushed_at"), F.lit("cli").alias("kind"), F.array(F.lit("security")).alias("domains"), none.alias("runtime"), none.alias("license_class"), none.alias("maturity"), "k8s_relevance", F.lit(0.5).alias("confidence"),
+    )
+    path = shared_path(spark, "corpus")
+    project.emit_corpus(docs, path, "generated")
+    schema = "id long, type string, stars long, pushed_at string, kind string, domains array<string>, runtime string, license_class string, maturity string, k8s_relevance double, confidence double"
+    return project.load_corpus(spark, path, schema, "generated").select("id", F.col("type").alias("kind"), "stars")

@@ -9,10 +9,22 @@ PROVIDERS = {"scorecard": 7 * 86400, "depsdev": 7 * 86400, "osv": 3 * 86400, "br
 
 
 def read_json(spark: SparkSession, path: str, schema: str, lines: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejects as text) of a folder of JSON."""
-    raw = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("multiLine", not lines).json(path)
-    good = raw.where("_corrupt_record IS NULL").drop("_corrupt_record")
-    return good, raw.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
+    """(good rows, rejects as text) of a folder of JSON: objects by line, or (not lines) a file's array of objects, or one object.
+
+    A file of the second kind that can't be read is one reject.
+    """
+    raw = spark.read.text(path, wholetext=not lines).where(F.trim("value") != "")
+    own = f"{schema}, _corrupt_record string"
+    if not lines:
+        whole = raw.withColumn("many", F.from_json("value", f"array<struct<{_fields(spark, schema)}>>", {"mode": "PERMISSIVE"}))
+        return whole.where("many IS NOT NULL").select(F.inline("many")), whole.where("many IS NULL").select(F.col("value").alias("_corrupt_record"))
+    parsed = raw.select("value", F.from_json("value", own, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"))
+    bad = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull()
+    return parsed.where(~bad).select("j.*").drop("_corrupt_record"), parsed.where(bad).select(F.col("value").alias("_corrupt_record"))
+
+
+def _fields(spark: SparkSession, schema: str) -> str:
+    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in spark.createDataFrame([], schema).schema.fields)
 
 
 def split_valid(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skarn.functions.text import is_store_id
 from skarn.operators.filters import order, where_equal
 from skarn.operators.ingest import last_by
+from skarn.sources.shared import shared_path
 from skarn.sources.versions import Versions
 
 
@@ -132,6 +133,15 @@ class Store:
         return gone
 
 
+def open_store(spark: SparkSession, kind: str, path: str | None = None) -> Store:
+    """A store by name: ``memory`` lasts as long as the shared folder, ``files`` is at a path."""
+    if kind == "memory":
+        return Store(spark, shared_path(spark, "store"))
+    if kind == "files" and path:
+        return Store(spark, path)
+    raise ValueError(f"no store {kind} at {path}")
+
+
 class Alias:
     """A name for the current version of a rebuilt table, in a folder, so that it outlives the session.
 

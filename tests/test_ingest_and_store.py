@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from skarn.operators import discovery, ingest, journal
 from skarn.sources import files
 from skarn.sources.blobs import Blobs
-from skarn.sources.store import Alias, Collection, Store, plan_create, promote, repoint
+from skarn.sources.store import Alias, Collection, Store, open_store, plan_create, promote, repoint
 from skarn.sources.versions import Versions
 from skarn.streaming import consumer
 
@@ -235,7 +235,35 @@ def test_promotion_is_verified_and_rolls_back(spark, tmp_path):
 def test_bad_json_is_counted_not_fatal(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"repo": "a/b", "stars": 3}\nnot json\n{"repo": "c/d", "stars": 4}\n')
     good, bad = files.read_json(spark, str(tmp_path), "repo string, stars long")
-    good = good.cache()
-    assert good.count() == 2
+    assert good.count() == 2 and [r[0] for r in bad.collect()] == ["not json"] and bad.count() == 1
     valid, rejects = files.split_valid(good, {"stars": F.col("stars") > 3, "repo": F.col("repo").isNotNull()})
     assert valid.count() == 1 and rejects.first().violations == ["stars"]
+
+
+def test_json_arrays_and_broken_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"repo": "a/b", "stars": 3},\n {"repo": "c/d"}]')
+    (tmp_path / "b.json").write_text('{"repo": "e/f", "stars": 5}')
+    (tmp_path / "c.json").write_text('[{"repo": ')
+    (tmp_path / "d.json").write_text(" ")
+    good, bad = files.read_json(spark, str(tmp_path), "repo string, stars long", lines=False)
+    assert sorted((r.repo, r.stars) for r in good.collect()) == [("a/b", 3), ("c/d", None), ("e/f", 5)] and bad.count() == 1
+
+
+def test_a_corpus_is_loaded_whole_or_not(spark, tmp_path):
+    from skarn.plans import project
+
+    schema = "id long, stars long, pushed_at string, kind string, domains array<string>, runtime string, license_class string, maturity string, k8s_relevance double, confidence double"
+    good = [(i, 3, "2024-01-01", "cli", ["security"], "unknown", "permissive", "young", 0.5, 0.5) for i in range(4)]
+    project.emit_corpus(spark.createDataFrame(good, schema), f"{tmp_path}/a", "made")
+    assert project.load_corpus(spark, f"{tmp_path}/a", schema, "made").count() == 4
+    with pytest.raises(ValueError, match="not marked"):
+        project.load_corpus(spark, f"{tmp_path}/a", schema, "other")
+    project.emit_corpus(spark.createDataFrame([*good, (9, 3, "2024-01-01", "widget", ["security"], "unknown", "permissive", "young", 0.5, 0.5)], schema), f"{tmp_path}/b", "made")
+    with pytest.raises(ValueError, match="invalid"):
+        project.load_corpus(spark, f"{tmp_path}/b", schema, "made")
+    (tmp_path / "c.json").write_text('{"id": 1}\nbroken')
+    with pytest.raises(ValueError, match="unreadable"):
+        project.load_corpus(spark, f"{tmp_path}/c.json", schema, "made")
+    for bad in (("files", None), ("other", "x")):
+        with pytest.raises(ValueError):
+            open_store(spark, *bad)
