@@ -109,6 +109,11 @@ def search_tools(df: DataFrame, query: str | None = None, where: Column | None =
     return out.select("hits", F.col("total_hits").alias("total"), F.lit(number).alias("page"), F.lit(size).alias("hits_per_page"), "facets")
 
 
+def browse_facets(df: DataFrame, attributes: Sequence[str], where: Column | None = None, best: int = MAX_FACET_VALUES) -> DataFrame:
+    """Facets without hits, of what ``where`` shows (None: default visibility)."""
+    return facets(df.where(filters.build_filters(df) if where is None else where), attributes, best)
+
+
 def rest_search(df: DataFrame, params: dict[str, str], vocabulary) -> DataFrame:
     """The public answer to url parameters q, sort, limit, page and facet families: one row with total, page, results and facets."""
     number = lambda name: int(float(params[name])) if re.fullmatch(r"-?\d+(\.\d+)?", params.get(name, "")) else None

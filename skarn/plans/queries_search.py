@@ -85,6 +85,11 @@ def a1_facets_after_query(spark, d):
     return search.facets(t.where(filters.build_filters(t)).where(search.matches(t, "the bolt", TEXT)), list(FACETS))
 
 
+@query(facets_sql(VISIBLE))
+def r13_browse_facets(spark, d):
+    return search.browse_facets(tools(spark, d), list(FACETS))
+
+
 @query(TOOLS_SQL + "SELECT 'full_name' AS attribute, full_name AS value, count(*) AS docs FROM tools GROUP BY 2 ORDER BY 2 LIMIT 200")
 def a2_facet_cap(spark, d):
     return search.facets(tools(spark, d), ["full_name"])
