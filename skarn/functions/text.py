@@ -10,6 +10,10 @@ ULID_DIGITS, BASE32_DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ", "0123456789ABCD
 FNV_START, FNV_PRIME = 2166136261, 16777619
 
 
+#: Shown where there is no value.
+NOTHING = "\u2014"
+
+
 def slugify(text: Column, most: int = 100) -> Column:
     """Lower case, runs of other characters as one dash, none at the ends, ``most`` characters; null if nothing is left."""
     dashed = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")
@@ -92,10 +96,25 @@ def monogram(name: Column) -> Column:
     return F.struct(F.when(letter == "", F.lit("?")).otherwise(letter).alias("letter"), (fnv1a(name) % 360).alias("hue"))
 
 
-def relative_time(then: Column, now: Column) -> Column:
-    """``5m ago``, ``3h ago`` or ``12d ago``."""
-    minutes = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 60e6)
-    return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d ago")))
+def relative_time(ts: Column, now: Column) -> Column:
+    """``5m ago``, ``7h ago`` up to 48 hours, then days; a dash without a time. Times to come are ``0m ago``."""
+    minutes = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 60e6)
+    hours = F.floor(minutes / 60)
+    label = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    return F.when(minutes.isNull(), F.lit(NOTHING)).when(hours < 1, label(F.greatest(minutes, F.lit(0)), "m")).when(hours < 48, label(hours, "h")).otherwise(label(F.floor(hours / 24), "d"))
+
+
+def duration(millis: Column) -> Column:
+    """``42s``, ``7m`` or ``3h05m``; a dash for null."""
+    seconds = F.floor(millis / 1000 + 0.5)
+    minutes = F.floor(seconds / 60)
+    long = F.concat(F.floor(minutes / 60).cast("string"), F.lit("h"), F.lpad((minutes % 60).cast("string"), 2, "0"), F.lit("m"))
+    return F.when(millis.isNull(), F.lit(NOTHING)).when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"))).otherwise(long)
+
+
+def date_label(ts: Column) -> Column:
+    """``Jan 5, 2024``, in the session's time zone (UTC for labels that don't depend on the reader)."""
+    return F.date_format(ts, "MMM d, yyyy")
 
 
 def shell_quote(text: Column) -> Column:

@@ -324,9 +324,14 @@ def x18_document_id(spark, d):
     return t.select("id", "doc", text.full_name(F.col("doc")).alias("back"))
 
 
-@query("SELECT event_id, CASE WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS ago FROM (SELECT event_id, floor(epoch_us(TIMESTAMP '2024-01-31' - ts) / 60e6)::BIGINT AS m FROM events)")
+@query("""SELECT event_id, CASE WHEN m IS NULL THEN '—' WHEN m < 60 THEN greatest(m, 0) || 'm ago' WHEN m < 2880 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS ago,
+  CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' ELSE (s // 3600) || 'h' || right('0' || ((s // 60) % 60), 2) || 'm' END AS took, strftime(ts, '%b %-d, %Y') AS label
+FROM (SELECT *, CASE WHEN event_id % 9 > 0 THEN floor(epoch_us(TIMESTAMP '2024-01-29' - ts) / 60e6)::BIGINT END AS m, floor(event_id * 777 / 1000 + 0.5)::BIGINT AS s FROM events)""")
 def x11_relative_time(spark, d):
-    return table(spark, d, "events").select("event_id", text.relative_time(F.col("ts"), F.to_timestamp(F.lit("2024-01-31"))).alias("ago"))
+    """Ages (some to come, some unknown), durations and date labels."""
+    e = table(spark, d, "events")
+    ts = F.when(F.col("event_id") % 9 > 0, F.col("ts"))
+    return e.select("event_id", text.relative_time(ts, F.to_timestamp(F.lit("2024-01-29"))).alias("ago"), text.duration(F.col("event_id") * 777).alias("took"), text.date_label(F.col("ts")).alias("label"))
 
 
 @query("SELECT doc_id, text AS back, strlen(text) AS bytes FROM documents")
