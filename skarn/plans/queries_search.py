@@ -8,6 +8,7 @@ from skarn.functions import scoring
 from skarn.operators import filters, search
 from skarn.plans.tools import TOOLS_SQL, table, tools
 from skarn.queries import query
+from skarn.sources.shared import written
 
 TEXT = ("name", "full_name", "summary", "readme_excerpt")
 #: SQL of the match on a token and of the index of the first field that holds it, as search.matches and field_rank make them.
@@ -230,7 +231,7 @@ def r14_suggestions(spark, d):
     docs = table(spark, d, "documents")
     n = docs.count()
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word")).where(F.length("word").between(5, 12))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
+    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("docs")), "words")
     frequent = F.col("docs") >= max(3, n // 50)
     return search.corrections(counts.where(~frequent), counts.where(frequent).select("word"))
 
@@ -241,7 +242,7 @@ def r14_all_suggestions(spark, d):
     docs = table(spark, d, "documents")
     n = docs.count()
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
+    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("docs")), "words")
     frequent = F.col("docs") >= max(3, n // 50)
     return search.corrections(counts.where(~frequent), counts.where(frequent).select("word"))
 
