@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh, small
 from .graph import components
-from .textkernel import Words, chunks, mix64, texts, windows
+from .textkernel import Words, by_group, chunks, mix64, texts, windows
 
 SHINGLE = 5
 #: Similarity as a fraction, so that the check is exact.
@@ -157,25 +157,6 @@ def _set_columns(value, first):
     return {"node": pa.array(node_ids(value, first)), "n": pa.array(np.diff(first)), "tokens": _binary(value, first)}
 
 
-def _by_group(batches, keys: tuple[str, ...]):
-    """Batches of sorted rows, cut between groups of equal keys."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        if not table.num_rows:
-            continue
-        last = np.ones(table.num_rows, bool)
-        for k in keys:
-            c = table.column(k).to_numpy()
-            last &= c == c[-1]
-        cut = table.num_rows - int(last[::-1].argmin() if not last.all() else table.num_rows)
-        rest = table.slice(cut)
-        if cut:
-            yield table.slice(0, cut).combine_chunks()
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks()
-
-
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_binary())
@@ -207,7 +188,7 @@ def _join_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _brute_force(batches):
     """(u, v) forests of the nodes that look alike in the same blocks but lie in different components; rows come sorted by path, i, j."""
     keys = ("path", "i", "j")
-    for table in _by_group(batches, keys):
+    for table in by_group(batches, keys):
         node, component, sketch = table.column("node").to_numpy(), table.column("c").to_numpy(), _matrix(table.column("sketch"))
         change = np.zeros(len(node), bool)
         for k in keys:
@@ -350,7 +331,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 def _exact(batches):
     """Links of each node inside a pair of blocks, and a forest of the linked: (node, links, documents, to)."""
-    for table in _by_group(batches, ("component", "i", "j")):
+    for table in by_group(batches, ("component", "i", "j")):
         keys = np.stack([table.column(k).to_numpy() for k in ("component", "i", "j")], 1)
         cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         node, n, copies, block = (table.column(k).to_numpy() for k in ("node", "n", "copies", "block"))

@@ -1,7 +1,7 @@
 """The queries of this package and their DuckDB twins."""
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, media, mixing, quality, quality_rules, sharding, tokencounts, urlfilter
+from . import bpe, chat, jaccard, media, mixing, quality, quality_rules, sharding, simhash, spelling, tokencounts, urlfilter, wand
 
 
 def queries() -> dict:
@@ -16,6 +16,9 @@ def queries() -> dict:
         "op8_extendible_hashing": sharding.op8_extendible_hashing,
         "op9_sainte_lague": mixing.op9_sainte_lague,
         "op10_reply_trees": chat.op10_reply_trees,
+        "op11_pivot_tables": simhash.op11_pivot_tables,
+        "op12_block_max_wand": wand.op12_block_max_wand,
+        "op13_deletion_keys": spelling.op13_deletion_keys,
         "url_aliases_planted": urlfilter.planted_aliases,
         "shards_of_200_kb": sharding.small_shards,
     }
@@ -27,6 +30,7 @@ def oracle_sql() -> dict:
         "op8_extendible_hashing": sharding.oracle(),
         "op9_sainte_lague": mixing.ORACLE,
         "op10_reply_trees": chat.ORACLE,
+        "op12_block_max_wand": wand.ORACLE,
         "url_aliases_planted": urlfilter.oracle(urlfilter.PLANTED),
         "shards_of_200_kb": sharding.oracle(200_000),
     }

@@ -67,17 +67,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of sorted rows, cut between groups of equal keys."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        last = np.ones(table.num_rows, bool)
+        for k in keys:
+            c = table.column(k).to_numpy()
+            last &= c == c[-1]
+        cut = table.num_rows - int(last[::-1].argmin() if not last.all() else table.num_rows)
+        rest = table.slice(cut)
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
+
+
+#: Lower case for A to Z only.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def encoded(flat: np.ndarray, size: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values among byte strings that lie one after the other, and the number of each string's value: equal bytes, equal number."""
+    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)))
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
+
+
 class Words:
-    """The words (runs without ASCII white space) of a chunk of texts.
+    """The words of a chunk of texts: runs without ASCII white space, or of the bytes that ``inside`` marks.
 
     start, end: byte places; doc: the text of each word; first: index of each text's first word, and
     the number of all words at the end.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, marked: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
+        self.marked = ~SPACE[data] if marked is None else marked
         inside = np.zeros(len(data) + 1, bool)
-        inside[:-1] = ~SPACE[data]
+        inside[:-1] = self.marked
         begins = inside[:-1].copy()
         begins[1:] &= ~inside[:-2]
         cut = offsets[1:-1][offsets[1:-1] < len(data)]
@@ -92,6 +124,11 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
 
+    def numbered(self, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words, and the number of each word among them."""
+        flat = self.data[self.marked]
+        return encoded(LOWER[flat] if lower else flat, self.end - self.start)
+
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the words: a polynomial over mixed bytes, taken from prefix sums, then mixed."""
         width = self.end - self.start
