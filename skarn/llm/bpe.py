@@ -8,17 +8,24 @@ Words of over SHORT bytes take one statement for each step instead of a recursio
 are dropped: a step contracts all pairs that have the lowest rank of all that could still reach them. What
 can reach a pair is bounded by the text itself: a token that covers a byte is a match of the vocabulary
 there, so only pairs inside the matches over the pair's ends count. A pair that a contraction forms never
-ranks below it, so this gives the same ids as one pair at a time. Where no match crosses a place, the word
-is cut there first, which bounds the rows of a step (LONG_AT_ONCE).
+ranks below it, so this gives the same ids as one pair at a time.
 
-Words and their ids are kept between the batches of a Python worker, WORDS_KEPT at most; beyond that
+Longer stretches without a blank are contracted in windows of LONG_AT_ONCE bytes. A window's ids are kept up to OVERLAP
+bytes before its end, and the next window begins there. What makes this exact: a sequence of ids is the encoding of
+its bytes if (and only if) each two neighbours are the encoding of their own bytes, as the first contraction over a
+border between two ids would also happen in the two alone. So only the pair at the border is encoded by itself; if it
+comes out otherwise, the border goes back by one id. Windows with the same bytes (one sign over and over) are
+contracted once.
+
+Texts are split, encoded and decoded in pieces of a few MB, so memory grows with a text only by its own bytes and ids: the
+tables of DuckDB take 500 MB at most, and 64 MB of words or 16 MB of one sign need far less (see the tests).
+
+Words and their ids are kept between the batches of a Python worker, WORDS_KEPT at most, none of over KEPT_BYTES; beyond that
 the less used are forgotten, which bounds memory and changes no result. The vocabulary file is read from a path that every
 executor has (a parameter).
 
 Defined results: a null or empty text has no ids and decodes to nothing; a text of any length is encoded
-whole (a stretch without a cut, such as one letter over and over, is contracted in one piece, with about 200
-bytes of memory a byte); repeated rows are
-encoded alike; an empty table gives no rows; other columns of the input are not passed on.
+whole; repeated rows are encoded alike; an empty table gives no rows; other columns of the input are not passed on.
 """
 from __future__ import annotations
 
@@ -39,8 +46,12 @@ WORDS_KEPT = 500_000
 #: Bytes of a word that takes the query for short words; bytes of the words of one query, about.
 SHORT = 40
 WORDS_AT_ONCE = 100_000
-LONG_AT_ONCE = 1 << 17
-MATCHED_AT_ONCE = 1 << 20
+#: Bytes of a window of a longer word, and those at its end whose ids are made again with what follows.
+LONG_AT_ONCE, OVERLAP = 1 << 16, 1 << 10
+#: Windows whose ids are remembered; bytes of a word that is kept with its ids, at most.
+WINDOWS_KEPT, KEPT_BYTES = 8, 1 << 10
+#: Bytes that are split, bytes of words that are encoded, and ids that are decoded in one go; bytes around a split piece that its borders may depend on.
+SPLIT_AT_ONCE, ENCODED_AT_ONCE, DECODED_AT_ONCE, AROUND = 1 << 22, 1 << 21, 1 << 20, 64
 LETTER, NUMBER, BLANK = 1, 2, 3
 
 
@@ -73,13 +84,31 @@ def _classes() -> np.ndarray:
 def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte places where the pattern's matches begin (and the end of all), and the index of each text's first match.
 
+    Whether a match begins at a place depends on the few code points around it, so large chunks are split in pieces.
+    """
+    n, found = len(data), []
+    for a in range(0, n, SPLIT_AT_ONCE):
+        b = min(n, a + SPLIT_AT_ONCE)
+        low, high = max(0, a - AROUND), min(n, b + AROUND)
+        low += int(np.argmax((data[low : low + 4] & 0xC0) != 0x80))  # whole code points
+        if high < n:
+            high -= int(np.argmax((data[high - 3 : high + 1][::-1] & 0xC0) != 0x80))
+        place = low + _begins(data[low:high], offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high, side="right")] - low)
+        found.append(place[(place >= a) & (place < b)])
+    place = np.concatenate([*found, np.array([n])])
+    return place, np.searchsorted(place, offsets)
+
+
+def _begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places where matches begin, if ``offsets`` are where texts begin or end.
+
     The pattern: contractions after a text's or run's start; runs of letters, of numbers and of others,
     each with one space before it; white space, of which the last character stays apart if more follows.
     """
     point = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(point)
     if not n:
-        return np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64)
     width = 1 + (point >= 0x80).astype(np.int64) + (point >= 0x800) + (point >= 0x10000)
     width[(point >= 0xDC80) & (point <= 0xDCFF)] = 1  # a byte that is no UTF-8
     at = np.concatenate(([0], np.cumsum(width)))
@@ -98,6 +127,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     joined[1:] = edge[1:n] & ~doc[1:n] & ~blank[1:] & (point[:-1] == 0x20)
     begin &= ~joined
     quote = np.flatnonzero((point == 0x27) & edge[:n] & edge[1:] & ~doc[1:] & ~joined)
+    quote = quote[quote + 1 < n]
     if len(quote):
         one = point[quote + 1]
         two = np.where(quote + 2 < n, point[np.minimum(quote + 2, n - 1)], 0)
@@ -107,8 +137,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         begin[quote[short | long] + 1] = False
         after = np.concatenate((quote[short] + 2, quote[long] + 3))
         begin[after[after < n]] = True
-    place = at[:n][begin]
-    return np.append(place, at[n]), np.searchsorted(place, offsets)
+    return at[:n][begin]
 
 
 #: A token covers bytes pos..next-1 of its word; wp and nx hold the word's number above 16 bits of place.
@@ -194,6 +223,11 @@ class Codec:
         self.db.register("m", pa.table({"pair": pa.array([a * 65536 + b for a, b, _ in pairs], pa.int64()), "rank": pa.array([r for *_, r in pairs], pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
+        self.bytes = {r: t for t, r in token}
+        self.width = np.zeros(max(self.bytes) + 1, np.int64)
+        self.width[[*self.bytes]] = [len(t) for t in self.bytes.values()]
+        self.seen: dict[bytes, np.ndarray] = {}
+        self.apart: dict[tuple[int, int], bool] = {}
         self.forget()
 
     def forget(self, wanted: int = 0) -> None:
@@ -227,47 +261,81 @@ class Codec:
         return np.diff(got.offsets.to_numpy()), got.values.to_numpy()
 
     def _long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words over SHORT bytes, step by step."""
-        count, ids = [], []
+        """The same for words over SHORT bytes, step by step: some that fit into one window, or a single longer one."""
+        if len(words) == 1 and len(words[0]) > LONG_AT_ONCE:
+            ids = self._windows(words[0])
+            return np.array([len(ids)]), ids
         raw, word, _ = self._rows(words)
+        word, ids = self._contracted(raw, word)
+        return np.bincount(word, minlength=len(words)), ids
+
+    def _contracted(self, raw: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The word of each id and all ids, for bytes and their words."""
         ends = self._matched(raw, word)
-        # cuts: places that no match crosses, word ends among them
-        cut = np.append(np.flatnonzero(ends <= np.arange(1, len(raw) + 1)) + 1, len(raw))
-        start = 0
-        while start < len(raw):
-            stop = int(cut[max(np.searchsorted(cut, start, side="right"), np.searchsorted(cut, start + LONG_AT_ONCE, side="right") - 1)])
-            low = start + np.searchsorted(ends[start:stop], np.arange(start, stop), side="right")
-            rows = pa.table({"word": word[start:stop], "pos": np.arange(start, stop), "token": self.byte[raw[start:stop]].astype(np.int64), "lo": low, "hi": ends[start:stop].astype(np.int64)})
-            before = rows.num_rows + 1
-            while rows.num_rows < before:
-                before = rows.num_rows
-                self.db.register("long_tokens", rows)
-                rows = self.db.sql(STEP_LONG).to_arrow_table()
-            self.db.unregister("long_tokens")
-            count.append(np.bincount(rows["word"].to_numpy(), minlength=len(words)))
-            ids.append(rows["token"].to_numpy().astype(np.int32))
-            start = stop
-        return np.sum(count, 0), np.concatenate(ids)
+        place = np.arange(len(raw))
+        rows = pa.table({"word": word, "pos": place, "token": self.byte[raw].astype(np.int64), "lo": np.searchsorted(ends, place, side="right"), "hi": ends.astype(np.int64)})
+        before = rows.num_rows + 1
+        while rows.num_rows < before:
+            before = rows.num_rows
+            self.db.register("long_tokens", rows)
+            rows = self.db.sql(STEP_LONG).to_arrow_table()
+        self.db.unregister("long_tokens")
+        return rows["word"].to_numpy(), rows["token"].to_numpy().astype(np.int32)
+
+    def _window(self, some: bytes) -> np.ndarray:
+        """The ids of a window's bytes."""
+        if some not in self.seen:
+            if len(self.seen) >= WINDOWS_KEPT:
+                self.seen.pop(next(iter(self.seen)))
+            raw = np.frombuffer(some, np.uint8)
+            self.seen[some] = self._contracted(raw, np.zeros(len(raw), np.int32))[1]
+        return self.seen[some]
+
+    def _windows(self, word: bytes) -> np.ndarray:
+        """The ids of a word of any length, window by window."""
+        kept: list[np.ndarray] = []
+        at, size = 0, LONG_AT_ONCE + OVERLAP
+        while True:
+            ids = self._window(word[at : at + size])
+            if kept and not self._neighbours(int(kept[-1][-1]), int(ids[0])):
+                # the border goes back by one id; each window reaches further than all before, so this ends
+                back = len(self.bytes[int(kept[-1][-1])])
+                at, size = at - back, size + back + OVERLAP
+                kept[-1] = kept[-1][:-1]
+                if not len(kept[-1]):
+                    kept.pop()
+                continue
+            if at + size >= len(word):
+                return np.concatenate([*kept, ids])
+            ends = np.cumsum(self.width[ids])
+            some = max(1, int(np.searchsorted(ends, size - OVERLAP, side="right")))
+            kept.append(ids[:some])
+            at, size = at + int(ends[some - 1]), max(LONG_AT_ONCE + OVERLAP, size if some == 1 else 0)
+
+    def _neighbours(self, a: int, b: int) -> bool:
+        """Whether the bytes of two ids are encoded as these two."""
+        if (a, b) not in self.apart:
+            if len(self.apart) > WORDS_AT_ONCE:
+                self.apart.clear()
+            self.apart[a, b] = self._short([self.bytes[a] + self.bytes[b]])[1].tolist() == [a, b]
+        return self.apart[a, b]
 
     def _matched(self, raw: np.ndarray, word: np.ndarray) -> np.ndarray:
         """For each byte, the end of the furthest match of the vocabulary that begins at it or before, in its word or an earlier one."""
         key, to, is_token = _tree(self.path)
         n = len(raw)
         longest = np.ones(n, np.int32)
-        for a in range(0, n, MATCHED_AT_ONCE):
-            at = np.arange(a, min(n, a + MATCHED_AT_ONCE))
-            state = np.zeros(len(at), np.int64)
-            length = 0
-            while len(at):
-                k = state * 256 + raw[at + length]
-                i = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                ok = key[i] == k
-                at, state = at[ok], to[i[ok]]
-                length += 1
-                longest[at[is_token[state]]] = length
-                more = at + length < n
-                more[more] = word[at[more] + length] == word[at[more]]
-                at, state = at[more], state[more]
+        at, state, length = np.arange(n), np.zeros(n, np.int64), 0
+        while len(at):
+            k = state * 256 + raw[at + length]
+            i = np.minimum(np.searchsorted(key, k), len(key) - 1)
+            ok = key[i] == k
+            at, state = at[ok], to[i[ok]]
+            length += 1
+            longest[at[is_token[state]]] = length
+            more = at + length < n
+            more[more] = word[at[more] + length] == word[at[more]]
+            at, state = at[more], state[more]
         return np.maximum.accumulate(np.arange(n, dtype=np.int32) + longest)
 
     def _add(self, words: list[bytes], count: np.ndarray, ids: np.ndarray) -> None:
@@ -278,7 +346,7 @@ class Codec:
         self.uses = np.concatenate((self.uses, np.zeros(len(words), np.int32)))
 
     def learn(self, words: list[bytes]) -> None:
-        """Encodes words that are not known yet."""
+        """Encodes words that are not known yet, and keeps them."""
         new = [w for w in words if w not in self.known]
         whole = [w for w in new if w in self.rank]
         if whole:
@@ -291,8 +359,31 @@ class Codec:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin."""
         place, first = split(data, offsets)
-        if len(place) == 1:
+        ids, count = [], []
+        start, last = 0, len(place) - 1
+        long = np.append(np.flatnonzero(np.diff(place) > KEPT_BYTES), last)
+        while start < last:
+            ahead = int(long[np.searchsorted(long, start)])
+            if ahead == start:  # a long word comes by itself and isn't kept
+                stop = start + 1
+                some, n = self._alone(bytes(data[place[start] : place[stop]]))
+            else:
+                stop = min(ahead, max(start + 1, int(np.searchsorted(place, place[start] + ENCODED_AT_ONCE, side="right")) - 1))
+                some, n = self._known_words(data[place[start] : place[stop]], place[start : stop + 1] - place[start])
+            ids.append(some)
+            count.append(n)
+            start = stop
+        if not ids:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(count))))[first]
+
+    def _alone(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one word of any length."""
+        n, ids = (np.ones(1, np.int64), np.array([self.rank[word]], np.int32)) if word in self.rank else self._long([word])
+        return ids, n
+
+    def _known_words(self, data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the number of ids of each word, for words of up to KEPT_BYTES."""
         words = pa.BinaryArray.from_buffers(pa.binary(), len(place) - 1, [None, pa.py_buffer(place.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.known) + len(distinct) > WORDS_KEPT:
@@ -303,26 +394,25 @@ class Codec:
         begin = self.first[known]
         count = self.first[known + 1] - begin
         ends = np.cumsum(count)
-        ids = self.ids[np.arange(int(ends[-1])) + np.repeat(begin - (ends - count), count)]
-        return ids, np.concatenate(([0], ends))[first]
+        return self.ids[np.arange(int(ends[-1])) + np.repeat(begin - (ends - count), count)], count
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
-        """The bytes of each text's ids; first: where each text's ids begin, and the end."""
-        count = np.diff(first)
-        out = [b""] * len(count)
-        if not len(ids):
-            return out
-        doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        self.db.register("doc_tokens", pa.table({"doc": doc, "pos": np.arange(len(ids), dtype=np.int32), "token": ids}))
-        got = self.db.sql(DECODE).to_arrow_table().combine_chunks()
-        docs, parts = got["doc"].to_numpy(), got["parts"].combine_chunks()
-        flat = parts.values.cast(pa.large_binary())
-        at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-        raw = memoryview(flat.buffers()[2])
-        ends = at[parts.offsets.to_numpy()]
-        for d, a, b in zip(docs, ends[:-1], ends[1:], strict=True):
-            out[d] = raw[a:b]
-        return out
+        """The bytes of each text's ids; first: where each text's ids begin, and the end. A long text is decoded run by run."""
+        parts: list[list[bytes]] = [[] for _ in first[1:]]
+        for a in range(0, len(ids), DECODED_AT_ONCE):
+            b = min(len(ids), a + DECODED_AT_ONCE)
+            at = np.arange(a, b)
+            self.db.register("doc_tokens", pa.table({"doc": (np.searchsorted(first, at, side="right") - 1).astype(np.int32), "pos": at, "token": ids[a:b]}))
+            got = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+            docs, found = got["doc"].to_numpy(), got["parts"].combine_chunks()
+            flat = found.values.cast(pa.large_binary())
+            byte = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+            raw = memoryview(flat.buffers()[2])
+            ends = byte[found.offsets.to_numpy()]
+            for d, x, y in zip(docs, ends[:-1], ends[1:], strict=True):
+                parts[d].append(bytes(raw[x:y]))
+        self.db.unregister("doc_tokens")
+        return [p[0] if len(p) == 1 else b"".join(p) for p in parts]
 
 
 @cache

@@ -72,14 +72,54 @@ def test_words_beyond_the_short_ones(parts):
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [encoding.encode_ordinary(t) for t in found]
 
 
-@pytest.mark.parametrize("most", [1, 7, 50])
-def test_cuts_of_long_words_change_nothing(reference, monkeypatch, most):
+@pytest.mark.parametrize(("most", "overlap"), [(7, 3), (50, 1), (50, 20), (200, 60)])
+def test_windows_of_long_words_change_nothing(reference, monkeypatch, most, overlap):
     monkeypatch.setattr(bpe, "LONG_AT_ONCE", most)
+    monkeypatch.setattr(bpe, "OVERLAP", overlap)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 60)
     found = [LONG[k](random.Random(most), 500) for k in LONG] + ["x" * 41, "qz" * 30]
     ids, first = bpe.Codec(bpe.vocabulary_path()).encode(*texts(pa.array(found)))
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [reference.encode_ordinary(t) for t in found]
 
 
+@given(st.lists(st.text(st.sampled_from("  \n\t'stmdrevlaB1,.!é漢　 ²'"), max_size=60), max_size=8), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_pieces_split_and_decode_as_the_whole(found, piece):
+    data, offsets = texts(pa.array(found, pa.string()))
+    c = bpe.codec(bpe.vocabulary_path())
+    whole, ids = bpe.split(data, offsets), c.encode(data, offsets)
+    with pytest.MonkeyPatch.context() as m:
+        for name in ("SPLIT_AT_ONCE", "ENCODED_AT_ONCE", "DECODED_AT_ONCE"):
+            m.setattr(bpe, name, piece)
+        for a, b in zip(bpe.split(data, offsets) + c.encode(data, offsets), whole + ids, strict=True):
+            assert a.tolist() == b.tolist()
+        assert [bytes(x).decode() for x in c.decode(*ids)] == found
+
+
+#: Texts that no table could hold at once: kind, bytes.
+HUGE = {"words": 64 << 20, "one letter": 16 << 20, "blanks": 16 << 20, "two signs": 16 << 20, "letters": 3 << 20}
+
+
+@pytest.mark.parametrize("kind", HUGE)
+def test_huge_texts_within_the_memory_of_the_tables(reference, kind):
+    r = random.Random(9)
+    if kind == "words":
+        some = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(3000)]
+        text = " ".join(r.choices(some, k=HUGE[kind] // 6))
+    else:
+        text = " " * HUGE[kind] if kind == "blanks" else LONG[kind](r, HUGE[kind])
+    c = bpe.Codec(bpe.vocabulary_path())
+    ids, first = c.encode(*texts(pa.array([text])))
+    # the library is quadratic in stretches without a cut, so only words are held against it whole
+    if kind == "words":
+        assert hashlib.sha256(ids.astype("<i4").tobytes()).digest() == hashlib.sha256(struct.pack(f"<{len(ids)}i", *reference.encode_ordinary(text))).digest()
+    else:
+        n = 200_000
+        want = reference.encode_ordinary(text[:n])
+        assert ids[: len(want) - 50].tolist() == want[:-50]
+    assert c.decode(ids, first)[0] == text.encode()
+
+
 def test_forgetting_words_changes_nothing(reference, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_KEPT", 10)
     c = bpe.Codec(bpe.vocabulary_path())
