@@ -5,22 +5,27 @@ one row for each length that occurs. For a limit L equal to a length: how many d
 that long, how many tokens they have, and how many tokens remain in all if every document is cut at L;
 ``share_below`` gives quantiles. Any other limit is answered from the next length above (see ``cut_at``).
 
-Suffix sums run by ranges of lengths and inside a range, so no task sees all lengths.
+Suffix sums run over ranges of lengths and inside a range, so no task sees all lengths.
 
 Defined results: a null or empty text has length 0; an empty table gives no rows; repeated rows count
 as often as they occur; other columns are not read.
 """
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, vocabulary_path
-from .common import checkpointed, prefix_sums
+from .common import checkpointed
 from .textkernel import chunks, texts
 
+#: Lengths of a range.
+RANGE = 4096
+
 
 def lengths(docs: DataFrame, keys: tuple[str, ...] = (), text: str = "text", path: str | None = None) -> DataFrame:
     """The key columns and n_tokens of each document."""
@@ -41,10 +46,17 @@ def lengths(docs: DataFrame, keys: tuple[str, ...] = (), text: str = "text", pat
 def histogram(lengths_: DataFrame) -> DataFrame:
     """(n_tokens, docs, docs_at_least, tokens_at_least, tokens_if_cut, share_below) by length, from (n_tokens)."""
     h = lengths_.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
-    h = prefix_sums(h, [F.desc("n_tokens")], docs_above=F.col("docs"), tokens_above=F.col("docs") * F.col("n_tokens"))
-    h = checkpointed(h)
+    h = checkpointed(h.withColumn("range", F.floor(F.col("n_tokens") / RANGE)))
     all_docs, all_tokens = h.agg(F.sum("docs"), F.sum(F.col("docs") * F.col("n_tokens"))).first()
-    docs_at, tokens_at = F.col("docs") + F.col("docs_above"), F.col("docs") * F.col("n_tokens") + F.col("tokens_above")
+    sums = (F.sum("docs").alias("docs_"), F.sum(F.col("docs") * F.col("n_tokens")).alias("tokens_"))
+    # one row for each range: as many as the longest text has ranges
+    totals = h.groupBy("range").agg(*sums)
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    totals = totals.select("range", *[F.coalesce(F.sum(c).over(above), zero).alias(c) for c in ("docs_", "tokens_")])
+    upto = Window.partitionBy("range").orderBy(F.desc("n_tokens"))
+    h = h.withColumns({"docs_in": F.sum("docs").over(upto), "tokens_in": F.sum(F.col("docs") * F.col("n_tokens")).over(upto)}).join(totals, "range")
+    docs_at, tokens_at = F.col("docs_in") + F.col("docs_"), F.col("tokens_in") + F.col("tokens_")
     return h.select(
         "n_tokens", "docs", docs_at.alias("docs_at_least"), tokens_at.alias("tokens_at_least"),
         (F.lit(all_tokens) - tokens_at + docs_at * F.col("n_tokens")).cast("long").alias("tokens_if_cut"),
@@ -59,11 +71,17 @@ def cut_at(hist: DataFrame, limit: int) -> DataFrame:
     return hist.agg(F.coalesce(F.sum(F.when(over, F.col("docs"))), F.lit(0)).alias("docs_over"), F.coalesce(F.sum(F.col("docs") * F.col("n_tokens")), F.lit(0)).alias("tokens"), F.coalesce(left, F.lit(0)).alias("tokens_left"))
 
 
-def quantile(hist: DataFrame, q: float) -> DataFrame:
-    """One row (n_tokens): the smallest length that at least a share q of the documents don't exceed."""
-    all_docs = hist.agg(F.max("docs_at_least")).first()[0]
-    upto = 1 - (F.col("docs_at_least") - F.col("docs")) / F.lit(all_docs)
-    return hist.withColumn("upto", upto).where(F.col("upto") >= q).agg(F.min("n_tokens").alias("n_tokens"))
+def quantile(hist: DataFrame, q: float | str | Fraction) -> DataFrame:
+    """One row (n_tokens): the smallest length that at least a share q of the documents don't exceed.
+
+    q counts as the fraction that it is written as (0.1 is one tenth), and whole numbers are compared.
+    """
+    q = Fraction(str(q))
+    wide = lambda c: c.cast("decimal(38,0)")
+    all_docs = hist.agg(F.max("docs_at_least").alias("all_docs"))
+    upto = F.col("all_docs") - (F.col("docs_at_least") - F.col("docs"))
+    enough = wide(upto) * F.lit(q.denominator) >= wide(F.col("all_docs")) * F.lit(q.numerator)
+    return hist.join(F.broadcast(all_docs)).where(enough).agg(F.min("n_tokens").alias("n_tokens"))  # one row beside each
 
 
 def op1_length_histogram(spark, sf_dir):

@@ -18,6 +18,12 @@ def test_histogram_answers_every_limit(spark):
     assert tokencounts.quantile(hist, 0.5).first()[0] == sorted(n)[(len(n) + 1) // 2 - 1]
 
 
+def test_quantiles_are_exact(spark):
+    hist = tokencounts.histogram(spark.createDataFrame([(x,) for x in range(1, 11)], "n_tokens long"))
+    assert [tokencounts.quantile(hist, q / 10).first()[0] for q in range(1, 11)] == list(range(1, 11))
+    assert [tokencounts.quantile(hist, q).first()[0] for q in ("0.1", "0.11", "1/3")] == [1, 2, 4]
+
+
 def test_lengths_of_odd_texts(spark):
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a b", 0), (3, "a b", 0), (4, "x" * 50000, 0)], "doc_id long, text string, n_tokens int")
     got = sorted((r.doc_id, r.n_tokens) for r in tokencounts.lengths(docs, ("doc_id",)).collect())
