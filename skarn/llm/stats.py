@@ -1,8 +1,8 @@
 """Document statistics of whole texts, worked out for a chunk of texts at once.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``; lines are split at line feeds. Nulls and empty texts have zeros
-everywhere. Texts of any length are counted whole. Equality of words, windows and lines is equality of
-64-bit hashes.
+everywhere. Texts of any length are counted whole. Words and lines are equal if their bytes are: they are
+numbered by a dictionary, and windows by pairs of such numbers.
 """
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkernel import SPACE, Words, _mixing_table, chunks, mix64, powers, texts, windows
+from .textkernel import SPACE, Words, chunks, encoded, texts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The inputs of models: shares and means, so that the length of a text alone says little.
@@ -39,13 +39,10 @@ def _per_text(flag: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def _groups(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that brings equal (doc, key) together, keeping places, and where in that order a group begins."""
-    own = mix64(key + mix64(doc.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(own, kind="stable")
-    new = np.ones(len(own), bool)
-    new[1:] = own[order][1:] != own[order][:-1]
-    return order, new
+def _pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each pair of numbers, equal for equal pairs only and in the order of the left ones; and how often each occurs."""
+    _, number, count = np.unique(left.astype(np.int64) * (int(right.max(initial=0)) + 1) + right, return_inverse=True, return_counts=True)
+    return number, count
 
 
 def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -66,44 +63,47 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     worded = sums[end] > sums[start]
     start, end = start[worded], end[worded]
     doc = np.searchsorted(offsets, start, side="right") - 1
-    # a polynomial hash of each line's bytes
-    n = len(data)
-    power = powers(n)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_mixing_table()[data] * power[:n], out=prefix[1:])
-    key = mix64((prefix[end] - prefix[start]) * power[n - start] + (end - start).astype(np.uint64))
-    order, new = _groups(key, doc)
-    return np.bincount(doc, minlength=n_docs), np.bincount(doc[order][~new], minlength=n_docs)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    _, number = encoded(data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)], end - start)
+    all_, distinct = np.bincount(doc, minlength=n_docs), np.zeros(n_docs, np.int64)
+    if len(doc):
+        number, count = _pairs(doc, number)
+        own = np.zeros(len(count), np.int64)
+        own[number] = doc
+        distinct = np.bincount(own, minlength=n_docs)
+    return all_, all_ - distinct
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """COUNTS and FEATURES of each text."""
     words = Words(data, offsets)
     n, n_docs = words.count, len(offsets) - 1
-    hashes = words.hashes()
+    _, word = words.numbered()
     lead = (data & 0xC0) != 0x80
     points = np.concatenate(([0], np.cumsum(lead)))
     size = points[words.end] - points[words.start]
     word_chars = np.bincount(words.doc, size, minlength=n_docs).astype(np.int64)
     lines, dup_lines = _lines(data, offsets)
-    # words in three-word windows that occur twice
-    window, place = windows(hashes, words.first, 3)
-    order, new = _groups(window, words.doc[place])
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= ~new[1:]
-    twice[:-1] |= ~new[1:]
-    hit = np.zeros(len(hashes), bool)
-    for k in range(3):
-        hit[place[order[twice]] + k] = True
-    repeated = np.bincount(words.doc[hit], minlength=n_docs)
-    order, new = _groups(hashes, words.doc)
-    distinct = np.bincount(words.doc[order][new], minlength=n_docs)
+    own, often = _pairs(words.doc, word)
+    doc_of = np.zeros(len(often), np.int64)
+    doc_of[own] = words.doc
+    distinct = np.bincount(doc_of, minlength=n_docs)
     top = np.zeros(n_docs, np.int64)
-    if len(order):
-        start = np.flatnonzero(new)
-        np.maximum.at(top, words.doc[order][start], np.diff(np.append(start, len(order))))
-    same = np.zeros(len(hashes), bool)
-    same[1:] = (hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])
+    np.maximum.at(top, doc_of, often)
+    # words in three-word windows that occur twice in their text
+    many = np.maximum(n - 2, 0)
+    place = np.arange(int(many.sum())) + np.repeat(words.first[:-1] - (np.cumsum(many) - many), many)
+    hit = np.zeros(len(word), bool)
+    if len(place):
+        window, times = _pairs(_pairs(own[place], word[place + 1])[0], word[place + 2])
+        twice = place[times[window] > 1]
+        for k in range(3):
+            hit[twice + k] = True
+    repeated = np.bincount(words.doc[hit], minlength=n_docs)
+    same = np.zeros(len(word), bool)
+    same[1:] = (word[1:] == word[:-1]) & (words.doc[1:] == words.doc[:-1])
     symbols = _per_text(SYMBOL[data], offsets)
     letters = _per_text(LETTER[data], offsets)
     bang = (data == ord("!")).copy()

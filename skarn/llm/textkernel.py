@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,28 +35,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@cache
-def _mixing_table() -> np.ndarray:
-    """A fixed random 64-bit value for each byte."""
-    return np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, np.uint64) | np.uint64(1)
-
-
-@cache
-def _usual_powers() -> np.ndarray:
-    return _made_powers(2 * CHUNK_BYTES)
-
-
-def _made_powers(n: int) -> np.ndarray:
-    base = np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64)
-    base[0] = 1
-    return np.cumprod(base, out=base)
-
-
-def powers(n: int) -> np.ndarray:
-    """Powers of the base up to n, or more; those that usual chunks need are kept, longer ones only while they are used."""
-    return _usual_powers() if n <= 2 * CHUNK_BYTES else _made_powers(n)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads their bits."""
     x = x ^ (x >> np.uint64(30))
@@ -130,23 +107,11 @@ class Words:
         return encoded(LOWER[flat] if lower else flat, self.end - self.start)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hashes of the words: a polynomial over mixed bytes, taken from prefix sums, then mixed."""
-        width = self.end - self.start
-        if not len(width):
-            return np.zeros(0, np.uint64)
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        power = powers(n)
-        np.cumsum(_mixing_table()[self.data] * power[:n], out=sums[1:])
-        # every word is shifted to the same power of the base, so equal words give equal values
-        value = (sums[self.end] - sums[self.start]) * power[n - self.start]
-        return mix64(self._normal(value, n) + width.astype(np.uint64))
-
-    @staticmethod
-    def _normal(value: np.ndarray, n: int) -> np.ndarray:
-        """Takes the common factor base ** n out, so that hashes don't depend on the chunk."""
-        inverse = pow(pow(0x9E3779B97F4A7C15, int(n), 1 << 64), -1, 1 << 64)
-        return value * np.uint64(inverse)
+        """64-bit hashes of the words: XXH64 of each distinct one."""
+        from xxhash import xxh64_intdigest
+
+        words, number = self.numbered()
+        return np.fromiter((xxh64_intdigest(w, 20240229) for w in words.to_pylist()), np.uint64, len(words))[number]
 
 
 def windows(values: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm import quality, quality_rules
 from skarn.llm.stats import COUNTS, FEATURES, statistics
-from skarn.llm.textkernel import texts
+from skarn.llm.textkernel import Words, texts
 from skarn.llm.trees import boost, lasso_logistic, sigmoid
 
 
@@ -153,3 +153,16 @@ def test_queries_match_brute_force(spark, sf):
             z += forest.value[node]
         failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
         assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.base_failed == failed and r.kept == (not failed and r.score >= 0.3)
+
+
+def test_texts_that_collide_in_polynomial_hashes_stay_apart():
+    """Thue-Morse strings and their complements have equal polynomial hashes modulo 2 ** 64 for every base."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    data, offsets = texts(pa.array([f"{a}\n{b}", f"{a}\n{a}", f"{a} x y {b} x y"]))
+    found = statistics(data, offsets)
+    assert found["n_dup_lines"].tolist() == [0, 1, 0]
+    assert found["n_repeat_words"].tolist() == [0, 0, 0]
+    assert found["distinct_share"].tolist() == [1.0, 0.5, 4 / 6]
+    assert len(set(Words(data, offsets).hashes().tolist())) == 4
