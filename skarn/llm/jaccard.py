@@ -3,17 +3,23 @@
 Chosen-path join. Texts with equal sets are one node (their copies are never expanded into pairs). In each
 of several runs a set of n shingles is sent down the path of each shingle whose random value is below
 1 / (0.8 n): a pair at the threshold shares about one. A path's bucket with few nodes is compared by brute
-force on sketches. The nodes of larger buckets are split again, on paths of 4, then 8 sampled
-shingles (the smallest of so many bins of their sketches); a pair of similarity s shares such a path of d
-shingles with s ** d, so texts that share only a common passage part soon. Each depth repeats its runs until
-a pair at the threshold is missed with 1 - RECALL.
-
-What meets in a bucket and looks alike is kept as a forest, not as pairs, and only the connected components
-of all these forests matter. So a bucket of long paths that is still large is first dealt into random
-blocks, each compared in itself: that connects near copies, over the buckets of all runs. If the bucket
-then lies in one component, nothing in it is left to find. Otherwise its nodes go to the next depth, or
-(up to MEDIUM_BUCKET nodes, and after the last depth) the nodes outside of its main component are compared
-with all, block by block. A bucket's size alone links nothing.
+force on sketches. What looks alike is kept as a forest, not as pairs, and only the connected components of
+all these forests matter.
+
+A large bucket is first dealt into random blocks, each compared in itself: that connects near copies. If the bucket
+then lies in one component, nothing in it is left to find. Otherwise it is split on what its nodes don't all have: the
+shingles that most of a block of it has are its common part, and of the rest of its set each node takes
+some shingles as longer paths. A linked pair of sizes n and m shares 4/9 (n + m) shingles, so of its rests at least
+0.8 n less what is common in n; the smaller that is, the more of its rest a node takes (all of it, if it may be one
+shingle), until a pair is missed with 1 - RECALL. Nodes of texts of one template share no more than the template, so their rests part
+them at once, however many they are. The new buckets are treated in the same way until all are small. Buckets
+with the same common part are one, so that a template's many shingles split its nodes once. A bucket of medium
+size, or with few nodes outside of its main component, isn't split: those nodes are compared with all, block by block. So is what is
+left if a split doesn't halve the rows in large buckets, so rows shrink with each split.
+
+Only pairs that are linked by common shingles alone could share nothing of their rests: one of the two then has nine tenths
+(8/9) of its set in common with the bucket, the other 0.8. These nodes, where they lie outside of the bucket's main
+component, are compared in blocks with those that can link to them. A bucket's size alone links nothing.
 
 An exact check inside the components follows, on the whole sets, in pairs of blocks of bounded size: it
 counts each node's links and returns the forest of true links. So rows grow with nodes and blocks, not
@@ -49,15 +55,12 @@ LEVEL = NUMERATOR / DENOMINATOR
 RECALL = 0.9999
 RUNS = math.ceil(-math.log(1 - RECALL))
 BINS = 128
-#: Shingles of a path: of the first paths, and of those that the nodes of large buckets take then.
-DEPTHS = (1, 4, 8)
-#: Runs of the longer paths, as a multiple of those that RECALL needs, as the sketches of a pair at the threshold
-#: may have fewer equal bins.
-SPARE = 2
 #: Nodes of a bucket that is compared by brute force, at most, and of a block of larger buckets, about.
 SMALL_BUCKET = 128
-#: Nodes of a bucket of long paths whose blocks are compared with one another, at most, before the last depth.
-MEDIUM_BUCKET = 2048
+#: Blocks of a large bucket, or of its nodes outside of its main component, up to which these are compared with all.
+MEDIUM_BLOCKS, FEW_BLOCKS = 8, 2
+#: Shingles of common parts that are broadcast, at most.
+BROADCAST_SHINGLES = 1_000_000
 #: Nodes of a block of the exact check, about.
 BLOCK = 384
 #: Pairs of sketches compared in one call.
@@ -157,6 +160,10 @@ def _set_columns(value, first):
     return {"node": pa.array(node_ids(value, first)), "n": pa.array(np.diff(first)), "tokens": _binary(value, first)}
 
 
+def _token_columns(value, first):
+    return {"node": pa.array(node_ids(value, first)), "tokens": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))}
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_binary())
@@ -214,55 +221,6 @@ def _brute_force(batches):
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["u", "v"])
 
 
-def filled(sketch: np.ndarray) -> np.ndarray:
-    """Sketches whose empty bins take another bin's value: of a sequence of bins, the same for all sets, the first that isn't empty.
-
-    Two sets agree in any bin with about their similarity, however few their bins are. Sketches have one value at least.
-    """
-    out = mix64(sketch.astype(np.uint64))
-    row, bin_ = np.nonzero(sketch == 0)
-    attempt = 0
-    while len(row):
-        attempt += 1
-        from_ = (mix64(bin_.astype(np.uint64) + np.uint64(attempt << 32)) % np.uint64(BINS)).astype(np.int64)
-        value = sketch[row, from_]
-        hit = value != 0
-        out[row[hit], bin_[hit]] = mix64(value[hit].astype(np.uint64) + np.uint64(attempt << 16))
-        row, bin_ = row[~hit], bin_[~hit]
-    return out
-
-
-def runs_of(depth: int) -> int:
-    """Runs of paths of ``depth`` shingles: a pair at the threshold shares one of them with LEVEL ** depth."""
-    return math.ceil(SPARE * math.log(1 - RECALL) / math.log(1 - LEVEL**depth))
-
-
-def long_paths(sketch: np.ndarray, depth: int) -> np.ndarray:
-    """A path of each run for each sketch: the values of ``depth`` bins that the run samples."""
-    full = filled(sketch)
-    rng = np.random.Generator(np.random.PCG64([depth, 90217]))
-    out = np.empty((len(full), runs_of(depth)), np.uint64)
-    for run in range(out.shape[1]):
-        path = np.full(len(full), run * 64 + depth, np.uint64)
-        for b in rng.choice(BINS, depth, False):
-            path = mix64(path * np.uint64(0xD6E8FEB86659FD93) + full[:, b])
-        out[:, run] = path
-    return out.view(np.int64)
-
-
-def _split_further(depth: int):
-    """(path, node) of each node's paths of that depth."""
-    def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                path = long_paths(_matrix(part.column("sketch")), depth)
-                node = np.repeat(part.column("node").to_numpy(), path.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(path.ravel()), pa.array(node)], ["path", "node"])
-
-    return run
-
-
 def _buckets(rows: DataFrame) -> DataFrame:
     """Adds bucket, the number of nodes on the same path, and leaves out nodes that are alone.
 
@@ -280,52 +238,92 @@ def _compared(rows: DataFrame, sketch: DataFrame) -> DataFrame:
     return checkpointed(met.mapInArrow(_brute_force, "u long, v long").distinct())
 
 
-def _mixed(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """The rows of buckets that don't lie in one component of the forests found so far.
-
-    Adds c, the node's component; main, the component with most of the bucket's nodes; and others, the
-    number of nodes outside of that.
-    """
-    member = components(reduce(DataFrame.unionByName, found))
-    rows = checkpointed(rows.join(member, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (path, node, c, ...) of buckets whose nodes lie in several components; adds main, the component with most of the bucket's nodes, and others, the number of nodes outside of it."""
     size = rows.groupBy("path", "c").agg(F.count(F.lit(1)).alias("size"))
     most = size.groupBy("path").agg(F.max_by("c", F.struct("size", "c")).alias("main"), (F.sum("size") - F.max("size")).alias("others"))
     return checkpointed(rows.join(checkpointed(most.where("others > 0")), "path"))
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """(path, i, j, node, c): the nodes outside of a bucket's main component, in blocks i, meet all its nodes, in blocks j."""
-    outer = F.ceil(F.col("others") / SMALL_BUCKET)
-    blocks = F.ceil(F.col("bucket") / SMALL_BUCKET)
-    zero = F.lit(0).cast("long")
-    every = rows.select("path", F.explode(F.sequence(zero, outer - 1)).alias("i"), F.col("block").alias("j"), "node", "c")
-    some = rows.where("c <> main").withColumn("i", F.pmod(F.xxhash64("node", "path"), outer))
-    return every.unionByName(some.select("path", "i", F.explode(F.sequence(zero, blocks - 1)).alias("j"), "node", "c"))
+def _across(every: DataFrame, some: DataFrame) -> DataFrame:
+    """(path, i, j, node, c): of each path, ``some`` nodes in blocks i meet ``every`` one in blocks j."""
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / SMALL_BUCKET).alias(name))
+
+    size = checkpointed(blocks(some, "ni").join(blocks(every, "nj"), "path"))
+    zero, own = F.lit(0).cast("long"), F.xxhash64("node", "path")
+    left = some.join(size, "path").select("path", F.pmod(own, F.col("ni")).alias("i"), F.explode(F.sequence(zero, F.col("nj") - 1)).alias("j"), "node", "c")
+    right = every.join(size, "path").select("path", F.explode(F.sequence(zero, F.col("ni") - 1)).alias("i"), F.pmod(own, F.col("nj")).alias("j"), "node", "c")
+    return left.unionByName(right)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(u, v): a forest over nodes that may be linked, from (node, sketch, paths)."""
+def _rests(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(path, node, c, n, common, rest) of mixed large buckets: a node's shingles beyond the common part, and how many are common.
+
+    The common part is what most nodes of the bucket's block 0 have; path becomes a hash of it, so
+    buckets with the same common part are one. Any common part gives right results; this one gives small rests.
+    """
+    some = rows.where("block = 0").select("path", "node")
+    size = some.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
+    often = some.join(sets, "node").select("path", F.explode("tokens").alias("token")).groupBy("path", "token").agg(F.count(F.lit(1)).alias("k")).join(size, "path").where("2 * k > size")
+    common = often.groupBy("path").agg(F.sort_array(F.collect_list("token")).alias("shared"))
+    common = checkpointed(rows.select("path").distinct().join(common, "path", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>"))))
+    total = common.agg(F.coalesce(F.sum(F.size("shared")), F.lit(0)) + F.count(F.lit(1))).first()[0]
+    named = rows.join(F.broadcast(common) if total <= BROADCAST_SHINGLES else common, "path")
+    named = named.select(F.xxhash64("shared").alias("path"), "node", "c", "shared").dropDuplicates(["path", "node"])
+    rest = F.array_except("tokens", "shared")
+    out = named.join(sets, "node").select("path", "node", "c", F.size("tokens").alias("n"), rest.alias("rest"))
+    return checkpointed(out.withColumn("common", F.col("n") - F.size("rest")))
+
+
+def _longer(rests: DataFrame) -> DataFrame:
+    """(path, node, c): the nodes on longer paths, each with one shingle of its rest more."""
+    least = F.greatest(F.lit(1.0), F.ceil(F.col("n") * F.lit(NUMERATOR) / DENOMINATOR - F.col("common")).cast("double"))
+    # a shingle is taken with the same random value by all nodes; the pair's smaller share counts, and with it its larger ``least``
+    share = F.when(least > 1, 1 - F.pow(F.lit(1 - RECALL), 1 / least)).otherwise(1.0)
+    chosen = F.filter("rest", lambda t: F.pmod(F.xxhash64(t, F.col("path"), F.lit(7)), F.lit(1 << 30)) < F.col("limit"))
+    rows = rests.withColumn("limit", F.ceil(share * (1 << 30)).cast("long"))
+    return rows.select("path", "node", "c", F.explode(chosen).alias("t")).select(F.xxhash64("path", "t", F.lit(9)).alias("path"), "node", "c").distinct()
+
+
+def candidates(nodes: DataFrame, sets) -> DataFrame:
+    """(u, v): a forest over nodes that may be linked, from (node, sketch, paths).
+
+    sets: a function from some of the nodes (node) to (node, tokens), their shingles; called for nodes of large buckets only.
+    """
     # sketches are long, so rows on paths are kept without them
     sketch = nodes.select("node", "sketch")
-    level = _buckets(nodes.select("node", F.explode(F.array_distinct("paths")).alias("path")))
-    large = F.col("bucket") > SMALL_BUCKET
-    one = F.lit(0).cast("long")
-    found = [_compared(level.where(~large).select("path", one.alias("i"), one.alias("j"), "node", F.col("node").alias("c")), sketch)]
-    level = level.where(large)
-    for depth in DEPTHS[1:]:
+    level = _buckets(nodes.select("node", F.col("node").alias("c"), F.explode(F.array_distinct("paths")).alias("path")))
+    large, one = F.col("bucket") > SMALL_BUCKET, F.lit(0).cast("long")
+    found, known, before = [], None, None
+    outside = F.col("c") != F.col("main")
+    while True:
+        found.append(_compared(level.where(~large).select("path", one.alias("i"), one.alias("j"), "node", "c"), sketch))
+        level = level.where(large)
         if level.isEmpty():
             break
-        sketch = checkpointed(sketch.join(level.select("node").distinct(), "node", "left_semi"))
-        rows = _buckets(sketch.mapInArrow(_split_further(depth), "path long, node long"))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("path", "node"), F.ceil(F.col("bucket") / SMALL_BUCKET)))
-        found.append(_compared(rows.select("path", F.col("block").alias("i"), F.col("block").alias("j"), "node", F.col("node").alias("c")), sketch))
-        level = rows.where(large)
-        if level.isEmpty():
+        rows = level.withColumn("block", F.pmod(F.xxhash64("path", "node"), F.ceil(F.col("bucket") / SMALL_BUCKET)))
+        found.append(_compared(rows.select("path", F.col("block").alias("i"), F.col("block").alias("j"), "node", "c"), sketch))
+        member = components(reduce(DataFrame.unionByName, found))
+        rows = rows.drop("c").join(member, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        rows = _mixed(checkpointed(rows))
+        ready = (F.col("bucket") <= MEDIUM_BLOCKS * SMALL_BUCKET) | (F.col("others") <= FEW_BLOCKS * SMALL_BUCKET)
+        now = rows.where(~ready).count()
+        stuck = before is not None and 2 * now > before
+        some = rows if stuck else rows.where(ready)
+        found.append(_compared(_across(some, some.where(outside)), sketch))
+        if stuck or not now:
             break
-        level = _mixed(level, found)
-        ready = F.lit(depth == DEPTHS[-1]) | (F.col("bucket") <= MEDIUM_BUCKET)
-        found.append(_compared(_across(level.where(ready)), sketch))
-        level = level.where(~ready)
+        before, rows = now, rows.where(~ready).drop("main", "others")
+        if known is None:
+            known = checkpointed(sets(rows.select("node").distinct()))
+            sketch = checkpointed(sketch.join(known.select("node"), "node", "left_semi"))
+        rests = _rests(rows, known)
+        # linked by common shingles alone: one of the two is nearly all common
+        able = _mixed(rests.where(NUMERATOR * F.col("n") <= DENOMINATOR * F.col("common")))
+        core = (NUMERATOR + DENOMINATOR) * F.col("common") >= 2 * NUMERATOR * F.col("n")
+        found += [_compared(_across(able.where(core), able.where(outside)), sketch), _compared(_across(able.where(~core), able.where(core & outside)), sketch)]
+        level = _buckets(_longer(rests))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -392,7 +390,7 @@ def similar(docs: DataFrame, text: str = "text") -> DataFrame:
     with_words = rows.where("n > 0")
     nodes = checkpointed(with_words.groupBy("node").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
     # sets of fewer shingles have no other set within the threshold
-    member = components(candidates(nodes.where(F.col("n") >= NUMERATOR)))
+    member = components(candidates(nodes.where(F.col("n") >= NUMERATOR), lambda some: _node_sets(docs, text, nodes, some)))
     links, forest = _verified(docs, text, nodes, member)
     group = components(forest).select("node", "component")
     per_node = nodes.select("node", "text_id", "copies").join(links, "node", "left").join(group, "node", "left")
@@ -408,6 +406,14 @@ def similar(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _node_sets(docs: DataFrame, text: str, nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """(node, tokens) of some nodes, from one document each."""
+    wanted = checkpointed(nodes.join(some, "node", "left_semi").select(F.col("node").alias("node_"), "text_id"))
+    made = _shingled(docs, text, _token_columns, "node long, tokens array<long>")
+    made = made.join(small(wanted), (F.col("node") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("text_id")))
+    return made.select("node", "tokens").dropDuplicates(["node"])
+
+
 def _verified(docs: DataFrame, text: str, nodes: DataFrame, member: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, links, documents) of the linked nodes, and the forest (u, v) of true links."""
     size = checkpointed(member.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
