@@ -1,18 +1,22 @@
-"""A document store over parquet tables: declared collections, upserts by key, filtered reads, promotion of rebuilt tables."""
+"""A document store over parquet tables: declared collections, upserts by key, filtered reads, aliases of rebuilt tables."""
 from __future__ import annotations
 
+import time
+import uuid
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skarn.functions.text import is_store_id
 from skarn.operators.filters import order, where_equal
 from skarn.operators.ingest import last_by
 from skarn.sources.shared import shared_path
-from skarn.sources.versions import Versions
+from skarn.sources.versions import Taken, Versions
 
 
 @dataclass(frozen=True)
@@ -28,73 +32,166 @@ class Collection:
 
 #: Parts of a collection, by a hash of the key; a write makes new versions of the parts that it touches only.
 PARTS = 64
+#: Races that a write may lose before it gives up.
+RETRIES = 20
 
 
 class Store:
-    """Collections under one folder. A write puts new versions of the parts it touches beside the old ones and
-    then a record of which version each part has (see Versions), so readers see whole writes and two writers
-    of one collection can't both win."""
+    """Collections under one folder.
+
+    A write reads its rows once into a staging folder, puts new versions of the parts it touches into a folder of its own, and then
+    a record that says where each part lies (see Versions). Readers see whole writes. Of two writers that meet, the later one
+    starts again from the earlier one's record: parts that it doesn't share are taken over, the others are merged anew. So no write
+    replaces what it has not read, and no folder is written twice.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.specs = spark, path.rstrip("/"), {}
 
-    def ensure(self, specs: Sequence[Collection]) -> None:
-        """Declares collections; declaring again changes nothing."""
+    def _records(self, name: str) -> Versions:
+        return Versions(self.spark, f"{self.path}/{name}/versions")
+
+    def plan(self, specs: Sequence[Collection]) -> list[dict]:
+        """What ensure would do for each collection: create it, add columns, change settings; an error if a column or the key would change."""
+        out = []
         for s in specs:
-            old = self.specs.get(s.name)
-            if old is not None and (old.schema, old.key) != (s.schema, s.key):
-                raise ValueError(f"{s.name} is declared otherwise")
+            record = self._records(s.name).last()[1] or {}
+            old = record.get("spec")
+            plan = {"name": s.name, "create": old is None, "add_columns": [], "settings": {}}
+            if old is not None:
+                had, wanted = (dict(_fields(x)) for x in (old["schema"], s.schema))
+                if old["key"] != s.key or any(wanted.get(c) != kind for c, kind in had.items()):
+                    raise ValueError(f"{s.name} is declared otherwise: its key and columns stay")
+                plan["add_columns"] = [c for c in wanted if c not in had]
+                plan["settings"] = {k: {"from": old[k], "to": list(getattr(s, k))} for k in ("filterable", "sortable") if old[k] != list(getattr(s, k))}
+            out.append(plan)
+        return out
+
+    def ensure(self, specs: Sequence[Collection]) -> list[dict]:
+        """Declares collections and returns what changed. Declaring again changes nothing; new columns are null in old rows."""
+        plans = self.plan(specs)
+        for s, plan in zip(specs, plans, strict=True):
+            if plan["create"] or plan["add_columns"] or plan["settings"]:
+                own = {"schema": s.schema, "key": s.key, "filterable": list(s.filterable), "sortable": list(s.sortable)}
+                self._commit(s.name, lambda record, own=own: record | {"spec": own})
             self.specs[s.name] = s
+        return plans
 
     def _spec(self, name: str) -> Collection:
         if name not in self.specs:
             raise KeyError(f"unknown collection {name}")
         return self.specs[name]
 
-    def _parts(self, name: str) -> tuple[int, dict[str, int]]:
-        number, record = Versions(self.spark, f"{self.path}/{name}/versions").last()
-        return number, (record or {}).get("parts", {})
-
-    def _load(self, name: str, parts: dict[str, int]) -> DataFrame:
+    def _commit(self, name: str, change) -> int:
+        """Records change(newest record) as the next version; starts again if another writer was first. None: nothing to do."""
+        records = self._records(name)
+        for _ in range(RETRIES):
+            number, record = records.last()
+            new = change(record or {})
+            if new is None:
+                return number
+            try:
+                records.commit(number + 1, new)
+            except Taken:
+                continue
+            return number + 1
+        raise RuntimeError(f"{name}: {RETRIES} writers were first")
+
+    def _parts(self, name: str) -> dict[str, str]:
+        return (self._records(name).last()[1] or {}).get("parts", {})
+
+    def _load(self, name: str, parts: dict[str, str]) -> DataFrame:
         spec = self._spec(name)
         if not parts:
             return self.spark.createDataFrame([], spec.schema)
-        return self.spark.read.schema(spec.schema).parquet(*[f"{self.path}/{name}/v{v}/_part={p}" for p, v in parts.items()])
+        return self.spark.read.schema(spec.schema).parquet(*[f"{self.path}/{name}/{v}/_part={p}" for p, v in parts.items()])
 
     def read(self, name: str) -> DataFrame:
-        return self._load(name, self._parts(name)[1])
+        return self._load(name, self._parts(name))
 
     def _part(self, key: str) -> Column:
         return (F.crc32(F.col(key).cast("string").cast("binary")) % PARTS).cast("int")
 
-    def _touched(self, name: str, rows: DataFrame) -> list[str]:
-        return [str(r[0]) for r in rows.select(self._part(self._spec(name).key)).distinct().collect()]  # PARTS at most
+    def _touched(self, rows: DataFrame, key: str) -> list[str]:
+        return [str(r[0]) for r in rows.select(self._part(key)).distinct().collect()]  # PARTS at most
+
+    def _replace(self, name: str, touched: Sequence[str], make) -> int:
+        """Commits new versions of the touched parts: make(their old rows). Made again only if another writer has changed one of them."""
+        key, made = self._spec(name).key, {}
 
-    def _replace(self, name: str, number: int, parts: dict[str, int], touched: Sequence[str], rows: DataFrame) -> None:
-        """Writes new versions of the touched parts and records them."""
-        path = f"{self.path}/{name}/v{number + 1}"
-        rows.withColumn("_part", self._part(self._spec(name).key)).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(path)
-        there = set(self._touched(name, self.spark.read.schema(self._spec(name).schema).parquet(path)))
-        kept = {p: v for p, v in parts.items() if p not in touched}
-        Versions(self.spark, f"{self.path}/{name}/versions").commit(number + 1, {"parts": kept | {p: number + 1 for p in there}})
+        def change(record: dict) -> dict:
+            parts = record.get("parts", {})
+            old = {p: v for p, v in parts.items() if p in touched}
+            if made.get("from") != old:
+                folder = f"v-{uuid.uuid4().hex}"
+                rows = make(self._load(name, old)).withColumn("_part", self._part(key))
+                rows.repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{name}/{folder}")
+                there = self._touched(self.spark.read.schema(self._spec(name).schema).parquet(f"{self.path}/{name}/{folder}"), key)
+                made.update({"from": old, "parts": {p: folder for p in there}})
+            return record | {"parts": {p: v for p, v in parts.items() if p not in touched} | made["parts"]}
 
-    def put(self, name: str, rows: DataFrame) -> None:
-        """Upserts by key; of rows with one key the last wins. A batch with a bad key writes nothing."""
+        return self._commit(name, change)
+
+    def put(self, name: str, rows: DataFrame) -> int:
+        """Upserts by key; of rows with one key the last wins. A batch with a bad key writes nothing. Returns the version that holds it.
+
+        The rows are evaluated once, into a staging folder.
+        """
         spec = self._spec(name)
-        bad = rows.where(~is_store_id(F.col(spec.key).cast("string"))).limit(1).count()
-        if bad:
-            raise ValueError(f"a row of {name} has no valid {spec.key}")
-        touched = self._touched(name, rows)
-        if not touched:
-            return
-        number, parts = self._parts(name)
-        kept = self._load(name, {p: v for p, v in parts.items() if p in touched})
-        new = rows.select(*kept.columns).withColumn("_n", F.monotonically_increasing_id())
-        new = last_by(new, [spec.key], ["_n"]).select(*kept.columns)
-        self._replace(name, number, parts, touched, kept.join(new.select(spec.key), spec.key, "left_anti").select(*kept.columns).unionByName(new))
+        columns = [c for c, _ in _fields(spec.schema)]
+        staged = f"{self.path}/{name}/staged-{uuid.uuid4().hex}"
+        rows.withColumns({c: F.lit(None) for c in columns if c not in rows.columns}).select(*columns).withColumn("_n", F.monotonically_increasing_id()).write.parquet(staged)
+        try:
+            new = self.spark.read.schema(f"{spec.schema}, _n long").parquet(staged)
+            if not new.where(~F.coalesce(is_store_id(F.col(spec.key).cast("string")), F.lit(False))).isEmpty():
+                raise ValueError(f"a row of {name} has no valid {spec.key}")
+            touched = self._touched(new, spec.key)
+            if not touched:
+                return self._records(name).last()[0]
+            new = last_by(new, [spec.key], ["_n"]).select(*columns)
+            return self._replace(name, touched, lambda old: old.join(new.select(spec.key), spec.key, "left_anti").select(*columns).unionByName(new))
+        finally:
+            self._delete(staged)
+
+    def barrier(self, name: str, version: int, seconds: float = 60) -> None:
+        """Returns once readers see a version that a put has returned, and with it every earlier put."""
+        end = time.monotonic() + seconds
+        while self._records(name).last()[0] < version:
+            if time.monotonic() > end:
+                raise TimeoutError(f"{name} has no version {version}")
+            time.sleep(0.2)
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+    def _delete(self, path: str) -> None:
+        fs, to = self._fs()
+        fs.delete(to(path), True)
+
+    def vacuum(self, name: str, keep: int = 1, older_than: float = 7 * 86400) -> list[str]:
+        """Deletes folders that none of the newest ``keep`` records names and that are older than so many seconds, and older records.
+
+        Younger folders may belong to a write or a read that still runs. Returns the names of what is gone.
+        """
+        fs, to = self._fs()
+        records = self._records(name)
+        kept = records.numbers()[-keep:]
+        named = {v for n in kept for v in (records.read(n) or {}).get("parts", {}).values()} | set(self._parts(name).values())
+        gone, now = [], time.time() * 1000
+        for status in fs.listStatus(to(f"{self.path}/{name}")):
+            folder = status.getPath().getName()
+            if folder.startswith(("v-", "staged-")) and folder not in named and now - status.getModificationTime() >= older_than * 1000:
+                self._delete(f"{self.path}/{name}/{folder}")
+                gone.append(folder)
+        last = records.last()
+        if kept and last[1] is not None and records.read(kept[0]) is not None:
+            records.drop_before(kept[0])
+        return sorted(gone)
 
     def get(self, name: str, key: str) -> dict | None:
-        parts = self._parts(name)[1]
+        parts = self._parts(name)
         own = str(zlib.crc32(str(key).encode()) % PARTS)  # only the key's part is read
         row = self._load(name, {p: v for p, v in parts.items() if p == own}).where(F.col(self._spec(name).key) == key).limit(1).collect()
         return row[0].asDict(recursive=True) if row else None
@@ -126,13 +223,26 @@ class Store:
         found = self._filtered(name, where)
         gone = found.count()
         if gone:
-            touched = self._touched(name, found)
-            number, parts = self._parts(name)
-            rows = self._load(name, {p: v for p, v in parts.items() if p in touched})
-            self._replace(name, number, parts, touched, rows.where(~where_equal(where)))
+            self._replace(name, self._touched(found, self._spec(name).key), lambda old: old.where(~where_equal(where)))
         return gone
 
 
+def _fields(schema: str) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in T.StructType.fromDDL(schema).fields]
+
+
+#: Hosts that count as local.
+LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1", "0.0.0.0")
+
+
+def guard_seed(target: str, force: bool = False) -> None:
+    """Refuses to write generated documents to a target (path or url) that isn't on this machine, unless forced."""
+    url = urlsplit(target)
+    local = url.scheme in ("", "file") or (url.hostname or "") in LOCAL_HOSTS
+    if not (force or local):
+        raise ValueError(f"generated documents don't go to {target}, which isn't local; force it if it is disposable")
+
+
 def open_store(spark: SparkSession, kind: str, path: str | None = None) -> Store:
     """A store by name: ``memory`` lasts as long as the shared folder, ``files`` is at a path."""
     if kind == "memory":
@@ -183,20 +293,3 @@ def plan_create(exists: bool, documents: int, force: bool = False) -> dict:
     if not documents:
         return {"create": False, "apply_settings": True, "reason": "empty"}
     return {"create": False, "apply_settings": force, "reason": "forced" if force else f"holds {documents} documents"}
-
-
-def promote(spark: SparkSession, view: str, rows: DataFrame, path: str, expected: int | None = None) -> str:
-    """Writes a rebuilt table and points the view to it once its row count is verified; returns the table's path.
-
-    A short table is refused and the view stays as it was; calling repoint with an earlier path rolls back.
-    """
-    rows.write.parquet(path)
-    found = spark.read.parquet(path).count()
-    if expected is not None and found != expected:
-        raise ValueError(f"{found} rows instead of {expected}; {view} is left as it was")
-    repoint(spark, view, path)
-    return path
-
-
-def repoint(spark: SparkSession, view: str, path: str) -> None:
-    spark.read.parquet(path).createOrReplaceTempView(view)
