@@ -219,24 +219,14 @@ def r7_typo_tolerance(spark, d):
     return t.where(search.typo_match(t, F.col("text"), "thing")).select("doc_id")
 
 
-WORDS_SQL = r"""w AS (SELECT word, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE text IS NOT NULL) WHERE length(word) BETWEEN 5 AND 12 GROUP BY word),
+#: A word of the corpus counts if it has letters only; rarer words are held against frequent ones with as many letters, give or take two, by DuckDB.
+WORDS_SQL = r"""w AS (SELECT word, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents WHERE text IS NOT NULL) GROUP BY word),
 v AS (SELECT word FROM w WHERE docs >= greatest(3, (SELECT count(*) FROM documents) // 50)), a AS (SELECT word FROM w WHERE word NOT IN (SELECT word FROM v))"""
 
 
 @query(f"""WITH {WORDS_SQL}, met AS (SELECT a.word, v.word AS suggestion, levenshtein(a.word, v.word) AS distance FROM a JOIN v ON abs(length(a.word) - length(v.word)) <= 2
-  AND levenshtein(a.word, v.word) <= CASE WHEN length(a.word) >= 8 THEN 2 ELSE 1 END)
-SELECT word, suggestion, distance::INT AS distance, row_number() OVER (PARTITION BY word ORDER BY distance, suggestion)::INT AS place FROM met QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, suggestion) <= 4""")
-def r14_suggestions(spark, d):
-    """Corrects each rarer word of the corpus by its frequent ones."""
-    docs = table(spark, d, "documents")
-    n = docs.count()
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word")).where(F.length("word").between(5, 12))
-    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("docs")), "words")
-    frequent = F.col("docs") >= max(3, n // 50)
-    return search.corrections(counts.where(~frequent), counts.where(frequent).select("word"))
-
-
-@query()
+  AND levenshtein(a.word, v.word) <= CASE WHEN length(a.word) >= 8 THEN 2 WHEN length(a.word) >= 5 THEN 1 ELSE 0 END)
+SELECT word, suggestion, distance::INT AS distance, row_number() OVER (PARTITION BY word ORDER BY distance, suggestion)::INT AS place FROM met WHERE distance > 0 QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, suggestion) <= 4""")
 def r14_all_suggestions(spark, d):
     """Corrects each rarer word of the corpus by its frequent ones: words of any letters and length."""
     docs = table(spark, d, "documents")
@@ -335,10 +325,3 @@ def r22_facet_sidebar(spark, d):
 @query("SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''), 1, 40), ' ') AS summary FROM documents")
 def r24_short_summaries(spark, d):
     return table(spark, d, "documents").select("doc_id", search.first_words(F.col("text")).alias("summary"))
-
-
-@query(TOOLS_SQL + "SELECT id, unnest(['brew', 'helm', 'krew']) AS value FROM tools WHERE size & 7 = 7")
-def f29_visible_links(spark, d):
-    t = tools(spark, d).withColumn("methods", F.col("install_methods.method")).where(F.col("size").bitwiseAND(7) == 7)
-    words = vocabulary.standard().frame(spark).withColumn("family", F.when(F.col("family") == "install_methods", "methods").otherwise(F.col("family")))
-    return search.visible_links(t, words, ["methods"]).select("id", "value")

@@ -18,18 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Where each session keeps the models of a folder.
-_KEPT: dict[tuple[str, str, str], str] = {}
+#: Where each session keeps what is made of a folder's tables.
+_KEPT: dict[tuple, str] = {}
 
 
-def _kept(spark: SparkSession, sf_dir: str, name: str, make, rebuild: bool) -> DataFrame:
-    """A model is made once for a session and folder, as a table in the shared folder; queries read that."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def source_state(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple:
+    """Bytes, files and time of change of each table: another state means other data."""
+    jvm = spark.sparkContext._jvm
+    out = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        size = fs.getContentSummary(path)
+        out.append((size.getLength(), size.getFileCount(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(out)
+
+
+def kept_path(spark: SparkSession, sf_dir: str, name: str, make, sources: tuple[str, ...] = ("part", "lineitem", "documents"), rebuild: bool = False) -> str:
+    """The folder that make(path) has written for a session, a folder of tables and the state of these tables; written once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, source_state(spark, sf_dir, sources))
     if rebuild or key not in _KEPT:
         path = shared_path(spark, name)
-        make(spark, sf_dir).write.parquet(path)
+        make(path)
         _KEPT[key] = path
-    return spark.read.parquet(_KEPT[key])
+    return _KEPT[key]
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make, rebuild: bool) -> DataFrame:
+    """A model is made once for a state of its tables, as a table in the shared folder; queries read that."""
+    return spark.read.parquet(kept_path(spark, sf_dir, name, lambda path: make(spark, sf_dir).write.parquet(path), rebuild=rebuild))
 
 
 def repos(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
