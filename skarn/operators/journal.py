@@ -1,6 +1,9 @@
 """The append-only journal: day-partitioned events, range reads, checkpoints and folds."""
 from __future__ import annotations
 
+import secrets
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,39 +31,47 @@ def violations(events: DataFrame) -> Column:
     return F.array_compact(F.array(*bad))
 
 
-def stamped(events: DataFrame, millis: int, after: str | None = None) -> DataFrame:
+def stamped(events: DataFrame, millis: int, after: str | None = None, writer: int | None = None) -> DataFrame:
     """Adds id and ts: ids that sort by time and then as the rows come, all greater than ``after``.
 
-    Ten digits of time and sixteen of partition and row. If the clock is not past the time of ``after``, the
+    Ten digits of time, eleven of partition and row, and five of the writer (at random, unless given), so that two writers of one
+    millisecond make no equal ids. If the clock is not past the time of ``after``, the
     next millisecond is taken, so events of one instant never sort before earlier ones.
     """
     if after is not None:
-        digits = dict(zip(ULID_DIGITS, range(32), strict=False))
-        last = 0
-        for c in after[:10].upper():
-            last = last * 32 + digits[c]
-        millis = max(millis, last + 1)
+        millis = max(millis, millis_of(after) + 1)
+    writer = secrets.randbits(25) if writer is None else writer
     digits = lambda c, n: F.lpad(F.translate(F.conv(c, 10, 32), BASE32_DIGITS, ULID_DIGITS), n, "0")
-    place = F.monotonically_increasing_id()
-    ident = F.concat(digits(F.lit(millis), 10), digits(place, 16))
+    place = F.monotonically_increasing_id()  # the partition above 33 bits of row
+    ident = F.concat(digits(F.lit(millis), 10), digits(F.shiftright(place, 33), 4), digits(place.bitwiseAND((1 << 33) - 1), 7), digits(F.lit(writer), 5))
     return events.withColumns({"id": ident, "ts": F.timestamp_millis(F.lit(millis))})
 
 
-def append_stamped(events: DataFrame, path: str, millis: int | None = None) -> str | None:
-    """Validates events, stamps them and appends them; one bad event refuses all. Returns the greatest id."""
-    import time
+def millis_of(event_id: str) -> int:
+    """The time in an event's id."""
+    out = 0
+    for c in event_id[:10].upper():
+        out = out * 32 + ULID_DIGITS.index(c)
+    return out
 
-    spark = events.sparkSession
+
+def _newest(spark: SparkSession, path: str) -> str | None:
+    """The greatest id of a journal, from the folder of its newest day only."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    days_ = sorted(n for n in names if n.startswith("day="))
+    return spark.read.parquet(f"{path}/{days_[-1]}").agg(F.max("id")).first()[0] if days_ else None
+
+
+def append_stamped(events: DataFrame, path: str, millis: int | None = None, writer: int | None = None) -> str | None:
+    """Validates events, stamps them and appends them; one bad event refuses all. Returns the greatest id."""
     if not events.where(F.size(violations(events)) > 0).isEmpty():
         raise ValueError("an event is not valid")
-    try:
-        after = spark.read.parquet(path).agg(F.max("id")).first()[0]
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        after = None
-    append(stamped(events, int(time.time() * 1000) if millis is None else millis, after), path)
-    return spark.read.parquet(path).agg(F.max("id")).first()[0]
+    spark = events.sparkSession
+    append(stamped(events, int(time.time() * 1000) if millis is None else millis, _newest(spark, path), writer), path)
+    return _newest(spark, path)
 
 
 def read_after(events: DataFrame, after: str | None = None, limit: int | None = None, until: str | None = None, timed_ids: bool = False) -> DataFrame:

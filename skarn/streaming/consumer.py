@@ -1,10 +1,18 @@
 """Structured Streaming consumers of the journal and event-time aggregates."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from skarn.operators.journal import EVENTS
+from skarn.streaming.journal_source import JournalSource
+
+#: Types of events whose latest times a repository's state has.
+PHASE_EVENTS = tuple(EVENTS)
 
 
 def consume(spark: SparkSession, path: str, schema: str, checkpoint: str, handle: Callable[[DataFrame, int], None], files: int = 100) -> None:
@@ -18,6 +26,51 @@ def consume(spark: SparkSession, path: str, schema: str, checkpoint: str, handle
     run.awaitTermination()
 
 
+def follow(spark: SparkSession, path: str, schema: str, checkpoint: str, handle: Callable[[DataFrame, int], None], after: str | None = None) -> None:
+    """Hands the journal's events after an id (null: all) to ``handle`` and stops when all is read; the checkpoint keeps the last id.
+
+    A new checkpoint replays from ``after``. Offsets are ids, so a file that comes late with earlier ids is not met again.
+    """
+    spark.dataSource.register(JournalSource)
+    stream = spark.readStream.format("journal").schema(schema).option("path", path)
+    stream = (stream if after is None else stream.option("after", after)).load()
+    run = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+
+
+class RepoState(StatefulProcessor):
+    """The latest event of a repository and the latest time of each type, kept by key; events may come in any order and more than once."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "type string, id string")
+        self.times = handle.getMapState("times", "type string", "ts timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        last = self.last.get() if self.last.exists() else ("", "")
+        for some in rows:
+            for kind, ident, ts in zip(some["type"], some["id"], some["ts"], strict=True):
+                if ident > last[1]:
+                    last = (kind, ident)
+                if not self.times.containsKey((kind,)) or self.times.getValue((kind,))[0] < ts.to_pydatetime():
+                    self.times.updateValue((kind,), (ts.to_pydatetime(),))
+        self.last.update(tuple(last))
+        seen = {k[0]: v[0] for k, v in self.times.iterator()}
+        yield pd.DataFrame([{"repo": key[0], "phase": last[0], "last_id": last[1], **{f"{k}_at": seen.get(k) for k in PHASE_EVENTS}}]).astype({f"{k}_at": "datetime64[us]" for k in PHASE_EVENTS})
+
+    def close(self) -> None:
+        pass
+
+
+def repo_states(events: DataFrame) -> DataFrame:
+    """The state of each repository after each batch in which it has events, from a stream of (id, ts, type, repo).
+
+    A repository's state is one small row under its key, and a batch reads and writes the states of its own repositories only.
+    """
+    times = ", ".join(f"{k}_at timestamp" for k in PHASE_EVENTS)
+    some = events.select("id", "ts", "type", "repo")
+    return some.groupBy("repo").transformWithStateInPandas(RepoState(), f"repo string, phase string, last_id string, {times}", "Update", "none")
+
+
 def windowed_counts(events: DataFrame, length: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Events and their value by time window and type; in a stream, events later than ``late`` are left out."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
