@@ -219,16 +219,9 @@ def r7_typo_tolerance(spark, d):
     return t.where(search.typo_match(t, F.col("text"), "thing")).select("doc_id")
 
 
-#: A word of the corpus counts if it has letters only; rarer words are held against frequent ones with as many letters, give or take two, by DuckDB.
-WORDS_SQL = r"""w AS (SELECT word, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents WHERE text IS NOT NULL) GROUP BY word),
-v AS (SELECT word FROM w WHERE docs >= greatest(3, (SELECT count(*) FROM documents) // 50)), a AS (SELECT word FROM w WHERE word NOT IN (SELECT word FROM v))"""
-
-
-@query(f"""WITH {WORDS_SQL}, met AS (SELECT a.word, v.word AS suggestion, levenshtein(a.word, v.word) AS distance FROM a JOIN v ON abs(length(a.word) - length(v.word)) <= 2
-  AND levenshtein(a.word, v.word) <= CASE WHEN length(a.word) >= 8 THEN 2 WHEN length(a.word) >= 5 THEN 1 ELSE 0 END)
-SELECT word, suggestion, distance::INT AS distance, row_number() OVER (PARTITION BY word ORDER BY distance, suggestion)::INT AS place FROM met WHERE distance > 0 QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, suggestion) <= 4""")
+@query()
 def r14_all_suggestions(spark, d):
-    """Corrects each rarer word of the corpus by its frequent ones: words of any letters and length."""
+    """Corrects each rarer word of the corpus by its frequent ones: words of any letters and length. No twin: DuckDB counts edits in bytes."""
     docs = table(spark, d, "documents")
     n = docs.count()
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))

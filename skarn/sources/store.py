@@ -132,10 +132,10 @@ class Store:
 
         return self._commit(name, change)
 
-    def put(self, name: str, rows: DataFrame) -> int:
+    def put(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> int:
         """Upserts by key; of rows with one key the last wins. A batch with a bad key writes nothing. Returns the version that holds it.
 
-        The rows are evaluated once, into a staging folder.
+        gone: keys that are removed in the same version (a column of the key's name; a key that is put as well stays). The rows are evaluated once, into a staging folder.
         """
         spec = self._spec(name)
         columns = [c for c, _ in _fields(spec.schema)]
@@ -145,13 +145,18 @@ class Store:
             new = self.spark.read.schema(f"{spec.schema}, _n long").parquet(staged)
             if not new.where(~F.coalesce(is_store_id(F.col(spec.key).cast("string")), F.lit(False))).isEmpty():
                 raise ValueError(f"a row of {name} has no valid {spec.key}")
-            touched = self._touched(new, spec.key)
+            keys = new.select(spec.key)
+            if gone is not None:
+                gone.select(spec.key).where(F.col(spec.key).isNotNull()).write.parquet(f"{staged}-gone")
+                keys = keys.unionByName(self.spark.read.schema(keys.schema).parquet(f"{staged}-gone"))
+            touched = self._touched(keys, spec.key)
             if not touched:
                 return self._records(name).last()[0]
             new = last_by(new, [spec.key], ["_n"]).select(*columns)
-            return self._replace(name, touched, lambda old: old.join(new.select(spec.key), spec.key, "left_anti").select(*columns).unionByName(new))
+            return self._replace(name, touched, lambda old: old.join(keys.distinct(), spec.key, "left_anti").select(*columns).unionByName(new))
         finally:
             self._delete(staged)
+            self._delete(f"{staged}-gone")
 
     def barrier(self, name: str, version: int, seconds: float = 60) -> None:
         """Returns once readers see a version that a put has returned, and with it every earlier put."""

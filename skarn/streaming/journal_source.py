@@ -17,7 +17,8 @@ import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType, TimestampNTZType, TimestampType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType, TimestampType
 
 from skarn.operators.journal import millis_of
 
@@ -36,7 +37,7 @@ class JournalReader(DataSourceStreamReader):
 
     def __init__(self, options: dict, schema: StructType):
         self.path, self.after, self.names = options["path"], options.get("after", ""), schema.names
-        self.times = {f.name: pa.timestamp("us", "UTC" if isinstance(f.dataType, TimestampType) else None) for f in schema.fields if isinstance(f.dataType, TimestampType | TimestampNTZType)}
+        self.kinds = {f.name: pa.timestamp("us", "UTC") if isinstance(f.dataType, TimestampType) else to_arrow_type(f.dataType) for f in schema.fields}
 
     def _days(self) -> list[str]:
         fs, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
@@ -77,9 +78,11 @@ class JournalReader(DataSourceStreamReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         wanted = (ds.field("id") > partition.after) & (ds.field("id") <= partition.upto)
-        for batch in ds.dataset(partition.path, filesystem=self._fs(), format="parquet").to_batches(columns=self.names, filter=wanted):
+        data = ds.dataset(partition.path, filesystem=self._fs(), format="parquet")
+        there = [c for c in self.names if c in data.schema.names]  # a file of other events may lack some fields
+        for batch in data.to_batches(columns=there, filter=wanted):
             if batch.num_rows:
-                columns = {c: batch.column(c).cast(self.times[c], safe=False) if c in self.times else batch.column(c) for c in self.names}
+                columns = {c: batch.column(c).cast(kind, safe=False) if c in there else pa.nulls(batch.num_rows, kind) for c, kind in self.kinds.items()}
                 yield pa.RecordBatch.from_pydict(columns)
 
     def commit(self, end: dict) -> None:
