@@ -8,7 +8,7 @@ all these forests matter.
 
 A large bucket is first dealt into random blocks, each compared in itself: that connects near copies. If the bucket
 then lies in one component, nothing in it is left to find. Otherwise it is split on what its nodes don't all have: the
-shingles that most of a block of it has are its common part, and of the rest of its set each node takes
+shingles that most of a sample of it has are its common part, and of the rest of its set each node takes
 some shingles as longer paths. A linked pair of sizes n and m shares 4/9 (n + m) shingles, so of its rests at least
 0.8 n less what is common in n; the smaller that is, the more of its rest a node takes (all of it, if it may be one
 shingle), until a pair is missed with 1 - RECALL. Nodes of texts of one template share no more than the template, so their rests part
@@ -57,6 +57,10 @@ RUNS = math.ceil(-math.log(1 - RECALL))
 BINS = 128
 #: Nodes of a bucket that is compared by brute force, at most, and of a block of larger buckets, about.
 SMALL_BUCKET = 128
+#: Nodes of a large bucket that tell its common part, about.
+COMMON_FROM = 32
+#: Nodes whose documents are picked out before their shingles are made, at most: a broadcast of one doc_id each.
+PICKED = 1_000_000
 #: Blocks of a large bucket, or of its nodes outside of its main component, up to which these are compared with all.
 MEDIUM_BLOCKS, FEW_BLOCKS = 8, 2
 #: Shingles of common parts that are broadcast, at most.
@@ -260,10 +264,10 @@ def _across(every: DataFrame, some: DataFrame) -> DataFrame:
 def _rests(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(path, node, c, n, common, rest) of mixed large buckets: a node's shingles beyond the common part, and how many are common.
 
-    The common part is what most nodes of the bucket's block 0 have; path becomes a hash of it, so
+    The common part is what most of some COMMON_FROM nodes of the bucket have; path becomes a hash of it, so
     buckets with the same common part are one. Any common part gives right results; this one gives small rests.
     """
-    some = rows.where("block = 0").select("path", "node")
+    some = rows.where(F.pmod(F.xxhash64("node", "path", F.lit(13)), F.ceil(F.col("bucket") / COMMON_FROM)) == 0).select("path", "node")
     size = some.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
     often = some.join(sets, "node").select("path", F.explode("tokens").alias("token")).groupBy("path", "token").agg(F.count(F.lit(1)).alias("k")).join(size, "path").where("2 * k > size")
     common = often.groupBy("path").agg(F.sort_array(F.collect_list("token")).alias("shared"))
@@ -406,10 +410,18 @@ def similar(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents that may be the ones in text_id, if these are few enough to be broadcast; else all, as texts aren't shuffled."""
+    ids = wanted.where("text_id IS NOT NULL").select(F.col("text_id").alias("id_")).distinct()
+    if ids.limit(PICKED + 1).count() > PICKED:
+        return docs
+    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id_"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+
+
 def _node_sets(docs: DataFrame, text: str, nodes: DataFrame, some: DataFrame) -> DataFrame:
     """(node, tokens) of some nodes, from one document each."""
     wanted = checkpointed(nodes.join(some, "node", "left_semi").select(F.col("node").alias("node_"), "text_id"))
-    made = _shingled(docs, text, _token_columns, "node long, tokens array<long>")
+    made = _shingled(_picked(docs, wanted), text, _token_columns, "node long, tokens array<long>")
     made = made.join(small(wanted), (F.col("node") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("text_id")))
     return made.select("node", "tokens").dropDuplicates(["node"])
 
@@ -419,7 +431,7 @@ def _verified(docs: DataFrame, text: str, nodes: DataFrame, member: DataFrame) -
     size = checkpointed(member.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     wanted = member.join(size, "component").join(nodes.select("node", "text_id", "copies"), "node")
     wanted = checkpointed(wanted.select(F.col("node").alias("node_"), "component", "size", "text_id", "copies"))
-    sets = _shingled(docs, text, _set_columns, "node long, n long, tokens binary")
+    sets = _shingled(_picked(docs, wanted), text, _set_columns, "node long, n long, tokens binary")
     # one document of each node brings its set
     sets = sets.join(small(wanted), (F.col("node") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("text_id"))).dropDuplicates(["node"])
     blocks = F.ceil(F.col("size") / BLOCK)

@@ -97,7 +97,7 @@ def test_rests_keep_threshold_pairs(spark, share):
         part = np.concatenate((common, own))[rng.permutation(n)[drop:]] if share < 0.8 else np.concatenate((common, own[: max(0, len(own) - drop)]))
         rows += [(2 * k, np.concatenate((common, own)).tolist()), (2 * k + 1, part.tolist())]
     sets = spark.createDataFrame(rows, "node long, tokens array<long>")
-    rests = jaccard._rests(sets.select(F.lit(1).cast("long").alias("path"), "node", F.col("node").alias("c"), F.when(F.col("node") < 128, 0).otherwise(1).alias("block")), sets)
+    rests = jaccard._rests(sets.select(F.lit(1).cast("long").alias("path"), "node", F.col("node").alias("c"), F.lit(2 * pairs).alias("bucket")), sets)
     longer = jaccard._longer(rests)
     met = {r.pair for r in longer.groupBy("path", F.expr("node div 2").alias("pair")).count().where("count > 1").select("pair").distinct().collect()}
     able = {r.node // 2 for r in rests.where("4 * n <= 5 * common").collect()}
