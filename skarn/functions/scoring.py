@@ -3,6 +3,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +72,26 @@ def z_score(df: DataFrame, value: str, into: str) -> DataFrame:
     return df.join(F.broadcast(corpus)).withColumn(into, z).drop("_mean", "_sd")  # one row
 
 
+def moments(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, n, mean, m2): what mean and deviation of parts are merged from; nulls don't count."""
+    n = F.count(value)
+    return df.groupBy(*by).agg(n.alias("n"), F.avg(F.col(value).cast("double")).alias("mean"), (F.var_pop(F.col(value).cast("double")) * n).alias("m2"))
+
+
+def merged_moments(parts: Sequence[tuple[int, float | None, float | None]]) -> tuple[int, float | None, float | None]:
+    """(n, mean, standard deviation) of all parts together, from (n, mean, m2) of each."""
+    n, mean, m2 = 0, 0.0, 0.0
+    for k, own, spread in parts:
+        if k:
+            off = own - mean
+            m2 += spread + off * off * n * k / (n + k)
+            mean += off * k / (n + k)
+            n += k
+    return (n, mean, math.sqrt(max(m2, 0.0) / n)) if n else (0, None, None)
+
+
+def z_score_of(value: Column, mean: float | None, deviation: float | None) -> Column:
+    """z_score with the corpus's mean and deviation as they are kept, without a pass over it."""
+    if mean is None:
+        return F.lit(None).cast("double")
+    return F.when(value.isNotNull(), F.lit(0.0) if deviation == 0 else (value - F.lit(mean)) / F.lit(deviation))

@@ -3,11 +3,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skarn.operators import postings
+from skarn.functions import scoring
+from skarn.operators import bitmaps, filters, postings, search
 from skarn.operators.search import SEARCHABLE
 from skarn.plans import queries_more, queries_search  # noqa: F401  their twins are used here
-from skarn.plans.tools import kept_path, table, tools
+from skarn.plans.queries_search import FACETS, MOMENTUM_SQL, VISIBLE, facets_sql
+from skarn.plans.tools import TOOLS_SQL, kept_path, table, tools
 from skarn.queries import ORACLES, query
+from skarn.sources.pages import SearchPages
+from skarn.sources.shared import shared_path
+from skarn.sources.store import Collection, Store
 
 
 def tools_index(spark, d):
@@ -39,3 +44,57 @@ def r8_indexed(spark, d):
     index = tools_index(spark, d)
     near = index.closeness("r gear", SEARCHABLE.index("name"))
     return index.ids.join(near, "id", "left").select("id", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("prefix", F.lit(False)).alias("prefix"), "gap")
+
+
+def facet_bitmaps(spark, d):
+    return bitmaps.FacetIndex(spark, kept_path(spark, d, "bitmaps", lambda path: bitmaps.build(tools(spark, d), path, list(FACETS))))
+
+
+@query(ORACLES["a1_facets_after_query"])
+def a1_bitmaps_after_query(spark, d):
+    """The filter's documents by scan and index; the facets' attributes aren't read."""
+    t, index = tools(spark, d), facet_bitmaps(spark, d)
+    shown = index.of_ids(t.where(filters.build_filters(t)).select("id"))
+    return index.facets(list(FACETS), index.both(shown, index.of_ids(tools_index(spark, d).matches("the bolt"))))
+
+
+@query(ORACLES["r13_browse_facets"])
+def r13_bitmaps(spark, d):
+    t, index = tools(spark, d), facet_bitmaps(spark, d)
+    return index.facets(list(FACETS), index.of_ids(t.where(filters.build_filters(t)).select("id")))
+
+
+@query(facets_sql("kind IN ('SMALL', 'PROMO') AND list_has_any(domains, ['red', 'bolt', 'gear'])"))
+def a5_bitmaps_of_a_selection(spark, d):
+    """A selection of facet values: bitmaps alone answer."""
+    index = facet_bitmaps(spark, d)
+    return index.facets(list(FACETS), index.both(index.of_values("kind", ["SMALL", "PROMO"]), index.of_values("domains", ["red", "bolt", "gear"])))
+
+
+@query(f"{TOOLS_SQL}, {MOMENTUM_SQL.replace('FROM tools', 'FROM (SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN raw_momentum * 3 ELSE raw_momentum END AS raw_momentum) FROM tools WHERE id % 11 <> 0)')} SELECT id, round(momentum, 5) AS momentum FROM m")
+def a7_kept_statistics(spark, d):
+    """z-scores from the moments that a store keeps by part, after an upsert and a removal."""
+    store = Store(spark, shared_path(spark, "measured"))
+    store.ensure([Collection("scores", "id string, `group` string, raw_momentum double", "id", ("group",), (), ("raw_momentum",))])
+    t = tools(spark, d).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 11 == 0, "out").otherwise("in").alias("group"), "raw_momentum")
+    store.put("scores", t)
+    store.put("scores", t.where("CAST(id AS LONG) % 7 = 0").withColumn("raw_momentum", F.col("raw_momentum") * 3))
+    store.remove("scores", {"group": "out"})
+    _, mean, deviation = store.statistics("scores", "raw_momentum")
+    return store.read("scores").select(F.col("id").cast("long").alias("id"), F.round(scoring.z_score_of(F.col("raw_momentum"), mean, deviation), 5).alias("momentum"))
+
+
+@query("""WITH i AS (SELECT o_orderkey // 100 AS page, o_orderkey AS k, CASE WHEN o_orderkey // 100 % 13 = 0 OR o_orderkey % 7 = 0 THEN 'full_name' END AS bad FROM orders),
+p AS (SELECT page, count(*) AS n, count(bad) AS b, sum(k) FILTER (bad IS NULL) AS s FROM i GROUP BY page)
+SELECT page, CASE WHEN b = n THEN 0 ELSE n - b END AS good, CASE WHEN b = n THEN 0 ELSE b END AS bad, b = n AS aborted, CASE WHEN b < n THEN s END::BIGINT AS stars FROM p""")
+def s9_s10_search_pages(spark, d):
+    """Orders as items of recorded pages of a hundred at most: good ones, mixed ones, and pages of which all items are bad."""
+    path, k = shared_path(spark, "pages"), F.col("o_orderkey")
+    page = F.expr("o_orderkey div 100")
+    name = F.when((page % 13 == 0) | (k % 7 == 0), "nobody").otherwise(F.concat(F.lit("o/r"), k.cast("string")))
+    items = table(spark, d, "orders").groupBy(page.alias("page")).agg(F.count(F.lit(1)).alias("total_count"), F.collect_list(F.struct(name.alias("full_name"), k.alias("stargazers_count"))).alias("items"))
+    items.select("page", F.to_json(F.struct("total_count", "items")).alias("value")).repartition("page").write.partitionBy("page").text(path)
+    spark.dataSource.register(SearchPages)
+    read = spark.read.format("search_pages").option("path", path).option("abort", "false").load()
+    whole, bad = F.col("place").isNull(), F.col("error").isNotNull()
+    return read.groupBy(F.col("page").cast("long").alias("page")).agg(F.count_if(~whole & ~bad).alias("good"), F.count_if(~whole & bad).alias("bad"), F.bool_or(whole).alias("aborted"), F.sum("stars").alias("stars"))

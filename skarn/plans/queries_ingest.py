@@ -97,15 +97,24 @@ def w5_first_verdict(spark, d):
 
 
 # --- vocabulary ---
-@query("WITH " + vocabulary_sql() + " SELECT family, count(DISTINCT value) AS n_values, count(DISTINCT value) FILTER (hidden) AS n_hidden, count(alias) AS n_aliases FROM vocab GROUP BY family")
+def part_words(spark, d):
+    """A vocabulary of the parts: brands are families, names values, types labels; some are hidden, some have their size as alias."""
+    p = F.col("p_partkey")
+    return table(spark, d, "part").select(F.col("p_brand").alias("family"), F.col("p_name").alias("value"), F.col("p_type").alias("label"), (p % 5 == 0).alias("hidden"), F.when(p % 3 == 0, F.col("p_size").cast("string")).alias("alias"))
+
+
+PART_WORDS_SQL = "vocab AS (SELECT p_brand AS family, p_name AS value, p_type AS label, p_partkey % 5 = 0 AS hidden, CASE WHEN p_partkey % 3 = 0 THEN p_size::VARCHAR END AS alias FROM part)"
+
+
+@query("WITH " + PART_WORDS_SQL + " SELECT family, count(DISTINCT value) AS n_values, count(DISTINCT value) FILTER (hidden) AS n_hidden, count(alias) AS n_aliases FROM vocab GROUP BY family")
 def a12_vocabulary_summary(spark, d):
-    v = VOCABULARY.frame(spark)
+    v = part_words(spark, d)
     return v.groupBy("family").agg(F.countDistinct("value").alias("n_values"), F.countDistinct(F.when(F.col("hidden"), F.col("value"))).alias("n_hidden"), F.count("alias").alias("n_aliases"))
 
 
-@query("WITH " + vocabulary_sql() + ", w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(value || ' ' || label), '[\\s\\-_/]+')) AS word FROM vocab WHERE NOT hidden) SELECT word FROM w WHERE length(word) >= 4")
+@query("WITH " + PART_WORDS_SQL + ", w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(value || ' ' || label), '[\\s\\-_/]+')) AS word FROM vocab WHERE NOT hidden) SELECT word FROM w WHERE length(word) >= 4")
 def r16_vocabulary_words(spark, d):
-    return search.vocabulary_words(VOCABULARY.frame(spark))
+    return search.vocabulary_words(part_words(spark, d))
 
 
 @query(ARTIFACTS_SQL + ", " + vocabulary_sql() + ", c AS (SELECT CASE license WHEN 'mit' THEN 'permissive' WHEN 'apache-2.0' THEN 'permissive' WHEN 'gpl-3.0' THEN 'copyleft' WHEN 'busl-1.1' THEN 'source-available' ELSE 'unknown' END AS value, count(*) AS docs FROM art GROUP BY 1) SELECT DISTINCT family, v.value, label, coalesce(docs, 0)::BIGINT AS docs FROM vocab v LEFT JOIN c ON v.value = c.value AND family = 'license_class' WHERE NOT hidden AND family = 'license_class'")

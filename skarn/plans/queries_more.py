@@ -87,15 +87,15 @@ def t11_query_text(spark, d):
 KINDS = vocabulary.standard()["kind"].ids()
 
 
-def pick_sql(salt: str, k: int, seed: int = 1) -> str:
+def pick_sql(salt: str, k: int | str, seed: int = 1) -> str:
     return f"(('0x' || substr(md5('{seed}|{salt}|' || id), 1, 15))::BIGINT % {k})"
 
 
-@query(f"""SELECT id, 'owner' || {pick_sql('owner', 1000)} AS owner, 'owner' || {pick_sql('owner', 1000)} || '/tool' || id AS full_name, floor(pow(10, {pick_sql('stars', 4500)} / 1000))::BIGINT AS stars,
-  {pick_sql('archived', 100)} < 6 AS archived, {pick_sql('relevance', 101)} / 100 AS k8s_relevance, {KINDS}[((id + {pick_sql('kind', 3)} * {len(KINDS)}) % {len(KINDS)})::INT + 1] AS kind FROM (SELECT unnest(range(4000)) AS id)""")
+@query(f"""SELECT id, 'owner' || {pick_sql('owner', '(SELECT greatest(1, count(*) // 4) FROM part)')} AS owner, 'owner' || {pick_sql('owner', '(SELECT greatest(1, count(*) // 4) FROM part)')} || '/tool' || id AS full_name, floor(pow(10, {pick_sql('stars', 4500)} / 1000))::BIGINT AS stars,
+  {pick_sql('archived', 100)} < 6 AS archived, {pick_sql('relevance', 101)} / 100 AS k8s_relevance, {KINDS}[((id + {pick_sql('kind', 3)} * {len(KINDS)}) % {len(KINDS)})::INT + 1] AS kind FROM (SELECT unnest(range(count(*))) AS id FROM part)""")
 def s26_generated_corpus(spark, d):
-    """A corpus made on the spot, row by row: every kind occurs, stars are skewed, some are archived."""
-    return ingest.generated(spark, 4000, {"kind": KINDS})
+    """As many made documents as there are parts: every kind occurs, stars are skewed, some are archived."""
+    return ingest.generated(spark, table(spark, d, "part").count(), {"kind": KINDS})
 
 
 @query("SELECT event_type AS type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")

@@ -41,13 +41,6 @@ def s19_upsert_latest(spark, d):
     return ingest.last_by(old.unionByName(new), ["k"], ["seq"]).select("k", "v")
 
 
-@query("SELECT page_id, 'repos/' || replace(replace(replace(split_part(url, '://', 2), '%', '%25'), '/', '%2F'), '?', '%3F') AS key_start, length(url) AS n FROM pages WHERE regexp_matches(url, '^https?://[A-Za-z0-9./_-]*$')")
-def s5_storage_keys(spark, d):
-    p = table(spark, d, "pages").where(F.regexp_like("url", F.lit("^https?://[A-Za-z0-9./_-]*$")))
-    name = F.substring_index("url", "://", -1)
-    return p.select("page_id", F.concat(F.lit("repos/"), text.encode_component(name)).alias("key_start"), F.length("url").cast("long").alias("n"))
-
-
 @query("""SELECT page_id, 'repos/' || replace(replace(replace(replace(replace(url_encode(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE url END), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS key_start,
   length(url) AS n FROM pages""")
 def s5_all_storage_keys(spark, d):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skarn.functions.scoring import merged_moments, moments
 from skarn.functions.text import is_store_id
 from skarn.operators.filters import order, where_equal
 from skarn.operators.ingest import last_by
@@ -21,13 +22,14 @@ from skarn.sources.versions import Taken, Versions
 
 @dataclass(frozen=True)
 class Collection:
-    """name, schema (DDL), primary key, and the attributes that may be filtered and sorted by."""
+    """name, schema (DDL), primary key, the attributes that may be filtered and sorted by, and those whose mean and deviation are kept."""
 
     name: str
     schema: str
     key: str
     filterable: tuple[str, ...] = ()
     sortable: tuple[str, ...] = ()
+    measured: tuple[str, ...] = ()
 
 
 #: Parts of a collection, by a hash of the key; a write makes new versions of the parts that it touches only.
@@ -126,9 +128,13 @@ class Store:
                 folder = f"v-{uuid.uuid4().hex}"
                 rows = make(self._load(name, old)).withColumn("_part", self._part(key))
                 rows.repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{name}/{folder}")
-                there = self._touched(self.spark.read.schema(self._spec(name).schema).parquet(f"{self.path}/{name}/{folder}"), key)
-                made.update({"from": old, "parts": {p: folder for p in there}})
-            return record | {"parts": {p: v for p, v in parts.items() if p not in touched} | made["parts"]}
+                new = self.spark.read.schema(self._spec(name).schema).parquet(f"{self.path}/{name}/{folder}")
+                there = self._touched(new, key)
+                stats = {c: {str(r["part"]): [r["n"], r["mean"], r["m2"]] for r in moments(new.withColumn("part", self._part(key)), c, "part").collect()} for c in self._spec(name).measured}  # PARTS rows each
+                made.update({"from": old, "parts": {p: folder for p in there}, "stats": stats})
+            had = record.get("stats", {})
+            stats = {c: {p: v for p, v in had.get(c, {}).items() if p not in touched} | own for c, own in made["stats"].items()}
+            return record | {"parts": {p: v for p, v in parts.items() if p not in touched} | made["parts"], "stats": stats}
 
         return self._commit(name, change)
 
@@ -201,6 +207,13 @@ class Store:
         row = self._load(name, {p: v for p, v in parts.items() if p == own}).where(F.col(self._spec(name).key) == key).limit(1).collect()
         return row[0].asDict(recursive=True) if row else None
 
+    def statistics(self, name: str, column: str) -> tuple[int, float | None, float | None]:
+        """(n, mean, standard deviation) of a measured column: merged from what the newest record keeps of each part, without reading rows."""
+        record = self._records(name).last()[1] or {}
+        if column not in self._spec(name).measured:
+            raise ValueError(f"{column} is not measured")
+        return merged_moments(list(record.get("stats", {}).get(column, {}).values()))
+
     def _filtered(self, name: str, where: dict | None) -> DataFrame:
         spec = self._spec(name)
         for k in where or {}:
