@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,6 +127,30 @@ def children(window: str) -> list[str]:
     return [f"{y:04d}-{m:02d}-{x:02d}" for x in range(1, calendar.monthrange(y, m)[1] + 1)]
 
 
+class WindowChildren:
+    """(child) of a window: ``children`` as a table function, so that windows split in tasks, by lateral join."""
+
+    def eval(self, window: str):
+        for child in children(window) if window else ():
+            yield (child,)
+
+
+def split_windows(windows: DataFrame, column: str = "window") -> DataFrame:
+    """The rows of windows that can be split, once for each part, with the part as ``child``."""
+    part = F.udtf(WindowChildren, returnType="child string", useArrow=True)
+    return windows.lateralJoin(part(F.col(column).outer()))
+
+
+def window_tree(spans: DataFrame, column: str = "window") -> DataFrame:
+    """All windows below some, level by level, with ``level`` (0 for those given): years, quarters, months, days."""
+    level = spans.withColumn("level", F.lit(0))
+    out = [level]
+    for _ in range(4):
+        level = split_windows(level, column).withColumns({column: F.col("child"), "level": F.col("level") + 1}).drop("child")
+        out.append(level)
+    return reduce(DataFrame.unionByName, out)
+
+
 def query_text(base: Column, band: Column, created: Column) -> Column:
     """The source query that a window stands for."""
     stars = F.concat(F.lit("stars:"), band)
