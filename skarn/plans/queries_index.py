@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skarn.functions import scoring
-from skarn.operators import bitmaps, filters, postings, search
+from skarn.operators import bitmaps, filters, postings, search, vectors
 from skarn.operators.search import SEARCHABLE
 from skarn.plans import queries_more, queries_search  # noqa: F401  their twins are used here
 from skarn.plans.queries_search import FACETS, MOMENTUM_SQL, VISIBLE, facets_sql
@@ -98,3 +98,36 @@ def s9_s10_search_pages(spark, d):
     read = spark.read.format("search_pages").option("path", path).option("abort", "false").load()
     whole, bad = F.col("place").isNull(), F.col("error").isNotNull()
     return read.groupBy(F.col("page").cast("long").alias("page")).agg(F.count_if(~whole & ~bad).alias("good"), F.count_if(~whole & bad).alias("bad"), F.bool_or(whole).alias("aborted"), F.sum("stars").alias("stars"))
+
+
+def vector_lists(spark, d):
+    v = table(spark, d, "embeddings")
+    return vectors.build(v, shared_path(spark, "lists"))
+
+
+@query("SELECT count(*) FILTER (vec_id % 50 = 0) * least(10, count(*) - 1) AS asked, true AS enough FROM embeddings")
+def r25_vector_lists(spark, d):
+    """The index's answers to the stated queries held against the exact ones: recall at 10 of 0.95 or more.
+
+    These vectors are random and form no clusters, so four fifths of the lists are probed; real ones need a few.
+    """
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id % 50 = 0")
+    true = search.nearest(asked, v)
+    lists = vector_lists(spark, d)
+    found = lists.nearest(asked, probes=-(-4 * len(lists.centre) // 5))
+    return vectors.recall(found, true).join(true.agg(F.count(F.lit(1)).alias("asked"))).select("asked", (F.col("recall") >= 0.95).alias("enough"))
+
+
+HYBRID_SQL = """SELECT id, round(coalesce(1.0 / (1 + rank), 0) * 0.5 + coalesce(cosine, 0) * 0.5, 6) AS score FROM hits FULL JOIN near USING (id) ORDER BY score DESC, id LIMIT 10"""
+
+
+@query(TOOLS_SQL + f""", hits AS (SELECT id, {queries_search.rank_sql('ring')} AS rank FROM tools WHERE {queries_search.match_sql('ring')}), q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+near AS (SELECT vec_id AS id, list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i]::DOUBLE * embedding[i]::DOUBLE)) /
+  (sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS cosine FROM q, embeddings WHERE vec_id <> 0 ORDER BY cosine DESC, vec_id LIMIT 50)
+""" + HYBRID_SQL)
+def r25_hybrid(spark, d):
+    """Keyword hits from the inverted index and the vectors nearest to one, in one list."""
+    v = table(spark, d, "embeddings")
+    near = search.nearest(v.where("vec_id = 0"), v, 50).select(F.col("vec_id").alias("id"), "cosine")
+    return search.hybrid(tools_index(spark, d).matches("ring"), near).select("id", F.round("score", 6).alias("score"))
