@@ -37,8 +37,8 @@ from .common import shared_path
 WIDTH = 64
 #: Stored bytes after which a task begins a new archive.
 ARCHIVE_BYTES = 64 << 20
-#: Stored bytes of a read partition.
-RANGE_BYTES = 16 << 20
+#: Stored bytes of a read partition, and partitions of a read, about: beyond so many, ranges grow with what is stored.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 100_000
 #: Payload bytes of an Arrow batch, about.
 BATCH_BYTES = 4 << 20
 RETRIES = 3
@@ -188,7 +188,8 @@ class MediaReader(DataSourceReader):
         files, folder = _open(self.uri)
         with files.open_input_stream(f"{folder}/{MANIFEST}") as f:
             listed = json.loads(f.read())
-        ranges = [Range(name, at, at + self.most) for name, size in listed for at in range(0, size, self.most)]
+        most = max(self.most, sum(size for _, size in listed) // MOST_RANGES)
+        ranges = [Range(name, at, at + most) for name, size in listed for at in range(0, size, most)]
         return ranges or [Range("", 0, 0)]
 
     def read(self, partition: Range):

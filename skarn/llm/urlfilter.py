@@ -9,7 +9,8 @@ if one is blocked, else allow.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, no aliases and
 the verdict allow; null html names no aliases; repeated rows are judged alike; an empty table gives no
-rows; other columns are not read. A target url that is no page itself still has its rule and counts.
+rows; other columns are not read. A target url that is no page itself still has its rule and counts. Relative targets
+resolve against the page's own url: a ``<base>`` element changes nothing.
 Everything is DataFrame functions: no Python runs on the executors.
 """
 from __future__ import annotations

@@ -184,3 +184,11 @@ def test_query_has_the_planted_conversation(spark, sf):
     assert rows[-7].n_turns == 2 and rows[-7].loss_sha256 == hashlib.sha256(text.encode()).hexdigest() and rows[-7].loss_chars == len(text)
     assert rows[-7].turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert os.path.isdir(sf) and len(rows) == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count() + 1
+
+
+def test_chat_of_an_empty_table(spark):
+    none = chat.reply_chains(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert none.count() == 0 and chat.best_paths(none).count() == 0
+    paths = chat.best_paths(none).select(F.col("tree").alias("t"), F.col("node").alias("n"), "leaf", "pos")
+    turns = none.join(paths, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "pos", "role", "text")
+    assert chat.format_paths(turns).count() == 0
