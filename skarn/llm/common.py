@@ -51,9 +51,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def prefix_sums(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     """Adds the sums over all rows before each row in the order (a total one), by name.
 
-    The rows are dealt by ranges, each range is summed in itself, and only the ranges' totals, one row for
-    each partition, meet in one task.
+    Up to BROADCAST_ROWS rows (counted) are summed in one task. More are dealt by ranges, each range is summed in itself, and
+    only the ranges' totals, one row for each partition, meet in one task.
     """
+    df = checkpointed(df)
+    if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({k: F.coalesce(F.sum(c).over(upto), F.lit(0).cast("long")) for k, c in sums.items()})
     (part,) = fresh(df, "part")
     rows = df.withColumns({f"_{k}": c for k, c in sums.items()}).repartitionByRange(*order)
     rows = checkpointed(rows.withColumn(part, F.spark_partition_id()))

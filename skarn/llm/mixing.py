@@ -28,6 +28,8 @@ REPEATS = 3
 SEED = 17
 #: Documents in a bucket of the prefix sums, about.
 BUCKET_ROWS = 4096
+#: Copies of a row that one task makes, at most.
+COPIES = 512
 
 
 def targets(sources: DataFrame, repeats: int = REPEATS) -> DataFrame:
@@ -204,7 +206,13 @@ def mixed_documents(docs: DataFrame, by_shard: bool = False, **how) -> DataFrame
         again = rows.join(repeated, same, "left_semi").groupBy("from", "own").agg(F.min("doc").alias("doc"))
         rows = rows.join(repeated, same, "left_anti").unionByName(again)
     joined = rows.join(plan, (F.col("own") == F.col("h")) & F.col("from").eqNullSafe(F.col("source")))
-    joined = joined.select("doc", F.explode("pieces").alias("p")).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("p.n"))))
+    joined = joined.select("doc", F.explode("pieces").alias("p")).withColumn("n", F.col("p.n"))
+    zero = F.lit(0).cast("long")
+    if not plan.where(F.exists("pieces", lambda p: p.n > COPIES)).isEmpty():
+        # what goes out very often is dealt to tasks before its copies are made
+        dealt = joined.withColumn("part", F.explode(F.sequence(zero, F.floor((F.col("n") - 1) / COPIES))))
+        joined = dealt.withColumn("n", F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES)).repartition(F.col("doc.doc_id"), F.col("part")).drop("part")
+    joined = joined.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     words = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.col("p.cut.from_word").cast("int") + 1, F.col("p.cut.words").cast("int")), " ")
     is_cut = F.col("p.cut").isNotNull()
     out = joined.withColumn("words", F.when(is_cut, words).otherwise(F.col("doc.text"))).withColumn("is_cut", is_cut)

@@ -80,6 +80,8 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     placed = rows.join(mapped, "leaf").select(key, "n_bytes", "shard", "shard_bits", "shard_bytes")
     if over.isEmpty():
         return placed
+    # the partition is taken down before rows of one hash are brought together
+    rows = rows.withColumn("pid", F.spark_partition_id())
     return placed.unionByName(_deep(rows.join(small(over), "leaf", "left_semi"), key, high, limit))
 
 
@@ -96,8 +98,8 @@ def _deep(rows: DataFrame, key: str, low: int, limit: int) -> DataFrame:
     if own is not None:
         parts.append(own.select(key, "n_bytes", "at.*").join(directory.where("fits"), ["bits", "prefix"]).select(key, "n_bytes", *entry, "shard_bytes"))
     same = rows.join(directory.where(~F.col("fits")).select(F.col("prefix").alias("h")), "h", "left_semi")
-    # rows of one hash: numbered inside the input partition first, then offset by the partitions before it
-    same = checkpointed(same.withColumn("pid", F.spark_partition_id()).withColumn("big", F.col("n_bytes") > limit // 2))
+    # rows of one hash: numbered inside the input partition (pid) first, then offset by the partitions before it
+    same = checkpointed(same.withColumn("big", F.col("n_bytes") > limit // 2))
     size = F.when(F.col("big"), F.lit(1)).otherwise(F.col("n_bytes"))
     inner = Window.partitionBy("h", "big", "pid").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("h", "big").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -192,3 +192,12 @@ def test_chat_of_an_empty_table(spark):
     paths = chat.best_paths(none).select(F.col("tree").alias("t"), F.col("node").alias("n"), "leaf", "pos")
     turns = none.join(paths, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "pos", "role", "text")
     assert chat.format_paths(turns).count() == 0
+
+
+def test_copies_of_a_repeated_row_are_dealt_to_tasks(spark, monkeypatch):
+    rows = [(1, "a b c d", "s")] * 90 + [(i, f"w{i} x y z", "s") for i in range(2, 12)] + [(99, "q r", "t")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter(map(tuple, mixing.mixed_documents(docs).select("doc_id", "text", "source").collect()))
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    assert Counter(map(tuple, mixing.mixed_documents(docs).select("doc_id", "text", "source").collect())) == want
+    assert max(want.values()) > 40
