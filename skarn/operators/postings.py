@@ -48,7 +48,7 @@ def build(df: DataFrame, path: str, key: str = "id", fields: Sequence[str] = SEA
     every = terms(CHUNK, r"\s+").unionByName(terms(WORD, r"[^\p{L}\p{N}]+")).where("term <> ''")
     rows = every.groupBy("kind", "term", "field", "id").agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("places"))
     _write(rows, "term", f"{path}/postings", buckets, ["kind", "term", "field"], F.xxhash64("id"))
-    known = df.sparkSession.read.parquet(f"{path}/postings").select("kind", "term").distinct()
+    known = df.sparkSession.read.schema("kind int, term string, bucket int").parquet(f"{path}/postings").select("kind", "term").distinct()
     parts = lambda n: F.when(F.length("term") >= n, F.transform(F.sequence(F.lit(1), F.length("term") - n + 1), lambda i: F.substr("term", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     grams = known.select("kind", "term", F.explode(F.array_distinct(F.concat(*[parts(n) for n in range(1, GRAM + 1)]))).alias("gram"))
     _write(grams, "gram", f"{path}/grams", buckets, ["kind", "gram"], F.xxhash64("term"))
@@ -61,7 +61,11 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str, fields: int = len(SEARCHABLE), buckets: int = BUCKETS):
         self.fields, self.buckets = fields, buckets
-        self.postings, self.grams, self.ids = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "grams", "ids"))
+        self.ids = spark.read.parquet(f"{path}/ids")
+        kind = self.ids.schema["id"].dataType.simpleString()
+        # an index of nothing has no files to tell the columns
+        self.postings = spark.read.schema(f"kind int, term string, field int, id {kind}, places array<int>, bucket int").parquet(f"{path}/postings")
+        self.grams = spark.read.schema("kind int, term string, gram string, bucket int").parquet(f"{path}/grams")
 
     def _with_grams(self, kind: int, grams: Sequence[str]) -> DataFrame:
         """(term, gram) of the terms that hold any of the grams, from their folders."""

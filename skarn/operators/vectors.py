@@ -61,7 +61,8 @@ def build(vectors: DataFrame, path: str, lists: int = 0) -> Lists:
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     # a long list isn't the work of one task
     some.withColumn("norm", norm).repartition("list", F.pmod(F.xxhash64("vec_id"), F.lit(4))).write.partitionBy("list").parquet(path)
-    return Lists(vectors.sparkSession.read.parquet(path), centre)
+    kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in ("vec_id", "embedding"))
+    return Lists(vectors.sparkSession.read.schema(f"{kinds}, norm double, list int").parquet(path), centre)
 
 
 class Lists:
