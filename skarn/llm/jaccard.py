@@ -61,8 +61,9 @@ SMALL_BUCKET = 128
 COMMON_FROM = 32
 #: Nodes whose documents are picked out before their shingles are made, at most: a broadcast of one doc_id each.
 PICKED = 1_000_000
-#: Blocks of a large bucket, or of its nodes outside of its main component, up to which these are compared with all.
-MEDIUM_BLOCKS, FEW_BLOCKS = 8, 2
+#: Blocks of a large bucket, or of its nodes outside of its main component, up to which these are compared with all: about as many
+#: rows for each node as a split makes.
+MEDIUM_BLOCKS, FEW_BLOCKS = 16, 16
 #: Shingles of common parts that are broadcast, at most.
 BROADCAST_SHINGLES = 1_000_000
 #: Nodes of a block of the exact check, about.
@@ -243,9 +244,9 @@ def _compared(rows: DataFrame, sketch: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows (path, node, c, ...) of buckets whose nodes lie in several components; adds main, the component with most of the bucket's nodes, and others, the number of nodes outside of it."""
+    """The rows (path, node, c, ...) of buckets whose nodes lie in several components; adds main, the component with most of the bucket's nodes, others, the number of nodes outside of it, and bucket, that of all."""
     size = rows.groupBy("path", "c").agg(F.count(F.lit(1)).alias("size"))
-    most = size.groupBy("path").agg(F.max_by("c", F.struct("size", "c")).alias("main"), (F.sum("size") - F.max("size")).alias("others"))
+    most = size.groupBy("path").agg(F.max_by("c", F.struct("size", "c")).alias("main"), (F.sum("size") - F.max("size")).alias("others"), F.sum("size").alias("bucket"))
     return checkpointed(rows.join(checkpointed(most.where("others > 0")), "path"))
 
 
@@ -261,8 +262,8 @@ def _across(every: DataFrame, some: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def _rests(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(path, node, c, n, common, rest) of mixed large buckets: a node's shingles beyond the common part, and how many are common.
+def _named(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, node, c) of large buckets by their common part, and the common parts (path, shared).
 
     The common part is what most of some COMMON_FROM nodes of the bucket have; path becomes a hash of it, so
     buckets with the same common part are one. Any common part gives right results; this one gives small rests.
@@ -271,12 +272,18 @@ def _rests(rows: DataFrame, sets: DataFrame) -> DataFrame:
     size = some.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
     often = some.join(sets, "node").select("path", F.explode("tokens").alias("token")).groupBy("path", "token").agg(F.count(F.lit(1)).alias("k")).join(size, "path").where("2 * k > size")
     common = often.groupBy("path").agg(F.sort_array(F.collect_list("token")).alias("shared"))
-    common = checkpointed(rows.select("path").distinct().join(common, "path", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>"))))
+    common = rows.select("path").distinct().join(common, "path", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
+    common = checkpointed(common.withColumn("name", F.xxhash64("shared")))
+    names = small(common.select("path", "name"))
+    named = rows.join(names, "path").select(F.col("name").alias("path"), "node", "c").distinct()
+    return checkpointed(named), checkpointed(common.dropDuplicates(["name"]).select(F.col("name").alias("path"), "shared"))
+
+
+def _rests(named: DataFrame, common: DataFrame, sets: DataFrame) -> DataFrame:
+    """(path, node, c, n, common, rest): a node's shingles beyond its bucket's common part, and how many are common."""
     total = common.agg(F.coalesce(F.sum(F.size("shared")), F.lit(0)) + F.count(F.lit(1))).first()[0]
-    named = rows.join(F.broadcast(common) if total <= BROADCAST_SHINGLES else common, "path")
-    named = named.select(F.xxhash64("shared").alias("path"), "node", "c", "shared").dropDuplicates(["path", "node"])
-    rest = F.array_except("tokens", "shared")
-    out = named.join(sets, "node").select("path", "node", "c", F.size("tokens").alias("n"), rest.alias("rest"))
+    rows = named.select("path", "node", "c").join(F.broadcast(common) if total <= BROADCAST_SHINGLES else common, "path")
+    out = rows.join(sets, "node").select("path", "node", "c", F.size("tokens").alias("n"), F.array_except("tokens", "shared").alias("rest"))
     return checkpointed(out.withColumn("common", F.col("n") - F.size("rest")))
 
 
@@ -310,7 +317,14 @@ def candidates(nodes: DataFrame, sets) -> DataFrame:
         found.append(_compared(rows.select("path", F.col("block").alias("i"), F.col("block").alias("j"), "node", "c"), sketch))
         member = components(reduce(DataFrame.unionByName, found))
         rows = rows.drop("c").join(member, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        rows = _mixed(checkpointed(rows))
+        rows = _mixed(checkpointed(rows.drop("bucket")))
+        if rows.isEmpty():
+            break
+        if known is None:
+            known = checkpointed(sets(rows.select("node").distinct()))
+            sketch = checkpointed(sketch.join(known.select("node"), "node", "left_semi"))
+        named, common = _named(rows, known)
+        rows = _mixed(named)
         ready = (F.col("bucket") <= MEDIUM_BLOCKS * SMALL_BUCKET) | (F.col("others") <= FEW_BLOCKS * SMALL_BUCKET)
         now = rows.where(~ready).count()
         stuck = before is not None and 2 * now > before
@@ -318,11 +332,8 @@ def candidates(nodes: DataFrame, sets) -> DataFrame:
         found.append(_compared(_across(some, some.where(outside)), sketch))
         if stuck or not now:
             break
-        before, rows = now, rows.where(~ready).drop("main", "others")
-        if known is None:
-            known = checkpointed(sets(rows.select("node").distinct()))
-            sketch = checkpointed(sketch.join(known.select("node"), "node", "left_semi"))
-        rests = _rests(rows, known)
+        before = now
+        rests = _rests(rows.where(~ready), common, known)
         # linked by common shingles alone: one of the two is nearly all common
         able = _mixed(rests.where(NUMERATOR * F.col("n") <= DENOMINATOR * F.col("common")))
         core = (NUMERATOR + DENOMINATOR) * F.col("common") >= 2 * NUMERATOR * F.col("n")

@@ -97,7 +97,8 @@ def test_rests_keep_threshold_pairs(spark, share):
         part = np.concatenate((common, own))[rng.permutation(n)[drop:]] if share < 0.8 else np.concatenate((common, own[: max(0, len(own) - drop)]))
         rows += [(2 * k, np.concatenate((common, own)).tolist()), (2 * k + 1, part.tolist())]
     sets = spark.createDataFrame(rows, "node long, tokens array<long>")
-    rests = jaccard._rests(sets.select(F.lit(1).cast("long").alias("path"), "node", F.col("node").alias("c"), F.lit(2 * pairs).alias("bucket")), sets)
+    rows = sets.select(F.lit(1).cast("long").alias("path"), "node", F.col("node").alias("c"), F.lit(2 * pairs).alias("bucket"))
+    rests = jaccard._rests(*jaccard._named(rows, sets), sets)
     longer = jaccard._longer(rests)
     met = {r.pair for r in longer.groupBy("path", F.expr("node div 2").alias("pair")).count().where("count > 1").select("pair").distinct().collect()}
     able = {r.node // 2 for r in rests.where("4 * n <= 5 * common").collect()}
@@ -131,13 +132,13 @@ def test_a_template_s_buckets_are_split_until_they_are_small(spark, monkeypatch,
         return plain(rows, sketch)
 
     monkeypatch.setattr(jaccard, "_compared", counted)
-    for n in (1500, 3000):
+    for n in (2200, 4400):
         compared.append(0)
         rows = unlinked(share, n)
         got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         linked = {r.doc_id: r.class_id for r in got if r.n_links}
         assert linked == {k: k // 2 * 2 for k in range(40)}
-    assert compared[1] <= 2.4 * compared[0] and compared[1] <= 80 * 3000, compared
+    assert compared[1] <= 2.4 * compared[0] and compared[1] <= 80 * 4400, compared
 
 
 def template_corpus(n=1500, share=0.37, words=90):
