@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .textkernel import chunks, texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 #: Bytes of a word that takes the query for short words; bytes of the words of one query, about.
 SHORT = 40
 WORDS_AT_ONCE = 100_000
@@ -448,6 +448,7 @@ def encode_decode(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: st
                 else:
                     out += [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids)), pa.array([bytes(x) for x in decoded], pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, [*keys, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
+        pa.default_memory_pool().release_unused()  # the worker stays, with the words it has met
 
     return kept.mapInArrow(run, schema)
 

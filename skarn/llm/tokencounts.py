@@ -39,6 +39,7 @@ def lengths(docs: DataFrame, keys: tuple[str, ...] = (), text: str = "text", pat
                 part = batch.slice(a, b - a)
                 _, first = c.encode(*texts(part.column(text)))
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in keys] + [pa.array(np.diff(first))], [*keys, "n_tokens"])
+        pa.default_memory_pool().release_unused()
 
     return inner.mapInArrow(run, schema)
 
