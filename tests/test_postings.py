@@ -62,3 +62,14 @@ def test_only_the_terms_folders_are_read(spark, made):
 def test_an_index_of_nothing(spark, tmp_path):
     index = postings.build(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/i")
     assert index.matches("a").count() == 0 and index.matches("").count() == 0 and index.typos("abcd", 0).count() == 0
+
+
+def test_postings_are_packed_by_the_task(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"the the-x {i}") for i in range(600)], "id long, name string").repartition(3)
+    index = postings.build(df, f"file://{tmp_path}/p", buckets=4)
+    rows = index.postings.where("term IN ('the', 'the-x')").collect()
+    assert {r.term for r in rows} == {"the", "the-x"} and len(rows) <= 6, "a row for a term and task, not for each document"
+    assert sorted(i for r in rows if r.term == "the" for i in r.ids) == list(range(600))
+    places = index.of(spark.createDataFrame([("the",), ("5",)], "term string"), postings.WORD).collect()
+    assert {(r.term, tuple(r.places)) for r in places} == {("the", (1, 2)), ("5", (4,))} and len(places) == 601
+    assert sorted(r.id for r in index.matches("e-x 59").collect()) == [i for i in range(600) if "59" in str(i)]
