@@ -44,19 +44,19 @@ def kept_path(spark: SparkSession, sf_dir: str, name: str, make, sources: tuple[
     return _KEPT[key]
 
 
-def _kept(spark: SparkSession, sf_dir: str, name: str, make, rebuild: bool) -> DataFrame:
-    """A model is made once for a state of its tables, as a table in the shared folder; queries read that."""
-    return spark.read.parquet(kept_path(spark, sf_dir, name, lambda path: make(spark, sf_dir).write.parquet(path), rebuild=rebuild))
+#: The columns that make_tools adds.
+SCORES = ("popularity", "activity", "adoption", "quality", "quality_coverage", "raw_momentum", "score_total")
 
 
 def repos(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
-    """Write-model rows, kept as a table."""
-    return _kept(spark, sf_dir, "repos", make_repos, rebuild)
+    """Write-model rows: the read model's table without its scores, so texts are stored once."""
+    return tools(spark, sf_dir, rebuild).drop(*SCORES)
 
 
 def tools(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
-    """Read-model rows, kept as a table: filters and columns of a query reach its scan."""
-    return _kept(spark, sf_dir, "tools", lambda s, d: make_tools(repos(s, d, rebuild)), rebuild)
+    """Read-model rows, made once for a state of their tables and kept as a table in the shared folder: filters and columns of a query reach its scan."""
+    make = lambda path: make_tools(make_repos(spark, sf_dir)).write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(kept_path(spark, sf_dir, "tools", make, rebuild=rebuild))
 
 
 def make_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
