@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from skarn.sources.shared import written
 
 from . import filters
+from .vectors import BLOCK, best
 
 #: Searched attributes by weight, values of a facet at most, and word lengths from which typos are allowed.
 SEARCHABLE = ("name", "full_name", "summary", "description", "github_topics", "readme_excerpt")
@@ -259,18 +260,15 @@ def suggest_queries(queries: DataFrame, vocabulary: DataFrame, n: int = 4) -> Da
 def nearest(queries: DataFrame, vectors: DataFrame, n: int = 10, blocks: int | None = None) -> DataFrame:
     """(query_id, vec_id, cosine, place): the n vectors nearest to each query, by exact comparison with all.
 
-    The stated queries are compared with every vector in blocks (as many as shuffle partitions, unless
-    given): each block of vectors meets all queries and keeps its own n best before the blocks are merged.
+    The stated queries are compared with every vector in blocks (of vectors.BLOCK vectors and queries, unless
+    there are given ``blocks``): each block of vectors meets all queries and keeps its own n best before the blocks are merged.
     """
-    unit = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.sqrt(unit(F.col("embedding"))).alias("qn")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    v = vectors.select("vec_id", F.col("embedding").alias("v"), F.sqrt(unit(F.col("embedding"))).alias("vn")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    met = q.join(v, "block").where("query_id <> vec_id").select("query_id", "vec_id", "block", F.try_divide(dot, F.col("qn") * F.col("vn")).alias("cosine"))
-    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("cosine"), "vec_id"))
-    local = met.withColumn("r", best("query_id", "block")).where(F.col("r") <= n)
-    return local.withColumn("place", best("query_id")).where(F.col("place") <= n).select("query_id", "vec_id", "cosine", "place")
+    blocks = blocks or -(-vectors.count() // BLOCK) or 1
+    groups = -(-queries.count() // BLOCK) or 1
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("part")).withColumn("block", every(blocks))
+    v = vectors.select("vec_id", F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).withColumn("part", every(groups))
+    return best(q, v, ["block", "part"], n)
 
 
 def sidebar(labels: DataFrame, selected: dict[str, Sequence[str]], n: int | None = None) -> DataFrame:
