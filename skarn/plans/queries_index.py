@@ -93,9 +93,9 @@ def s9_s10_search_pages(spark, d):
     page = F.expr("o_orderkey div 100")
     name = F.when((page % 13 == 0) | (k % 7 == 0), "nobody").otherwise(F.concat(F.lit("o/r"), k.cast("string")))
     items = table(spark, d, "orders").groupBy(page.alias("page")).agg(F.count(F.lit(1)).alias("total_count"), F.collect_list(F.struct(name.alias("full_name"), k.alias("stargazers_count"))).alias("items"))
-    items.select("page", F.to_json(F.struct("total_count", "items")).alias("value")).repartition("page").write.partitionBy("page").text(path)
+    items.select(F.to_json(F.struct("page", "total_count", "items")).alias("value")).write.option("maxRecordsPerFile", 2_000).text(path)
     spark.dataSource.register(SearchPages)
-    read = spark.read.format("search_pages").option("path", path).option("abort", "false").load()
+    read = spark.read.format("search_pages").option("path", path).option("abort", "false").option("lines", "true").load()
     whole, bad = F.col("place").isNull(), F.col("error").isNotNull()
     return read.groupBy(F.col("page").cast("long").alias("page")).agg(F.count_if(~whole & ~bad).alias("good"), F.count_if(~whole & bad).alias("bad"), F.bool_or(whole).alias("aborted"), F.sum("stars").alias("stars"))
 

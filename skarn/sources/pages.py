@@ -1,14 +1,16 @@
-"""Recorded search pages as a Spark data source: a partition for each page, items checked one by one.
+"""Recorded search pages as a Spark data source: partitions of whole files, items checked one by one.
 
     spark.dataSource.register(SearchPages)
     spark.read.format("search_pages").option("path", "/data/pages").load()
 
-A page is a JSON file {"total_count": n, "items": [...]}, named by its file or, as Spark writes it, by its folder ``page=``. An item is good if it has a full name of the form owner/name, a whole
+A page is a JSON file {"total_count": n, "items": [...]}, named by its file or, as Spark writes it, by its folder ``page=``. With option ``lines`` true, files have
+many pages, one on each line, with their name as "page"; many pages then need few files. An item is good if it has a full name of the form owner/name, a whole
 number of stars that isn't negative and, if any, a list of texts as topics; others come with what is wrong with them. A page whose items are all
 bad, or which can't be read, says that the source has changed: it fails the read, or with option ``abort`` false is one row with the error.
 """
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator
@@ -32,30 +34,52 @@ def violations(item) -> str | None:
     return ",".join(bad) or None
 
 
-class Page(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Bytes and files of a partition, about.
+PART_BYTES, PART_FILES = 16_000_000, 1_000
+
+
+class Pages(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class PagesReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.abort = options["path"], str(options.get("abort", "true")).lower() != "false"
+        on = lambda name, default: str(options.get(name, default)).lower() != "false"
+        self.path, self.abort, self.lines = options["path"], on("abort", "true"), on("lines", "false")
 
     def _fs(self) -> tuple[pafs.FileSystem, str]:
         return pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
 
     def partitions(self) -> list[InputPartition]:
         fs, root = self._fs()
-        return [Page(f.path) for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.base_name[0] not in "._"]
-
-    def read(self, partition: Page) -> Iterator[tuple]:
+        out, held, size = [], [], 0
+        for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)):
+            if not f.is_file or f.base_name[0] in "._":
+                continue
+            if held and (size + f.size > PART_BYTES or len(held) == PART_FILES):
+                out.append(Pages(held))
+                held, size = [], 0
+            held.append(f.path)
+            size += f.size
+        return [*out, Pages(held)]
+
+    def read(self, partition: Pages) -> Iterator[tuple]:
         fs, _ = self._fs()
-        *_, folder, file = partition.path.split("/")
-        name = folder.removeprefix("page=") if folder.startswith("page=") else file.removesuffix(".json")
-        with fs.open_input_stream(partition.path) as f:
-            raw = f.read()
+        for path in partition.paths:
+            *_, folder, file = path.split("/")
+            with fs.open_input_stream(path) as f:
+                if self.lines:
+                    for n, line in enumerate(io.BufferedReader(f)):
+                        if line.strip():
+                            yield from self._page(f"{file}:{n + 1}", line)
+                else:
+                    yield from self._page(folder.removeprefix("page=") if folder.startswith("page=") else file.removesuffix(".json"), f.read())
+
+    def _page(self, name: str, raw: bytes) -> Iterator[tuple]:
         try:
             page = json.loads(raw)
+            name = str(page["page"]) if self.lines else name
             items, total = page["items"], page.get("total_count")
             if not isinstance(items, list):
                 raise TypeError("items")

@@ -66,3 +66,25 @@ def test_kept_moments_equal_a_full_pass_after_random_writes(spark, tmp_path):
     assert scoring.merged_moments([(0, None, None)]) == (0, None, None)
     with pytest.raises(ValueError):
         s.statistics("c", "g")
+
+
+def test_many_pages_in_few_files_and_partitions(spark, tmp_path):
+    lines = [json.dumps({"page": i, "total_count": 1, "items": [GOOD] if i % 7 else [{}]}) for i in range(3000)] + ["", "{", json.dumps({"items": []})]
+    (tmp_path / "p.txt").write_text("\n".join(lines))
+    spark.dataSource.register(SearchPages)
+    read = spark.read.format("search_pages").option("path", str(tmp_path)).option("lines", "true")
+    got = read.option("abort", "false").load()
+    assert got.rdd.getNumPartitions() == 1
+    rows = {(r.page, r.place): r for r in got.collect()}
+    assert len(rows) == 3002 and rows["8", 0].full_name == "a/b" and rows["7", None].error.startswith("all 1")
+    assert {k: r.error for k, r in rows.items() if ":" in k[0]} == {("p.txt:3002", None): "unreadable: JSONDecodeError", ("p.txt:3003", None): "unreadable: KeyError"}
+    with pytest.raises(Exception, match="page 0"):
+        read.option("abort", "true").load().collect()
+
+
+def test_small_pages_share_a_partition(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"items": [GOOD]}))
+    spark.dataSource.register(SearchPages)
+    got = spark.read.format("search_pages").option("path", str(tmp_path)).load()
+    assert got.rdd.getNumPartitions() == 1 and got.count() == 40
