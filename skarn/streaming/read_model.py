@@ -47,12 +47,14 @@ class ReadModel:
         """
         changed = journal.changed_only(events, "RepoFetched").select(F.col("repo").alias("full_name")).distinct()
         stored = self.store.read(self.name).select("full_name", "document_id", F.col("content_hash").alias("stored_hash"))
-        mine = written(self.artifacts().join(changed, "full_name", "left_semi"), "changed")
         known = written(stored.join(changed, "full_name", "left_semi"), "known")
-        todo = mine.join(known.select("full_name", "stored_hash"), "full_name", "left").where(~F.col("content_hash").eqNullSafe(F.col("stored_hash"))).drop("stored_hash")
+        artifacts = self.artifacts()
+        todo = artifacts.join(changed, "full_name", "left_semi").join(known.select("full_name", "stored_hash"), "full_name", "left").where(~F.col("content_hash").eqNullSafe(F.col("stored_hash"))).drop("stored_hash")
         good, bad = self.projected(todo)
-        good, bad = written(good, "good"), written(bad.select("full_name", "content_hash", F.array_join("violations", ",").alias("error")), "bad")
-        gone = known.join(mine.select("full_name"), "full_name", "left_anti").select("full_name", "document_id")
+        # only what the store and the outcome need is written, so the texts meet the joins before the analysis at most
+        good = written(good.select(*dict.fromkeys(c for c in (*self.store.read(self.name).columns, "full_name", "content_hash", "confidence") if c in good.columns)), "good")
+        bad = written(bad.select("full_name", "content_hash", F.array_join("violations", ",").alias("error")), "bad")
+        gone = known.join(artifacts.select("full_name"), "full_name", "left_anti").select("full_name", "document_id")
         gone = gone.unionByName(known.join(bad.select("full_name"), "full_name", "left_semi").select("full_name", "document_id"))
         if not (good.isEmpty() and gone.isEmpty()):
             self.store.put(self.name, good, gone.select("document_id"))

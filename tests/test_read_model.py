@@ -26,3 +26,10 @@ def test_batches_end_at_a_full_rebuild_and_a_replay_changes_nothing(spark, sf, t
     event = spark.createDataFrame([("z", "RepoFetched", first[2], True)], "id string, type string, repo string, changed boolean")
     assert model.refresh(event).count() == 0
     assert table(model.store) == kept[1:]
+
+
+def test_the_third_state_needs_no_join(spark, sf):
+    from skarn.plans.queries_ingest import artifacts
+
+    third = queries_model.states_of(artifacts(spark, sf))[2]
+    assert "Join" not in third._jdf.queryExecution().optimizedPlan().toString()
