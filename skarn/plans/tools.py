@@ -44,6 +44,15 @@ def kept_path(spark: SparkSession, sf_dir: str, name: str, make, sources: tuple[
     return _KEPT[key]
 
 
+#: Bytes of a table's files for each partition of its shuffle, about.
+PARTITION_BYTES = 16 << 20
+
+
+def partitions_of(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Partitions that grow with a table, so that a task's rows and what it keeps of them don't; not fewer than there are cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-source_state(spark, sf_dir, (name,))[0][0] // PARTITION_BYTES))
+
+
 #: The columns that make_tools adds.
 SCORES = ("popularity", "activity", "adoption", "quality", "quality_coverage", "raw_momentum", "score_total")
 
@@ -62,10 +71,12 @@ def tools(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
 def make_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write-model rows: one for each part, with its line items folded and its document's text.
 
-    Line items are aggregated before the join, so the join sees one row for each part.
+    Line items are aggregated before the join, so the join sees one row for each part. A part and a supplier seldom meet twice, so nothing
+    is folded before the shuffle: rows of five narrow columns are shuffled once, and all aggregates and the joins keep their partitions.
     """
-    line = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
-        F.sum("l_quantity").cast("long").alias("stars"), F.count(F.lit(1)).alias("forks"), F.count_if(F.col("l_returnflag") == "R").alias("open_issues"),
+    row = ("l_partkey", "l_suppkey", "l_quantity", "l_shipdate", (F.col("l_returnflag") == "R").alias("returned"))
+    line = table(spark, sf_dir, "lineitem").select(*row).repartition(partitions_of(spark, sf_dir, "lineitem"), "l_partkey").groupBy("l_partkey").agg(
+        F.sum("l_quantity").cast("long").alias("stars"), F.count(F.lit(1)).alias("forks"), F.count_if("returned").alias("open_issues"),
         F.countDistinct("l_suppkey").alias("dependents"), F.max("l_shipdate").alias("pushed_at"), F.min("l_shipdate").alias("created_at"),
         F.count_if(F.col("l_shipdate") > F.lit("2000-12-31").cast("timestamp_ntz")).alias("releases_12m"),
     )
