@@ -1,4 +1,5 @@
-"""Facet counts from bitmaps: documents have numbers, and each value of a facet a bitmap of its documents for every 32,768 numbers.
+"""Facet counts from bitmaps: documents have numbers, and each value of a facet a bitmap of its documents for every 32,768 numbers. A task numbers its
+rows from a start of its own, so the last block of each task is a part of one.
 
 A request makes one bitmap of its own: values of one attribute are united, attributes intersected, any other filter turned
 into bits by the documents' ids. Counts are bits of the intersections, so no document's attributes are read. Meant for attributes with few
@@ -12,15 +13,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .filters import numbered, values_of
+from .filters import values_of
 from .search import MAX_FACET_VALUES
 
 
 def build(df: DataFrame, path: str, attributes: Sequence[str], key: str = "id") -> FacetIndex:
-    """Writes the numbers of the documents, and the bitmaps by attribute, to a new folder."""
-    rows = numbered(df.select(F.col(key).alias("id"), *[F.transform(F.array_distinct(values_of(df, a)), lambda x: x.cast("string")).alias(f"a{i}") for i, a in enumerate(attributes)]), [F.col("id")], "number")
+    """Writes the numbers of the documents with their values, and the bitmaps by attribute, to a new folder."""
+    values = [F.transform(F.array_distinct(values_of(df, a)), lambda x: x.cast("string")).alias(f"a{i}") for i, a in enumerate(attributes)]
+    # numbers by task and row need no order; they are written with the values once, so both are read from there
+    df.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("number"), *values).write.option("compression", "zstd").parquet(f"{path}/numbers")
+    rows = df.sparkSession.read.parquet(f"{path}/numbers")
     pairs = [F.transform(f"a{i}", _named(a)) for i, a in enumerate(attributes)]
-    rows.select("id", "number").write.parquet(f"{path}/numbers")
     flat = rows.select("number", F.explode(F.array_distinct(F.concat(*pairs))).alias("p")).select("number", "p.attribute", "p.value")
     _bits(flat, "attribute", "value").repartition("attribute", "value").sortWithinPartitions("value", "block").write.partitionBy("attribute").parquet(f"{path}/bitmaps")
     return FacetIndex(df.sparkSession, path)
@@ -39,7 +42,7 @@ class FacetIndex:
     """Reads what ``build`` has written."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.numbers = spark.read.parquet(f"{path}/numbers")
+        self.numbers = spark.read.parquet(f"{path}/numbers").select("id", "number")
         self.bitmaps = spark.read.schema("value string, block long, bits binary, attribute string").parquet(f"{path}/bitmaps")
 
     def of_values(self, attribute: str, values: Sequence[str]) -> DataFrame:

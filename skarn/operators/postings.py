@@ -1,7 +1,7 @@
 """A positional inverted index for search: which documents hold a token, in which field and where.
 
-Three tables in one folder: postings (a term's documents in a field, with their places), in folders by a checksum of the term and
-sorted by it; the distinct terms; and the documents' ids. Terms are of two kinds: words of letters and digits (with their places, for typos,
+Three tables in one folder: postings (a term's documents in a field, with their places), in folders by a checksum of the
+term; the distinct terms; and the documents' ids. Terms are of two kinds: words of letters and digits (with their places, for typos,
 prefixes and distances), and what stands between white space and isn't such a word (without places). A query's token is a part of a term of
 either kind. A query finds its terms in the table of terms, which is much smaller than the texts, and then reads the postings of these terms only.
 
@@ -50,8 +50,8 @@ def build(df: DataFrame, path: str, key: str = "id", fields: Sequence[str] = SEA
         chunks, words = F.split(text_of(df, f), r"\s+"), F.split(text_of(df, f), rf"{OTHER}+")
         text += [F.struct(F.lit(fields.index(f)).alias("field"), F.lit(kind).alias("kind"), tokens.alias("tokens")) for kind, tokens in ((CHUNK, F.filter(chunks, lambda t: t.rlike(OTHER))), (WORD, words))]
     rows = _packed(df.select(F.col(key).alias("id"), F.inline(F.array(*text))), len(fields))
-    rows = rows.withColumn("bucket", _bucket("term", buckets)).sortWithinPartitions("bucket", "kind", "term", "field")
-    rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
+    # the write sorts by folder, one small number; an order of terms in a file would serve no reader
+    rows.withColumn("bucket", _bucket("term", buckets)).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
     known = df.sparkSession.read.schema("kind int, term string, bucket int").parquet(f"{path}/postings")
     known.groupBy("kind", "term").agg(F.first("bucket").alias("bucket")).write.option("compression", "zstd").parquet(f"{path}/terms")
     df.select(F.col(key).alias("id")).write.parquet(f"{path}/ids")
@@ -126,11 +126,13 @@ class Index:
             return words.where(F.col("term") == token).select("term")
         return words.where(F.length("term").between(len(token) - k, len(token) + k) & (F.levenshtein("term", F.lit(token), k) >= 0)).select("term")
 
-    def of(self, terms: DataFrame, kind: int) -> DataFrame:
-        """The postings of (term, ...), one row for a document, from the folders of these terms only."""
+    def of(self, terms: DataFrame, kind: int, places: bool = True) -> DataFrame:
+        """The postings of (term, ...), one row for a document, from the folders of these terms only; without places, these aren't read."""
         terms = written(terms, "terms")
         folders = [r[0] for r in terms.select(_bucket("term", self.buckets)).distinct().collect()]  # BUCKETS at most
         some = self.postings.where(F.col("bucket").isin(folders) & (F.col("kind") >= kind)).join(terms, "term")
+        if not places:
+            return some.select(*terms.columns, "field", F.explode("ids").alias("id"))
         before = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
         posting = F.transform("ids", lambda id_, i: F.struct(id_.alias("id"), F.slice("places", before(i) + 1, F.get("ends", i) - before(i)).alias("places")))
         return some.select(*terms.columns, "field", F.inline(posting))
@@ -142,11 +144,11 @@ class Index:
             return self.ids.select("id", F.lit(self.fields).alias("rank"))
         terms = reduce(DataFrame.unionByName, [self.containing(t).withColumn("token", F.lit(i)) for i, t in enumerate(asked)])
         every = reduce(lambda a, b: a & b, [F.bool_or(F.col("token") == i) for i in range(len(asked))])
-        return self.of(terms, CHUNK).groupBy("id").agg(every.alias("every"), F.min("field").alias("rank")).where("every").select("id", "rank")
+        return self.of(terms, CHUNK, False).groupBy("id").agg(every.alias("every"), F.min("field").alias("rank")).where("every").select("id", "rank")
 
     def typos(self, token: str, field: int) -> DataFrame:
         """(id): documents of which a word of the field is the token up to its typos."""
-        return self.of(self.near(token), WORD).where(F.col("field") == field).select("id").distinct()
+        return self.of(self.near(token), WORD, False).where(F.col("field") == field).select("id").distinct()
 
     def closeness(self, query: str, field: int) -> DataFrame:
         """(id, exact, prefix, gap) of the documents in which every token begins a word of the field.

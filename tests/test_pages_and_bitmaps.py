@@ -52,6 +52,16 @@ def test_bitmap_facets_equal_the_scan(spark, tmp_path):
     assert rows_of(index.facets(["domains"], None, 2)) == rows_of(search.facets(df, ["domains"], 2))
 
 
+def test_numbers_need_no_order_of_the_documents(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i}", "xy"[i % 2]) for i in range(100)], "id string, kind string").repartition(3)
+    index = bitmaps.build(df, f"file://{tmp_path}/b", ["kind"])
+    kept = spark.read.parquet(f"file://{tmp_path}/b/numbers")
+    assert "a0" in kept.columns, "values are kept with the numbers, so the documents are read once"
+    assert kept.select("number").distinct().count() == 100 and len({r.number >> 33 for r in kept.collect()}) == 3, "each task has numbers of its own"
+    rows = {(r.value, r.docs) for r in index.facets(["kind"], index.of_ids(df.where("id < 'k5'").select("id"))).collect()}
+    assert rows == {(r.kind, r["count"]) for r in df.where("id < 'k5'").groupBy("kind").count().collect()}
+
+
 def test_kept_moments_equal_a_full_pass_after_random_writes(spark, tmp_path):
     rng = random.Random(2)
     s = Store(spark, f"file://{tmp_path}/s")

@@ -73,3 +73,20 @@ def test_postings_are_packed_by_the_task(spark, tmp_path):
     places = index.of(spark.createDataFrame([("the",), ("5",)], "term string"), postings.WORD).collect()
     assert {(r.term, tuple(r.places)) for r in places} == {("the", (1, 2)), ("5", (4,))} and len(places) == 601
     assert sorted(r.id for r in index.matches("e-x 59").collect()) == [i for i in range(600) if "59" in str(i)]
+
+
+def test_matches_and_typos_read_no_places(made):
+    _, index = made
+    for found in (index.matches("ab b1"), index.typos("abab", 0)):
+        plan = found._jdf.queryExecution().toString()
+        assert "ids" in plan and "places" not in plan.split("Physical Plan")[1] and "ends" not in plan.split("Physical Plan")[1]
+
+
+def test_terms_are_not_compared_to_write_the_postings(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    sorts = []
+    monkeypatch.setattr(DataFrame, "sortWithinPartitions", lambda self, *c: sorts.append(c) or self)
+    df = spark.createDataFrame([(1, "b a a"), (2, "a-c b")], "id long, name string")
+    index = postings.build(df, f"file://{tmp_path}/i", buckets=4)
+    assert not sorts and sorted(r.id for r in index.matches("a").collect()) == [1, 2] and [r.id for r in index.matches("a-c").collect()] == [2]
