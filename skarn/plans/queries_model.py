@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from skarn.functions.text import content_hash
 from skarn.operators import journal
 from skarn.plans.queries_ingest import DERIVED_SQL, VOCABULARY, artifacts
-from skarn.plans.tools import now, table
+from skarn.plans.tools import now, partitions_of, table
 from skarn.queries import query
 from skarn.sources.shared import shared_path
 from skarn.sources.store import Collection, Store
@@ -60,12 +60,13 @@ def t17_streamed_repo_state(spark, d):
     kind = F.when(F.col("event_type") == "view", "RepoFetched").when(F.col("event_type") == "purchase", "RepoAnalyzed").otherwise("RepoSkipped")
     e = table(spark, d, "events").select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"), F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("repo"))
     inbox, out = shared_path(spark, "inbox"), shared_path(spark, "states")
-    e.repartition(4, F.xxhash64("id")).write.parquet(inbox)
+    half = -(-partitions_of(spark, d, "events") // 2)  # two batches of files, which grow in number with the events
+    e.repartition(2 * half, F.xxhash64("id")).write.parquet(inbox)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = spark.readStream.schema("id string, ts timestamp, type string, repo string").option("maxFilesPerTrigger", 2).parquet(inbox)
+        stream = spark.readStream.schema("id string, ts timestamp, type string, repo string").option("maxFilesPerTrigger", half).parquet(inbox)
         write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
         consumer.repo_states(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", shared_path(spark, "position")).trigger(availableNow=True).start().awaitTermination()
     finally:

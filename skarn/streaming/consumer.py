@@ -3,8 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,23 +38,22 @@ def follow(spark: SparkSession, path: str, schema: str, checkpoint: str, handle:
 
 
 class RepoState(StatefulProcessor):
-    """The latest event of a repository and the latest time of each type, kept by key; events may come in any order and more than once."""
+    """The latest event of a repository and the latest time (microseconds) of each type, kept by key; events may come in any order and more than once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "type string, id string")
-        self.times = handle.getMapState("times", "type string", "ts timestamp")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        last = self.last.get() if self.last.exists() else ("", "")
-        for some in rows:
-            for kind, ident, ts in zip(some["type"], some["id"], some["ts"], strict=True):
-                if ident > last[1]:
-                    last = (kind, ident)
-                if not self.times.containsKey((kind,)) or self.times.getValue((kind,))[0] < ts.to_pydatetime():
-                    self.times.updateValue((kind,), (ts.to_pydatetime(),))
-        self.last.update(tuple(last))
-        seen = {k[0]: v[0] for k, v in self.times.iterator()}
-        yield pd.DataFrame([{"repo": key[0], "phase": last[0], "last_id": last[1], **{f"{k}_at": seen.get(k) for k in PHASE_EVENTS}}]).astype({f"{k}_at": "datetime64[us]" for k in PHASE_EVENTS})
+        self.state = handle.getValueState("state", "type string, id string, " + ", ".join(f"{k}_at long" for k in PHASE_EVENTS))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        """The events of a batch are folded first, so a key's state is read once and written once, however many they are."""
+        kept = self.state.get() if self.state.exists() else ("", "", *[None] * len(PHASE_EVENTS))
+        last, times = tuple(kept[:2]), dict(zip(PHASE_EVENTS, kept[2:], strict=True))
+        for r in rows:
+            if r.id > last[1]:
+                last = (r.type, r.id)
+            if r.type in times and r.ts is not None and (times[r.type] is None or times[r.type] < r.ts):
+                times[r.type] = r.ts
+        self.state.update((*last, *times.values()))
+        yield Row(repo=key[0], phase=last[0], last_id=last[1], **{f"{k}_at": t for k, t in times.items()})
 
     def close(self) -> None:
         pass
@@ -66,9 +64,10 @@ def repo_states(events: DataFrame) -> DataFrame:
 
     A repository's state is one small row under its key, and a batch reads and writes the states of its own repositories only.
     """
-    times = ", ".join(f"{k}_at timestamp" for k in PHASE_EVENTS)
-    some = events.select("id", "ts", "type", "repo")
-    return some.groupBy("repo").transformWithStateInPandas(RepoState(), f"repo string, phase string, last_id string, {times}", "Update", "none")
+    times = ", ".join(f"{k}_at long" for k in PHASE_EVENTS)
+    some = events.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "type", "repo")
+    states = some.groupBy("repo").transformWithState(RepoState(), f"repo string, phase string, last_id string, {times}", "Update", "none")
+    return states.withColumns({f"{k}_at": F.timestamp_micros(f"{k}_at") for k in PHASE_EVENTS})
 
 
 def windowed_counts(events: DataFrame, length: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:

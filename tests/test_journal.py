@@ -77,3 +77,21 @@ def test_the_stateful_fold_ends_at_the_batch_fold(spark, tmp_path, order):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     want = journal.repo_state(df, {f"{k}_at": F.col("type") == k for k in kinds}).collect()
     assert {k: tuple(v) for k, v in last.items()} == {r.repo: tuple(r) for r in want}
+
+
+def test_a_state_is_read_and_written_once_for_a_batch():
+    from types import SimpleNamespace
+
+    from skarn.streaming.consumer import PHASE_EVENTS, RepoState
+
+    calls, held = [], []
+    value = SimpleNamespace(exists=lambda: bool(held), get=lambda: calls.append("get") or held[-1], update=lambda v: calls.append("update") or held.append(v))
+    state = RepoState()
+    state.init(SimpleNamespace(getValueState=lambda *a: value))
+    event = lambda i, kind, ts: SimpleNamespace(id=f"{i:03}", type=kind, ts=ts)
+    batches = [[event(i, PHASE_EVENTS[i % 2], i * 10) for i in range(500)], [event(7, PHASE_EVENTS[2], 5), event(3, PHASE_EVENTS[0], None), event(4, "other", 9_999)]]
+    for batch in batches:
+        (row,) = state.handleInputRows(("a/b",), iter(batch), None)
+    assert calls == ["update", "get", "update"]
+    assert (row.repo, row.phase, row.last_id) == ("a/b", PHASE_EVENTS[1], "499")
+    assert [row[f"{k}_at"] for k in PHASE_EVENTS] == [4980, 4990, 5, None, None]
