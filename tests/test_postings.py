@@ -83,10 +83,8 @@ def test_matches_and_typos_read_no_places(made):
 
 
 def test_terms_are_not_compared_to_write_the_postings(spark, tmp_path, monkeypatch):
-    from pyspark.sql import DataFrame
-
     sorts = []
-    monkeypatch.setattr(DataFrame, "sortWithinPartitions", lambda self, *c: sorts.append(c) or self)
     df = spark.createDataFrame([(1, "b a a"), (2, "a-c b")], "id long, name string")
+    monkeypatch.setattr(type(df), "sortWithinPartitions", lambda self, *c: sorts.append(c) or self)
     index = postings.build(df, f"file://{tmp_path}/i", buckets=4)
     assert not sorts and sorted(r.id for r in index.matches("a").collect()) == [1, 2] and [r.id for r in index.matches("a-c").collect()] == [2]
